@@ -1,0 +1,32 @@
+"""Cutting a plan in two with a written table."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder named by ``spark.checkpoint.dir``; a temporary one in local mode only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="quirework-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+        return folder
+    return None
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once and read it back, so that several passes over it do not repeat
+    its work and each reads only its columns. Survives lost executors. Without a shared
+    folder the frame is returned as it is (right, but computed once per pass)."""
+    folder = shared_folder(df.sparkSession)
+    if folder is None:
+        return df
+    path = f"{folder.rstrip('/')}/quirework-stage/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
