@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -54,6 +54,26 @@ def islands(array: Column, is_start: Callable[[Column, Column], Column]) -> Colu
     )
 
 
-def struct_rows(rows: list[dict], schema: str) -> list[tuple]:
-    names = [part.strip().split(" ")[0] for part in schema.split(",")]
-    return [tuple(r.get(n) for n in names) for r in rows]
+def compute(df: DataFrame, name: str, expr: Column) -> DataFrame:
+    """Add a column that is evaluated exactly once per row.
+
+    A filter on an ordinary computed column is pushed below it, which repeats the whole
+    expression (and may move it in front of a repartitioning). A generated column stops
+    that. Use it for expensive expressions with a filter behind them.
+    """
+    return df.select(
+        *[c for c in df.columns if c != name], F.explode_outer(F.array(expr)).alias(name)
+    )
+
+
+def explode_rows(df: DataFrame, keys: list[str], array: Column, index: str,
+                 fields: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """One row per array element, with its position.
+
+    The outer form is used on purpose: the plain one lets the optimizer add a filter on
+    the array's size, which would build the array twice.
+    """
+    out = df.select(*keys, F.posexplode_outer(array).alias(index, "_x"))
+    return out.filter(F.col(index).isNotNull()).select(
+        *keys, index, *[f(F.col("_x")).alias(n) for n, f in fields.items()]
+    )

@@ -12,8 +12,9 @@ from . import patterns as P
 from .expr import indices, let, split_at
 from .text import (
     clean_text,
-    ends_with_quote,
+    first_is,
     is_scene_break,
+    last_is,
     py_strip,
     starts_lower,
     starts_with_tag,
@@ -85,29 +86,28 @@ def reclean_items(items: Column, soft, dialogue, collapse, preserve) -> Column:
 
 def ends_open(c: Column) -> Column:
     """The paragraph ends in a way that lets a continuation follow."""
-    return c.rlike(rf"[{P.OPEN_PARAGRAPH_MARKS}{P.CLOSING_QUOTES}]\z")
+    return last_is(c, P.OPEN_PARAGRAPH_MARKS + P.CLOSING_QUOTES)
 
 
 def ends_terminal(c: Column) -> Column:
-    return c.rlike(rf"[.!?][{P.CLOSING_QUOTES}]?\z")
+    return F.substring(c, -2, 2).rlike(rf"[.!?][{P.CLOSING_QUOTES}]?\z")
 
 
 def starts_with_quote(c: Column) -> Column:
-    return c.rlike(rf"^[{P.OPENING_QUOTES}]")
+    return first_is(c, P.OPENING_QUOTES)
 
 
 def _few_dashes(c: Column) -> Column:
     """At most three dashes and nothing else: may be, or merge into, a scene break."""
-    return c.rlike(rf"^-[{P.SPACE}]*(?:-[{P.SPACE}]*){{0,2}}\z")
+    return first_is(c, r"\-") & c.rlike(rf"^-[{P.SPACE}]*(?:-[{P.SPACE}]*){{0,2}}\z")
 
 
 def should_merge(prev: Column, nxt: Column, words=P.DIALOGUE_TAG_WORDS) -> Column:
     """Does ``nxt`` continue ``prev``? Both stripped. (The plain, pairwise rule.)"""
-    opened = ends_open(prev) | ends_with_quote(prev)
     return (
         (prev != "")
         & (nxt != "")
-        & opened
+        & ends_open(prev)
         & (starts_lower(nxt) | starts_with_tag(nxt, words))
         & ~is_scene_break(prev)
         & ~is_scene_break(nxt)

@@ -6,6 +6,12 @@ from __future__ import annotations
 # White space as Unicode text processing sees it, as the inside of a regex class.
 SPACE_IN_LINE = r" \t\x0b\f\r\x1c-\x1f\x{85}\p{Z}"
 SPACE = SPACE_IN_LINE + r"\n"
+# The same white space, character by character.
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 # A letter, digit, numeral or underscore, as the inside of a regex class.
 WORD = r"\p{L}\p{N}_"
 

@@ -13,23 +13,38 @@ _MARK = "\ufdd0"
 
 
 def py_strip(c: Column) -> Column:
-    """Strip all Unicode white space on both ends (``trim`` knows only U+0020)."""
-    return F.regexp_replace(c, rf"^[{P.SPACE}]++|[{P.SPACE}]++\z", "")
+    """Strip all Unicode white space on both ends (plain ``trim`` knows only U+0020).
+
+    Looks at the ends only, where a pattern would be tried at every character.
+    """
+    return F.trim(c, F.lit(P.SPACE_CHARS))
 
 
 def py_rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"[{P.SPACE}]++\z", "")
+    return F.rtrim(c, F.lit(P.SPACE_CHARS))
+
+
+def first_is(c: Column, chars: str) -> Column:
+    """The first character is one of a regex class."""
+    return F.substring(c, 1, 1).rlike(f"^[{chars}]")
+
+
+def last_is(c: Column, chars: str) -> Column:
+    """The last character is one of a regex class."""
+    return F.substring(c, -1, 1).rlike(f"^[{chars}]")
 
 
 def normalize_line_endings(c: Column) -> Column:
-    return F.regexp_replace(c, r"\r\n?", "\n")
+    return F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def normalize_spaces(c: Column, nbsp: bool = True) -> Column:
     """Collapse blanks and tabs, and drop the blanks around line ends."""
     if nbsp:
-        c = F.translate(c, "\u00a0", " ")
-    return F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r" ?\n ?", "\n")
+        c = F.replace(c, F.lit("\u00a0"), F.lit(" "))
+    c = F.regexp_replace(F.replace(c, F.lit("\t"), F.lit(" ")), r" {2,}", " ")
+    # at most one blank is left on either side of a line end
+    return F.replace(F.replace(c, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
 
 
 def collapse_blank_lines(c: Column) -> Column:
@@ -38,22 +53,23 @@ def collapse_blank_lines(c: Column) -> Column:
 
 def is_scene_break(stripped: Column) -> Column:
     """``stripped`` must have no white space at its ends."""
-    return stripped.rlike(rf"^(?:{P.scene_pattern(P.SPACE)})\z")
+    return first_is(stripped, r"*#\-~") & stripped.rlike(rf"^(?:{P.scene_pattern(P.SPACE)})\z")
 
 
 # --- predicates on stripped, non-empty lines or paragraphs ------------------------
 
 
 def starts_lower(c: Column, strict: bool = False) -> Column:
-    return c.rlike(rf"^[{P.LOWER_START_STRICT if strict else P.LOWER_START}]")
+    return first_is(c, P.LOWER_START_STRICT if strict else P.LOWER_START)
 
 
 def starts_with_tag(c: Column, words=P.DIALOGUE_TAG_WORDS) -> Column:
-    return c.rlike(rf"^(?i:{P.any_of(words)})(?![{P.WORD}])")
+    head = F.substring(c, 1, max(map(len, words)) + 1)
+    return head.rlike(rf"^(?i:{P.any_of(words)})(?![{P.WORD}])")
 
 
 def ends_with_quote(c: Column) -> Column:
-    return c.rlike(rf"[{P.CLOSING_QUOTES}]\z")
+    return last_is(c, P.CLOSING_QUOTES)
 
 
 def lines_joinable(cur: Column, nxt: Column, strict: bool = False, words=None) -> Column:
@@ -64,10 +80,10 @@ def lines_joinable(cur: Column, nxt: Column, strict: bool = False, words=None) -
     """
     if strict:
         words = words or P.PRONOUN_TAG_WORDS
-        opened = cur.rlike(rf"[{P.OPEN_LINE_MARKS}{P.CLOSING_QUOTES}]\z")
+        opened = last_is(cur, P.OPEN_LINE_MARKS + P.CLOSING_QUOTES)
     else:
         words = words or P.DIALOGUE_TAG_WORDS
-        opened = cur.rlike(rf"[{P.OPEN_LINE_MARKS}]|[{P.CLOSING_QUOTES}]\z")
+        opened = cur.rlike(rf"[{P.OPEN_LINE_MARKS}]") | ends_with_quote(cur)
     return (opened & starts_lower(nxt, strict)) | (
         ends_with_quote(cur) & starts_with_tag(nxt, words)
     )
@@ -198,10 +214,10 @@ def _clean_by_regex(normalized: Column, collapse: bool, preserve: bool) -> Colum
     c = F.regexp_replace(normalized, rf"(?md)^[{ws}]++|[{ws}]++$", "")
     if preserve:
         c = F.regexp_replace(c, rf"(?md)^(?:{P.scene_pattern(ws)})$", f"{_MARK}$0{_MARK}")
-        c = F.regexp_replace(c, rf"(?<![\n{_MARK}])\n(?![\n{_MARK}])", " ")
-        c = F.translate(c, _MARK, "")
+        c = F.regexp_replace(c, rf"\n(?<![\n{_MARK}]\n)(?![\n{_MARK}])", " ")
+        c = F.replace(c, F.lit(_MARK), F.lit(""))
     else:
-        c = F.regexp_replace(c, r"(?<!\n)\n(?!\n)", " ")
+        c = F.regexp_replace(c, r"\n(?<!\n\n)(?!\n)", " ")
     c = F.regexp_replace(c, r" {2,}", " ")
     return collapse_blank_lines(c) if collapse else py_strip(c)
 

@@ -15,6 +15,7 @@ from ..functions import html as H
 from ..functions import merge as M
 from ..functions import naming as N
 from ..functions import patterns as P
+from ..functions.expr import compute, explode_rows
 from ..functions.text import is_scene_break, py_strip
 from ..plans.staging import stage
 from .html import with_tokens
@@ -139,7 +140,7 @@ def section_items(sections: DataFrame, drop_notes: bool = False) -> DataFrame:
     """Sections with their items, cleaned with the default settings. The same for all
     variants, so this runs before they fan out."""
     ts = with_tokens(sections, "html", drop_notes)
-    return ts.withColumn("items", H.raw_items(F.col("tokens"))).drop("tokens", "html")
+    return compute(ts, "items", H.raw_items(F.col("tokens"))).drop("tokens", "html")
 
 
 def apply_variant(df: DataFrame) -> DataFrame:
@@ -153,10 +154,8 @@ def apply_variant(df: DataFrame) -> DataFrame:
         c["collapse_extra_blank_lines"],
         c["preserve_scene_breaks"],
     )
-    return df.withColumn(
-        "items",
-        M.merge_items(items, c["merge_dialogue_paragraphs"], c["aggressive_mode"]),
-    ).drop(*S.VARIANT_COLUMNS[2:])
+    merged = M.merge_items(items, c["merge_dialogue_paragraphs"], c["aggressive_mode"])
+    return compute(df, "items", merged).drop(*S.VARIANT_COLUMNS[2:])
 
 
 def fan_out(base: DataFrame, variants: DataFrame) -> DataFrame:
@@ -165,16 +164,15 @@ def fan_out(base: DataFrame, variants: DataFrame) -> DataFrame:
 
 
 def clean_section_text(items: DataFrame) -> DataFrame:
-    return (
-        items.withColumn("text", M.items_text(F.col("items"))).drop("items").filter(F.col("text") != "")
-    )
+    texts = compute(items, "text", M.items_text(F.col("items")))
+    return texts.drop("items").filter(F.col("text") != "")
 
 
 def clean_section_html(items: DataFrame, drop_duplicate_heading: bool = False) -> DataFrame:
     html = H.items_html(F.col("items"))
     if drop_duplicate_heading:
         html = H.strip_duplicate_heading(html, F.col("heading"))
-    return items.withColumn("html", html).drop("items")
+    return compute(items, "html", html).drop("items")
 
 
 # --- documents --------------------------------------------------------------------
@@ -379,9 +377,9 @@ def styled_paragraphs(texts: DataFrame, books: DataFrame, modes: DataFrame,
         return F.transform(p, one)
 
     per_mode = texts.withColumn("paras", paragraphs_of(F.col("text"))).drop("text").crossJoin(modes)
-    body = per_mode.select(
-        "book_id", "mode", F.col("section_idx").cast("bigint"),
-        F.posexplode(rows(F.col("paras"))).alias("para_idx", "f"),
+    body = explode_rows(
+        per_mode.withColumn("section_idx", F.col("section_idx").cast("bigint")),
+        ["book_id", "mode", "section_idx"], rows(F.col("paras")), "para_idx", {"f": lambda f: f},
     )
     heading = py_strip(F.col("heading"))
     heads = texts.filter(heading != "").crossJoin(modes).select(

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import html as H
+from ..functions.expr import compute, explode_rows
 
 
 def page_bodies(df: DataFrame, keys, html: str = "html") -> DataFrame:
     """Body content without scripts and styles; pages without content are dropped."""
-    return df.select(*keys, H.body_content(F.col(html)).alias("body")).filter(F.col("body") != "")
+    bodies = compute(df.select(*keys, html), "body", H.body_content(F.col(html)))
+    return bodies.select(*keys, "body").filter(F.col("body") != "")
 
 
 def sections_from_html(df: DataFrame, keys, html: str = "html") -> DataFrame:
@@ -20,7 +22,7 @@ def sections_from_html(df: DataFrame, keys, html: str = "html") -> DataFrame:
 
 def with_tokens(df: DataFrame, html: str = "html", drop_notes: bool = False) -> DataFrame:
     """Tokens of what is left after dropping boilerplate."""
-    return df.withColumn("tokens", H.drop_boilerplate(H.tokens(F.col(html)), drop_notes))
+    return compute(df, "tokens", H.drop_boilerplate(H.tokens(F.col(html)), drop_notes))
 
 
 def kept_html(df: DataFrame, keys, html: str = "html") -> DataFrame:
@@ -42,9 +44,8 @@ def leaf_blocks(df: DataFrame, keys) -> DataFrame:
             H.block_text(F.col("tokens"), b).alias("text"),
         ),
     )
-    return df.select(*keys, F.posexplode(leaves).alias("leaf_idx", "b")).select(
-        *keys, "leaf_idx", "b.pos", "b.tag", "b.text"
-    )
+    fields = {n: (lambda b, n=n: b[n]) for n in ("pos", "tag", "text")}
+    return explode_rows(df, keys, leaves, "leaf_idx", fields)
 
 
 def block_and_rule_rows(df: DataFrame, keys) -> DataFrame:
@@ -56,12 +57,9 @@ def block_and_rule_rows(df: DataFrame, keys) -> DataFrame:
             F.transform(H.rule_positions(ts), lambda i: F.struct(i.alias("pos"), F.lit("scene").alias("kind"))),
         )
     )
-    return df.select(*keys, F.posexplode(rows).alias("row_idx", "r")).select(
-        *keys, "row_idx", "r.kind"
-    )
+    return explode_rows(df, keys, rows, "row_idx", {"kind": lambda r: r["kind"]})
 
 
 def legacy_paragraphs(df: DataFrame, keys) -> DataFrame:
-    return df.select(
-        *keys, F.posexplode(H.legacy_paragraphs(F.col("tokens"))).alias("para_idx", "text")
-    )
+    paragraphs = H.legacy_paragraphs(F.col("tokens"))
+    return explode_rows(df, keys, paragraphs, "para_idx", {"text": lambda p: p})

@@ -6,18 +6,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import merge as M
 from ..functions import text as T
-from ..functions.expr import let
-
-
-def _explode(df: DataFrame, keys, array: Column, index: str, fields: dict | None = None) -> DataFrame:
-    out = df.select(*keys, F.posexplode(array).alias(index, "_x"))
-    if fields is None:
-        return out
-    return out.select(*keys, index, *[f(F.col("_x")).alias(n) for n, f in fields.items()])
+from ..functions.expr import explode_rows, let
 
 
 def text_lines(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    return _explode(df, keys, T.text_lines(F.col(text)), "line_idx", {"line": lambda x: x})
+    return explode_rows(df, keys, T.text_lines(F.col(text)), "line_idx", {"line": lambda x: x})
 
 
 def scene_break_lines(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -26,7 +19,7 @@ def scene_break_lines(df: DataFrame, keys: list[str], text: str = "text") -> Dat
 
 def text_blocks(df: DataFrame, keys: list[str], text: str = "text", preserve=True) -> DataFrame:
     blocks = T.line_blocks(T.text_lines(_normalized(text)), preserve)
-    return _explode(
+    return explode_rows(
         df, keys, blocks, "block_idx",
         {
             "kind": lambda b: b["kind"],
@@ -49,7 +42,7 @@ def dialogue_lines(df: DataFrame, keys, text: str = "text", strict: bool = False
             lambda b: T.join_dialogue_lines(b["lines"], strict),
         )
     )
-    return _explode(df, keys, joined, "out_idx", {"line": lambda x: x})
+    return explode_rows(df, keys, joined, "out_idx", {"line": lambda x: x})
 
 
 def soft_wrapped_blocks(df: DataFrame, keys, text: str = "text") -> DataFrame:
@@ -58,14 +51,14 @@ def soft_wrapped_blocks(df: DataFrame, keys, text: str = "text") -> DataFrame:
         F.filter(T.line_blocks(T.text_lines(_normalized(text))), lambda b: b["kind"] == "text"),
         lambda b: T.soft_wrap(b["lines"]),
     )
-    return _explode(df, keys, wrapped, "block_no", {"text": lambda x: x})
+    return explode_rows(df, keys, wrapped, "block_no", {"text": lambda x: x})
 
 
 _ITEM = {"kind": lambda x: x["kind"], "text": lambda x: x["text"]}
 
 
 def explode_items(df: DataFrame, keys, items: str = "items") -> DataFrame:
-    return _explode(df, keys, F.col(items), "item_idx", _ITEM)
+    return explode_rows(df, keys, F.col(items), "item_idx", _ITEM)
 
 
 def with_items(df: DataFrame, text: str = "text", dedupe: bool = False) -> DataFrame:

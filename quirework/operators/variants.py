@@ -8,7 +8,7 @@ from .. import settings as S
 from ..functions import html as H
 from ..functions import merge as M
 from ..functions import naming as N
-from ..functions.expr import let
+from ..functions.expr import compute, let
 from ..functions.text import py_rstrip, py_strip
 from . import books as B
 from . import imposition as I
@@ -161,7 +161,7 @@ def raw_text(tokens):
 def before_after(sections: DataFrame, keys, merge: bool = False) -> DataFrame:
     """Section text before and after the standard cleanup."""
     ts = H.drop_boilerplate(H.tokens(F.col("html")), False)
-    both = sections.withColumn("tokens", ts).select(
+    both = compute(sections, "tokens", ts).select(
         *keys, "heading",
         py_strip(raw_text(F.col("tokens"))).alias("before"),
         M.items_text(M.merge_items(H.raw_items(F.col("tokens")), merge)).alias("after"),

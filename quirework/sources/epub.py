@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import html as H
 from ..functions import patterns as P
+from ..functions.expr import compute
 from ..functions.text import py_strip
 
 ENTRY_SCHEMA = (
@@ -98,8 +99,9 @@ def epub_sections(entries: DataFrame) -> DataFrame:
         "path", "section_idx",
         named("title", P.UNKNOWN_TITLE).alias("title"),
         named("creator", P.UNKNOWN_AUTHOR).alias("author"),
-        H.body_content(F.col("xhtml")).alias("html"),
+        "xhtml",
     )
+    bodies = compute(bodies, "html", H.body_content(F.col("xhtml")))
     return bodies.filter(F.col("html") != "").select(
         "path", "section_idx", "title", "author", H.first_heading(F.col("html")).alias("heading"), "html"
     )
