@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import patterns as P
 from ..functions import web as W
+from ..functions.expr import compute
 from ..functions.naming import safe_download_name
 
 
@@ -20,11 +21,12 @@ def page_metadata(df: DataFrame, keys, html: str = "html") -> DataFrame:
 
 def download_links(df: DataFrame, keys, html: str = "html", url: str = "url") -> DataFrame:
     """``(keys, links)`` with a map of format to URL."""
-    return df.select(*keys, W.download_links(F.col(html), F.col(url)).alias("links"))
+    links = compute(df.select(*keys, html, url), "links", W.download_links(F.col(html), F.col(url)))
+    return links.select(*keys, "links")
 
 
 def picked_formats(links: DataFrame, keys, preferred=P.DEFAULT_FORMAT_ORDER) -> DataFrame:
-    best = links.select(*keys, W.pick_format(F.col("links"), preferred).alias("best"))
+    best = compute(links, "best", W.pick_format(F.col("links"), preferred))
     return best.select(
         *keys,
         F.col("best.fmt").alias("fmt"),

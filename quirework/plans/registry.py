@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_text
+from . import queries_html, queries_text
 
-MODULES = (queries_text,)
+MODULES = (queries_text, queries_html)
 
 
 def queries() -> dict:
