@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_html, queries_text
+from . import queries_books, queries_html, queries_text
 
-MODULES = (queries_text, queries_html)
+MODULES = (queries_text, queries_html, queries_books)
 
 
 def queries() -> dict:
