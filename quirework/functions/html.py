@@ -390,27 +390,25 @@ def _fold_for_compare(c: Column) -> Column:
     return F.replace(F.lower(spaced), F.lit("ß"), F.lit("ss"))
 
 
+# where a text splits into lines
+_LINE_ENDS = r"\n\r\x0b\f\x1c-\x1e\x{85}\x{2028}\x{2029}"
+
+
 def strip_duplicate_heading(html_col: Column, heading: Column) -> Column:
-    """Drop the first paragraph when it only repeats the section heading."""
+    """Drop the first paragraph when it only repeats the section heading.
+
+    Only the first line is looked at, unless it has to go."""
 
     def body(v):
-        ls = v["lines"]
-        first = py_strip(F.get(ls, F.lit(0)))
+        first = py_strip(F.regexp_extract(v["html"], rf"^[{P.SPACE}]*+([^{_LINE_ENDS}]*+)", 1))
         inner = F.regexp_extract(first, r"^<p>(.*)</p>\z", 1)
         repeats = first.rlike(r"^<p>.*</p>\z") & (
             _fold_for_compare(decode_entities(inner)) == _fold_for_compare(v["heading"])
         )
-        rest = py_strip(F.array_join(F.slice(ls, 2, F.greatest(F.size(ls) - 1, F.lit(0))), "\n"))
-        return F.when(
-            (py_strip(v["heading"]) != "") & (F.size(ls) > 0) & repeats, rest
-        ).otherwise(v["html"])
-
-    line_ends = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x{85}  ]"
-    return let_all(
-        {
-            "html": html_col,
-            "heading": heading,
-            "lines": F.filter(F.split(html_col, line_ends), lambda x: py_strip(x) != ""),
-        },
-        body,
-    )
+        lines = F.filter(
+            F.split(v["html"], rf"\r\n|[{_LINE_ENDS}]"), lambda x: py_strip(x) != ""
+        )
+        rest = let(lines, lambda ls: py_strip(F.array_join(F.slice(ls, 2, F.size(ls)), "\n")))
+        return F.when((py_strip(v["heading"]) != "") & repeats, rest).otherwise(v["html"])
+
+    return let_all({"html": html_col, "heading": heading}, body)

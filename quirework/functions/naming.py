@@ -29,17 +29,23 @@ def book_slug(title: Column, author: Column, stem: Column) -> Column:
     return or_default(joined, F.coalesce(part(stem), F.lit("book")))
 
 
+def _path_parts(path: Column) -> Column:
+    """The path with one kind of separator and none at its end."""
+    return F.rtrim(F.replace(path, F.lit("\\"), F.lit("/")), F.lit("/"))
+
+
 def file_stem_of(path: Column) -> Column:
     """Last path part without its extension; both kinds of slash separate parts."""
-    name = F.regexp_extract(path, r"([^/\\]*)[/\\]*\z", 1)
-    return F.regexp_replace(name, r"(?<=[^.])\.[^.]*\z", "")
+    name = F.substring_index(_path_parts(path), "/", -1)
+    return F.regexp_replace(name, r"(?s)^(.+)\.[^.]+\z", "$1")
 
 
 def slug_from_path(path: Column) -> Column:
     """Book slug behind the path of an interior file."""
 
     def pick(stem):
-        parent = F.regexp_extract(path, r"([^/\\]+)[/\\]+[^/\\]*\z", 1)
+        tail = F.substring_index(_path_parts(path), "/", -2)
+        parent = F.when(F.contains(tail, F.lit("/")), F.substring_index(tail, "/", 1)).otherwise("")
         return (
             F.when(stem.endswith("__interior"), F.regexp_replace(stem, r"__interior\z", ""))
             .when(stem == "interior", or_default(F.regexp_replace(parent, r"_output\z", ""), "book"))

@@ -193,6 +193,14 @@ def clean_text(
     With constant switches and soft wrapping on, it is a chain of replacements inside
     generated code. All other settings use arrays of lines.
     """
+    full = _clean_multiline(
+        c, soft_wrapped, dialogue, collapse, preserve, strict=strict, nbsp=nbsp, words=words
+    )
+    # most paragraphs are a single line without anything to repair, under any setting
+    return F.when(c.rlike(rf"[\n\r\t\x{{a0}}{_MARK}]|  "), full).otherwise(py_strip(c))
+
+
+def _clean_multiline(c, soft_wrapped, dialogue, collapse, preserve, *, strict, nbsp, words):
     constant = all(isinstance(x, bool) for x in (soft_wrapped, collapse, preserve))
     normalized = normalize_spaces(normalize_line_endings(c), nbsp)
     if not (constant and soft_wrapped):
@@ -218,7 +226,6 @@ def _clean_by_regex(normalized: Column, collapse: bool, preserve: bool) -> Colum
         c = F.replace(c, F.lit(_MARK), F.lit(""))
     else:
         c = F.regexp_replace(c, r"\n(?<!\n\n)(?!\n)", " ")
-    c = F.regexp_replace(c, r" {2,}", " ")
     return collapse_blank_lines(c) if collapse else py_strip(c)
 
 

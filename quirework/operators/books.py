@@ -143,9 +143,9 @@ def section_items(sections: DataFrame, drop_notes: bool = False) -> DataFrame:
     return compute(ts, "items", H.raw_items(F.col("tokens"))).drop("tokens", "html")
 
 
-def apply_variant(df: DataFrame) -> DataFrame:
-    """Items under the settings in the row's variant columns."""
-    c = {name: F.col(name) for name in S.VARIANT_COLUMNS}
+def apply_switches(df: DataFrame) -> DataFrame:
+    """Items under the switches in the row's columns."""
+    c = {name: F.col(name) for name in S.VARIANT_COLUMNS[2:]}
     items = M.filter_scene_breaks(F.col("items"), c["preserve_scene_breaks"])
     items = M.reclean_items(
         items,
@@ -158,9 +158,17 @@ def apply_variant(df: DataFrame) -> DataFrame:
     return compute(df, "items", merged).drop(*S.VARIANT_COLUMNS[2:])
 
 
-def fan_out(base: DataFrame, variants: DataFrame) -> DataFrame:
-    """Every section under every variant; the variants are a fixed table of a few rows."""
-    return apply_variant(base.crossJoin(F.broadcast(variants)))
+def fan_out(base: DataFrame, groups: DataFrame, then=None) -> DataFrame:
+    """Every section under every variant.
+
+    ``groups`` comes from ``settings.variant_groups``, a fixed table of a few rows.
+    ``then`` is applied before the variants of a group are told apart, so that variants
+    with the same switches share its work too.
+    """
+    cleaned = apply_switches(base.crossJoin(F.broadcast(groups)))
+    done = then(cleaned) if then else cleaned
+    rest = [c for c in done.columns if c != "names"]
+    return done.select(*rest, F.inline_outer("names"))
 
 
 def clean_section_text(items: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import settings as S
 from ..functions.naming import or_default
 from ..functions.text import py_strip
+from .skew import checked_broadcast
 
 CUSTOM_COLUMNS = ("custom_width", "custom_height", "custom_top", "custom_bottom",
                   "custom_inside", "custom_outside")
@@ -100,6 +101,14 @@ def section_pages(text_lengths: Column) -> Column:
     return F.ceil(hundredths / (lpp * 100))
 
 
+def capacities(layouts: DataFrame) -> DataFrame:
+    """The accepted layouts, to be put next to every section."""
+    caps = layouts.filter(F.col("status") == "ok").select(
+        "layout_id", "chars_per_line", "lines_per_page", "gap_hundredths"
+    )
+    return checked_broadcast(caps)
+
+
 def page_estimate(sections: DataFrame, layouts: DataFrame, keys) -> DataFrame:
     """Pages per book and layout. ``sections`` holds items; ``layouts`` is a request-sized
     table with capacities.
@@ -111,9 +120,8 @@ def page_estimate(sections: DataFrame, layouts: DataFrame, keys) -> DataFrame:
     lengths = sections.select(
         *keys, F.transform("items", lambda x: F.length(x["text"])).alias("lens")
     ).filter(F.size("lens") > 0)
-    caps = layouts.select("layout_id", "chars_per_line", "lines_per_page", "gap_hundredths")
     return (
-        lengths.crossJoin(caps)
+        lengths.crossJoin(capacities(layouts))
         .select(*keys, "layout_id", section_pages(F.col("lens")).alias("p"))
         .groupBy(*keys, "layout_id")
         .agg((F.sum("p") + 2).alias("pages"), F.count(F.lit(1)).alias("sections"))

@@ -12,8 +12,7 @@ from ..functions.expr import compute, let
 from ..functions.text import py_rstrip, py_strip
 from . import books as B
 from . import imposition as I
-from .layout import section_pages
-from .skew import salted_join
+from .layout import capacities, section_pages
 
 BYTES_PER_MB = 1024 * 1024
 
@@ -71,9 +70,14 @@ def book_outcomes(statuses: DataFrame) -> DataFrame:
 
 def section_measures(items: DataFrame) -> DataFrame:
     """Replaces the items of a section by its output sizes and paragraph lengths."""
-    return items.withColumn("html_bytes", F.octet_length(H.items_html(F.col("items")))).withColumn(
-        "text_bytes", F.octet_length(M.items_text(F.col("items")))
-    ).withColumn("lens", F.transform("items", lambda x: F.length(x["text"]))).drop("items")
+    measures = F.struct(
+        F.octet_length(H.items_html(F.col("items"))).alias("html_bytes"),
+        F.octet_length(M.items_text(F.col("items"))).alias("text_bytes"),
+        F.transform("items", lambda x: F.length(x["text"])).alias("lens"),
+    )
+    return compute(items, "_m", measures).select(
+        *[c for c in items.columns if c != "items"], "_m.*"
+    )
 
 
 def size_metrics(measures: DataFrame, keys) -> DataFrame:
@@ -85,12 +89,9 @@ def size_metrics(measures: DataFrame, keys) -> DataFrame:
 
 def page_metrics(measures: DataFrame, layouts: DataFrame, keys) -> DataFrame:
     """Sizes and pages per book, variant and layout, in one aggregation."""
-    caps = layouts.filter(F.col("status") == "ok").select(
-        "layout_id", "chars_per_line", "lines_per_page", "gap_hundredths"
-    )
     pages = F.when(F.size("lens") > 0, section_pages(F.col("lens"))).otherwise(0)
     return (
-        measures.crossJoin(caps)
+        measures.crossJoin(capacities(layouts))
         .select(*keys, "layout_id", "input_bytes", "html_bytes", "text_bytes", pages.alias("_p"))
         .groupBy(*keys, "layout_id")
         .agg(

@@ -63,7 +63,7 @@ def _sections(s, d):
 
 
 def _variant_items(s, d, drop_notes=False):
-    return B.fan_out(B.section_items(_sections(s, d), drop_notes), S.variants(s))
+    return B.fan_out(B.section_items(_sections(s, d), drop_notes), S.variant_groups(s))
 
 
 VKEYS = ["page_id", "profile", "variant"]
@@ -107,7 +107,8 @@ QUERIES = {
     "normalize_work_url": lambda s, d: OW.work_urls(X.work_urls(s, d)),
     "clean_section_items": lambda s, d: OT.explode_items(_as_page(_variant_items(s, d)), VKEYS),
     "clean_section_text": lambda s, d: _as_page(B.clean_section_text(_variant_items(s, d, True))).select(*VKEYS, "text"),
-    "clean_section_html": lambda s, d: _as_page(B.clean_section_html(_variant_items(s, d))).select(*VKEYS, "html"),
+    "clean_section_html": lambda s, d: _as_page(B.fan_out(
+        B.section_items(_sections(s, d)), S.variant_groups(s), B.clean_section_html)).select(*VKEYS, "html"),
     "strip_duplicate_heading": _duplicate_heading,
 }
 

@@ -46,7 +46,7 @@ def _base(s, d):
 
 def _measures(s, d, profile=None):
     """Per-section sizes and paragraph lengths under each variant."""
-    return V.section_measures(B.fan_out(_base(s, d), S.variants(s, profile)))
+    return B.fan_out(_base(s, d), S.variant_groups(s, profile), V.section_measures)
 
 
 def _metrics(s, d):
@@ -71,7 +71,7 @@ def _status(s, d):
 
 
 def _variant_outputs(s, d):
-    items = B.fan_out(_base(s, d), S.variants(s, "script"))
+    items = B.fan_out(_base(s, d), S.variant_groups(s, "script"))
     texts = B.clean_section_text(items.select("book_id", "section_idx", "heading", "variant", "items"))
     counted = texts.groupBy("book_id", "variant").agg(
         F.count(F.lit(1)).alias("n_sections"), F.sum(F.length("text")).alias("n_chars"))

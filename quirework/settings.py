@@ -88,6 +88,21 @@ def variants(spark: SparkSession, profile: str | None = None) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def variant_groups(spark: SparkSession, profile: str | None = None, rows=VARIANTS) -> DataFrame:
+    """One row per distinct group of switches, with the variants that share it.
+
+    Several variants clean in the same way; each way needs to run only once."""
+    groups: dict[tuple, list[tuple]] = {}
+    for row in rows:
+        if profile in (None, row[0]):
+            groups.setdefault(row[2:], []).append(row[:2])
+    flags = ", ".join(f"{c} boolean" for c in VARIANT_COLUMNS[2:])
+    return spark.createDataFrame(
+        [(names, *switches) for switches, names in groups.items()],
+        f"names array<struct<profile:string,variant:string>>, {flags}",
+    )
+
+
 def page_sizes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         list(PAGE_SIZES), "key string, label string, width_cm double, height_cm double"
