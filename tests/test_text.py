@@ -11,7 +11,7 @@ from quirework.functions import text as T
 
 PIECES = [
     "a", "The", "he said", "Said", "theé", "word,", "end.", '"quote"', "‘hi’", "“x,”", "-", "—", "- - -", "---", "----",
-    "***", "* * *", "** *", "###", "####", "~~~", "~ ~ ~", "# #", " ", "  ", "\t", " ", " ", "\n", "\n\n", "\n\n\n",
+    "***", "* * *", "** *", "###", "####", "~~~", "~ ~ ~", "# #", " ", "  ", "\t", "\u00a0", " ", "\n", "\n\n", "\n\n\n",
     "\r\n", "\r", "é", "(x", "'tis", "[y", "she'd", "I", "It,", "\u0085", "﷐",
 ]
 
@@ -86,11 +86,11 @@ def test_strip_takes_what_python_takes(evaluate):
 
 def test_normalize_spaces(evaluate):
     rng = random.Random(6)
-    values = ["".join(rng.choice([" ", "\t", "\n", "a", " "]) for _ in range(12)) for _ in range(400)]
+    values = ["".join(rng.choice([" ", "\t", "\n", "a", "\u00a0"]) for _ in range(12)) for _ in range(400)]
 
     def model(v, nbsp):
         import re
-        v = v.replace(" ", " ") if nbsp else v
+        v = v.replace("\u00a0", " ") if nbsp else v
         return re.sub(r" *\n *", "\n", re.sub(r"[ \t]+", " ", v))
 
     for nbsp in (True, False):
