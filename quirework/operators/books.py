@@ -186,23 +186,57 @@ def clean_section_html(items: DataFrame, drop_duplicate_heading: bool = False) -
 # --- documents --------------------------------------------------------------------
 
 
-def section_blocks(cleaned: DataFrame, keys=("book_id",)) -> DataFrame:
-    """Section elements; the first one of a book that is not empty is marked.
+def _with_book(filled: DataFrame, content: str, books: DataFrame | None = None) -> DataFrame:
+    """Put book-level figures next to each section: its first and last section and its
+    size in bytes (and title and author).
 
-    The first section is found by an aggregate over two narrow columns; ordering the
-    sections of a book in one task is never needed.
+    The figures come from an aggregate over narrow columns; ordering the sections of a
+    book in one task is never needed.
     """
-    keys = list(keys)
-    filled = stage(cleaned.filter(F.col("html").rlike(rf"[^{P.SPACE}]")), "blocks")
-    first = filled.groupBy(*keys).agg(F.min("section_idx").alias("_first"))
-    marked = salted_join(filled, first, keys, ["section_idx"])
-    return marked.withColumn(
-        "block", _section_element(F.col("section_idx") == F.col("_first"))
-    ).drop("_first", "html")
+    per_book = filled.groupBy("book_id").agg(
+        F.min("section_idx").alias("_first"),
+        F.max("section_idx").alias("_last"),
+        F.sum("_bytes").alias("_total"),
+    )
+    if books is not None:
+        per_book = per_book.join(books.select("book_id", "used_title", "used_author"), "book_id")
+    return salted_join(filled.drop("_bytes"), per_book, ["book_id"], ["section_idx"])
+
+
+def _staged(sections: DataFrame, content: str) -> DataFrame:
+    """Sections with content, written once: the aggregate then reads three small columns."""
+    filled = sections.filter(F.col(content).rlike(rf"[^{P.SPACE}]"))
+    return stage(filled.withColumn("_bytes", F.octet_length(content).cast("bigint")), content)
+
+
+def _join_parts(parts: DataFrame, max_bytes: int) -> DataFrame:
+    """``(book_id, section_idx, part, _total)`` -> documents ``(book_id, part_no, part)``.
 
+    A book of at most ``max_bytes`` becomes one row (``part_no`` 0). A larger one keeps one
+    row per section, numbered by it; read in order they are the same document. So no task
+    ever holds more than ``max_bytes`` of one book.
+    """
+    part_no = F.when(F.col("_total") <= max_bytes, F.lit(0)).otherwise(F.col("section_idx"))
+    return (
+        parts.groupBy("book_id", part_no.cast("bigint").alias("part_no"))
+        .agg(F.array_sort(F.collect_list(F.struct("section_idx", "part"))).alias("_parts"))
+        .select(
+            "book_id", "part_no",
+            F.array_join(F.transform("_parts", lambda p: p["part"]), "").alias("part"),
+        )
+    )
 
-def _section_element(is_first: Column) -> Column:
-    css_class = F.when(is_first, "chapter first-body-chapter").otherwise("chapter")
+
+def section_blocks(cleaned: DataFrame) -> DataFrame:
+    """Section elements; the first one of a book that is not empty is marked."""
+    marked = _with_book(_staged(cleaned, "html"), "html")
+    return marked.select("book_id", "section_idx", "heading", _section_element().alias("block"))
+
+
+def _section_element() -> Column:
+    css_class = F.when(
+        F.col("section_idx") == F.col("_first"), "chapter first-body-chapter"
+    ).otherwise("chapter")
     h1 = F.when(
         F.col("heading") != "",
         F.concat(F.lit('<h1 class="chapter-title">'), H.escape_html(F.col("heading")), F.lit("</h1>")),
@@ -242,66 +276,33 @@ def stylesheet(mode: str = S.DEFAULT_SPACING, size: str = S.DEFAULT_PAGE_SIZE,
     return "\n".join(f"{selector} {{ {body} }}" for selector, body in rules)
 
 
-def whole_documents(parts: DataFrame, keys=("book_id",), content="part",
-                    max_bytes: int = MAX_DOCUMENT_BYTES, staged: bool = False) -> DataFrame:
-    """Ordered parts ``(keys, section_idx, part)`` -> documents ``(keys, part_no, content)``.
+def html_documents(cleaned: DataFrame, books: DataFrame, css: str,
+                   max_bytes: int = MAX_DOCUMENT_BYTES) -> DataFrame:
+    """Title page, blank page and sections of each book that has any, as HTML.
 
-    A book whose measured size is at most ``max_bytes`` becomes one row (``part_no`` 0).
-    A larger one keeps one row per part, numbered by its section; read in order they are
-    the same document. So no task ever holds more than ``max_bytes`` of one book.
+    ``cleaned`` is section HTML, ``books`` is ``(book_id, used_title, used_author)``. The
+    front matter goes with the first section, the end with the last one.
     """
-    keys = list(keys)
-    parts = parts if staged else stage(parts, "parts")
-    sizes = parts.groupBy(*keys).agg(F.sum(F.octet_length(content)).alias("_bytes"))
-    sized = salted_join(parts, sizes, keys, ["section_idx"])
-    small = (
-        sized.filter(F.col("_bytes") <= max_bytes)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("section_idx", content))).alias("_parts"))
-        .select(
-            *keys,
-            F.lit(0).cast("bigint").alias("part_no"),
-            F.array_join(F.transform("_parts", lambda p: p[content]), "").alias(content),
-        )
-    )
-    large = sized.filter(F.col("_bytes") > max_bytes).select(
-        *keys, F.col("section_idx").cast("bigint").alias("part_no"), content
-    )
-    return small.unionByName(large)
-
-
-# sections of a document that come before and after all others
-HEAD_IDX, TAIL_IDX = -1, 2**62
-
-
-def html_parts(blocks: DataFrame, books: DataFrame, css: str) -> DataFrame:
-    """Head, section elements and tail of each book with at least one section.
-
-    ``books`` is ``(book_id, used_title, used_author)``.
-    """
-    named = books.join(blocks.select("book_id").distinct(), "book_id", "left_semi")
     title, author = H.escape_html(F.col("used_title")), H.escape_html(F.col("used_author"))
-    head = named.select(
-        "book_id",
-        F.lit(HEAD_IDX).cast("bigint").alias("section_idx"),
-        F.concat(
-            F.lit('<!doctype html>\n<html lang="en">\n<head>\n<meta charset="utf-8" />\n<title>'),
-            title,
-            F.lit(f"</title>\n<style>\n{css}\n</style>\n</head>\n<body>\n"
-                  '<section class="title-page"><div class="title-wrap"><h1>'),
-            title,
-            F.lit('</h1><p class="author">'),
-            author,
-            F.lit('</p></div></section>\n<div class="blank-page"></div>\n'),
-        ).alias("part"),
+    head = F.concat(
+        F.lit('<!doctype html>\n<html lang="en">\n<head>\n<meta charset="utf-8" />\n<title>'),
+        title,
+        F.lit(f"</title>\n<style>\n{css}\n</style>\n</head>\n<body>\n"
+              '<section class="title-page"><div class="title-wrap"><h1>'),
+        title,
+        F.lit('</h1><p class="author">'),
+        author,
+        F.lit('</p></div></section>\n<div class="blank-page"></div>\n'),
     )
-    body = blocks.select("book_id", F.col("section_idx").cast("bigint"), F.col("block").alias("part"))
-    tail = named.select(
-        "book_id",
-        F.lit(TAIL_IDX).cast("bigint").alias("section_idx"),
-        F.lit("\n</body>\n</html>\n").alias("part"),
+    part = F.concat(
+        F.when(F.col("section_idx") == F.col("_first"), head).otherwise(""),
+        _section_element(),
+        F.when(F.col("section_idx") == F.col("_last"), "\n</body>\n</html>\n").otherwise(""),
     )
-    return head.unionByName(body).unionByName(tail)
+    titled = _with_book(_staged(cleaned, "html"), "html", books)
+    return _join_parts(
+        titled.select("book_id", "section_idx", "_total", part.alias("part")), max_bytes
+    ).withColumnRenamed("part", "html")
 
 
 def escape_markdown(c: Column) -> Column:
@@ -314,35 +315,33 @@ def paragraphs_of(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n\n"), py_strip), lambda p: p != "")
 
 
-def markdown_parts(texts: DataFrame, books: DataFrame) -> DataFrame:
-    """Title part and one part per section. Put together they are the Markdown file; the
-    last paragraph is stripped, so the file ends with exactly one line end."""
-    named = books.join(texts.select("book_id").distinct(), "book_id", "left_semi")
+def markdown_documents(texts: DataFrame, books: DataFrame,
+                       max_bytes: int = MAX_DOCUMENT_BYTES) -> DataFrame:
+    """Markdown of each book with any text.
+
+    The last paragraph is stripped, so the file ends with exactly one line end.
+    """
     author = F.when(
         py_strip(F.col("used_author")) != "",
         F.concat(F.lit("\n\n_By "), escape_markdown(F.col("used_author")), F.lit("_")),
     ).otherwise("")
-    head = named.select(
-        "book_id",
-        F.lit(HEAD_IDX).cast("bigint").alias("section_idx"),
-        F.concat(F.lit("# "), escape_markdown(F.col("used_title")), author).alias("part"),
-    )
+    head = F.concat(F.lit("# "), escape_markdown(F.col("used_title")), author)
     heading = py_strip(F.col("heading"))
     paragraphs = F.transform(
         paragraphs_of(F.col("text")),
         lambda p: F.when(is_scene_break(p), F.lit(P.SCENE_MARK)).otherwise(escape_markdown(p)),
     )
-    body = texts.select(
-        "book_id",
-        F.col("section_idx").cast("bigint"),
-        F.concat(
-            F.lit("\n\n"),
-            F.when(heading != "", F.concat(F.lit("## "), escape_markdown(heading), F.lit("\n\n"))).otherwise(""),
-            F.array_join(paragraphs, "\n\n"),
-            F.lit("\n"),
-        ).alias("part"),
+    part = F.concat(
+        F.when(F.col("section_idx") == F.col("_first"), head).otherwise(""),
+        F.lit("\n\n"),
+        F.when(heading != "", F.concat(F.lit("## "), escape_markdown(heading), F.lit("\n\n"))).otherwise(""),
+        F.array_join(paragraphs, "\n\n"),
+        F.lit("\n"),
     )
-    return head.unionByName(body)
+    titled = _with_book(_staged(texts, "text"), "text", books)
+    return _join_parts(
+        titled.select("book_id", "section_idx", "_total", part.alias("part")), max_bytes
+    ).withColumnRenamed("part", "markdown")
 
 
 # --- styled paragraphs ------------------------------------------------------------
@@ -370,30 +369,33 @@ def styled_paragraphs(texts: DataFrame, books: DataFrame, modes: DataFrame,
 
     zero = F.lit(0.0)
 
-    def rows(p):
+    def rows(p, heading):
         def one(x, i):
             starts = (i == 0) | is_scene_break(F.get(p, i - 1))
-            return F.when(
+            return fmt_row(i, F.when(
                 is_scene_break(x),
                 fmt("scene", F.lit(P.SCENE_MARK), "center", 1.0, False,
                     F.lit(S.SCENE_SPACE), F.lit(S.SCENE_SPACE), zero),
             ).otherwise(
                 fmt("body", x, "justify", 1.0, False, zero, F.col("gap"),
                     F.when(starts, 0.0).otherwise(F.col("indent")))
-            )
+            ))
 
-        return F.transform(p, one)
+        head = fmt_row(F.lit(-1), fmt("heading", heading, "center", S.HEADING_SCALE, True, zero,
+                                      F.lit(S.HEADING_SPACE), zero))
+        body = F.transform(p, one)
+        return F.when(heading != "", F.concat(F.array(head), body)).otherwise(body)
+
+    def fmt_row(idx, f):
+        return F.struct(idx.alias("para_idx"), f.alias("f"))
 
     per_mode = texts.withColumn("paras", paragraphs_of(F.col("text"))).drop("text").crossJoin(modes)
     body = explode_rows(
         per_mode.withColumn("section_idx", F.col("section_idx").cast("bigint")),
-        ["book_id", "mode", "section_idx"], rows(F.col("paras")), "para_idx", {"f": lambda f: f},
-    )
-    heading = py_strip(F.col("heading"))
-    heads = texts.filter(heading != "").crossJoin(modes).select(
-        "book_id", "mode", F.col("section_idx").cast("bigint"), F.lit(-1).alias("para_idx"),
-        fmt("heading", heading, "center", S.HEADING_SCALE, True, zero, F.lit(S.HEADING_SPACE), zero).alias("f"),
-    )
+        ["book_id", "mode", "section_idx"],
+        rows(F.col("paras"), py_strip(F.col("heading"))),
+        "_row", {"para_idx": lambda r: r["para_idx"], "f": lambda r: r["f"]},
+    ).drop("_row")
     front = F.array(
         fmt("title", F.col("used_title"), "center", S.TITLE_SCALE, True, zero, zero, zero),
         fmt("author", F.col("used_author"), "center", S.AUTHOR_SCALE, False, zero, zero, zero),
@@ -402,6 +404,6 @@ def styled_paragraphs(texts: DataFrame, books: DataFrame, modes: DataFrame,
         "book_id", "mode", F.lit(-1).cast("bigint").alias("section_idx"),
         F.posexplode(front).alias("para_idx", "f"),
     ).filter((F.col("f.role") != "author") | (py_strip(F.col("f.text")) != ""))
-    return body.unionByName(heads).unionByName(titles).select(
+    return body.unionByName(titles).select(
         "book_id", "mode", "section_idx", "para_idx", "f.*"
     )

@@ -13,6 +13,7 @@ from ..functions.text import py_rstrip, py_strip
 from . import books as B
 from . import imposition as I
 from .layout import capacities, section_pages
+from .skew import salted_join
 
 BYTES_PER_MB = 1024 * 1024
 
@@ -46,10 +47,9 @@ def run_status(jobs: DataFrame, books: DataFrame, variants: DataFrame, layouts:
         .when(F.col("_layout_error").isNotNull(), F.col("_layout_error"))
         .when(F.coalesce(F.col("n_sections"), F.lit(0)) == 0, "no_readable_sections")
     )
+    checked = jobs.join(known, "variant", "left").join(layout, "layout_id", "left")
     return (
-        jobs.join(known, "variant", "left")
-        .join(layout, "layout_id", "left")
-        .join(books, "book_id", "left")
+        salted_join(checked, books, ["book_id"], ["variant", "layout_id"], "left")
         .select("book_id", "variant", "layout_id", error.alias("error"))
         .withColumn("status", F.when(F.col("error").isNull(), "ok").otherwise("failed"))
     )

@@ -40,6 +40,6 @@ def work_urls(df: DataFrame, url: str = "url") -> DataFrame:
     normalized = df.select("*", W.normalize_work_url(F.col(url)).alias("work_url"))
     return (
         normalized.groupBy("work_url")
-        .agg(F.count(F.lit(1)).alias("n_urls"), F.min(url).alias("first_url"))
+        .agg(F.count(F.lit(1)).alias("n_urls"))
         .withColumn("status", F.when(F.col("work_url").isNull(), "invalid").otherwise("ok"))
     )

@@ -12,7 +12,6 @@ from ..operators import layout as L
 from . import fixtures as X
 from . import oracle_parts as O
 from .queries_html import book_sections_sql, html_items, items_html_agg, without_heading
-from .staging import stage
 
 
 def _books(s, d):
@@ -83,17 +82,6 @@ def _texts(s, d):
     return B.clean_section_text(B.section_items(X.book_sections(s, d), drop_notes=True))
 
 
-def _html_documents(s, d):
-    blocks = B.section_blocks(_section_html(s, d))
-    parts = B.html_parts(blocks, _books(s, d), B.stylesheet())
-    return B.whole_documents(parts, staged=True).withColumnRenamed("part", "html")
-
-
-def _markdown_documents(s, d):
-    texts = stage(_texts(s, d), "texts")
-    return B.whole_documents(B.markdown_parts(texts, _books(s, d)), staged=True).withColumnRenamed("part", "markdown")
-
-
 QUERIES = {
     "book_metadata": lambda s, d: B.book_metadata(X.metadata_entries(s, d)),
     "metadata_override": _books,
@@ -104,8 +92,8 @@ QUERIES = {
     "safe_filenames": _names,
     "file_stems": _stems,
     "section_blocks": lambda s, d: B.section_blocks(_section_html(s, d)),
-    "html_documents": _html_documents,
-    "markdown_documents": _markdown_documents,
+    "html_documents": lambda s, d: B.html_documents(_section_html(s, d), _books(s, d), B.stylesheet()),
+    "markdown_documents": lambda s, d: B.markdown_documents(_texts(s, d), _books(s, d)),
     "styled_paragraphs": lambda s, d: B.styled_paragraphs(_texts(s, d), _books(s, d), S.spacing_modes(s)),
     "layout_resolution": lambda s, d: L.resolve_layouts(X.layout_requests(s, d)),
 }

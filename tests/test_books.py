@@ -80,23 +80,22 @@ def test_documents_whole_and_in_parts(spark):
     blocks = B.section_blocks(cleaned)
     marked = {(r.book_id, r.section_idx): "first-body" in r.block for r in blocks.collect()}
     assert marked == {("b", 2): True, ("b", 3): False, ("c", 9): True}
-    parts = B.html_parts(blocks, books(spark, BOOKS), B.stylesheet())
-    whole = {r.book_id: r.part for r in B.whole_documents(parts).collect()}
+    named = books(spark, BOOKS)
+    whole = {r.book_id: r.html for r in B.html_documents(cleaned, named, B.stylesheet()).collect()}
     assert set(whole) == {"b", "c"}
     assert "<title>A &lt;b&gt;</title>" in whole["b"]
     assert whole["b"].index("she said.") < whole["b"].index("x_y") and whole["b"].rstrip().endswith("</html>")
     assert '<section class="chapter"><h1 class="chapter-title">Two</h1><p>x_y</p>\n<hr class="scene-break" />\n<p>last*</p></section>' in whole["b"]
     # a book over the limit stays in parts that are the same document
-    split = B.whole_documents(parts, max_bytes=10).orderBy("part_no").collect()
-    for book in whole:
-        mine = [r.part for r in split if r.book_id == book]
-        assert len(mine) > 1 and "".join(mine) == whole[book]
+    split = B.html_documents(cleaned, named, B.stylesheet(), max_bytes=30).orderBy("part_no").collect()
+    parts = {book: [r.html for r in split if r.book_id == book] for book in whole}
+    assert (len(parts["b"]), len(parts["c"])) == (2, 1)
+    assert {book: "".join(p) for book, p in parts.items()} == whole
 
 
 def test_markdown(spark):
     texts = B.clean_section_text(B.section_items(sections(spark, SECTIONS)))
-    docs = B.whole_documents(B.markdown_parts(texts, books(spark, BOOKS)))
-    got = {r.book_id: r.part for r in docs.collect()}
+    got = {r.book_id: r.markdown for r in B.markdown_documents(texts, books(spark, BOOKS)).collect()}
     assert got["b"] == (
         "# A <b>\n\n_By Me\\_1_\n\n## Title\n\ntitle\n\n\n\"Hi,\"\n\nshe said.\n\n\n## Two\n\nx\\_y\n\n***\n\nlast\\*\n")
     assert got["c"] == "# C\n\n## Z\n\nzz\n"

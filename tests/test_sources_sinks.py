@@ -54,15 +54,14 @@ def test_sample_files(spark, tmp_path):
 def test_documents_read_back(spark, tmp_path):
     texts = stage(B.clean_section_text(B.section_items(X.book_sections(spark, SMALL))), "t")
     names = X.documents(spark, SMALL).select(F.col("source").alias("book_id"), F.lit("T").alias("used_title"), F.lit("A").alias("used_author")).distinct()
-    parts = B.markdown_parts(texts, names)
-    docs = B.whole_documents(parts).withColumnRenamed("book_id", "book_slug")
+    docs = B.markdown_documents(texts, names).withColumnRenamed("book_id", "book_slug")
     sinks.write_documents(docs, str(tmp_path / "table"))
-    back = {r.book_slug: r.part for r in spark.read.parquet(str(tmp_path / "table")).collect()}
+    back = {r.book_slug: r.markdown for r in spark.read.parquet(str(tmp_path / "table")).collect()}
     assert len(back) == names.count()
     # files: whole, and in parts, where the files in name order are the same text
-    split = B.whole_documents(parts, max_bytes=3000).withColumnRenamed("book_id", "book_slug")
+    split = B.markdown_documents(texts, names, max_bytes=3000).withColumnRenamed("book_id", "book_slug")
     for folder, df in (("whole", docs), ("parts", split)):
-        sinks.write_document_files(df, str(tmp_path / folder))
+        sinks.write_document_files(df, str(tmp_path / folder), content="markdown")
         for slug, text in back.items():
             d = tmp_path / folder / f"book_slug={slug}"
             files = sorted(f for f in os.listdir(d) if f.startswith("part-"))
