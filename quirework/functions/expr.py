@@ -54,6 +54,41 @@ def islands(array: Column, is_start: Callable[[Column, Column], Column]) -> Colu
     )
 
 
+FOLD_BLOCK = 1024
+
+
+def fold_flags(size: Column, zero: dict[str, Column],
+               step: Callable[[Column, Column], tuple[dict[str, Column], Column]]) -> Column:
+    """Walk over positions ``0 .. size-1`` with a small state; collect a flag for each.
+
+    ``step(state, i)`` returns the next state and a one-letter flag; the result is the
+    array of flags. A fold copies its accumulator at every step, so the flags are kept as
+    text and built block by block: the cost stays close to linear in the array's length.
+    """
+    names = list(zero)
+
+    def pack(values: dict[str, Column], flags: Column) -> Column:
+        return F.struct(*[values[n].alias(n) for n in names], flags.alias("flags"))
+
+    def one(acc: Column, i: Column) -> Column:
+        values, flag = step(acc, i)
+        return pack(values, F.concat(acc["flags"], flag))
+
+    def block(acc: Column, first: Column) -> Column:
+        positions = F.sequence(first, F.least(first + FOLD_BLOCK, size) - 1)
+        inner = F.aggregate(positions, pack({n: acc[n] for n in names}, F.lit("")), one)
+        return let(
+            inner,
+            lambda r: pack({n: r[n] for n in names}, F.concat(acc["flags"], r["flags"])),
+        )
+
+    firsts = F.when(size > 0, F.sequence(F.lit(0), size - 1, F.lit(FOLD_BLOCK))).otherwise(
+        F.array().cast("array<int>")
+    )
+    flags = F.aggregate(firsts, pack(zero, F.lit("")), block, lambda acc: acc["flags"])
+    return F.regexp_extract_all(flags, F.lit("."), F.lit(0))
+
+
 def compute(df: DataFrame, name: str, expr: Column) -> DataFrame:
     """Add a column that is evaluated exactly once per row.
 

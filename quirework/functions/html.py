@@ -11,7 +11,7 @@ import html.entities
 from pyspark.sql import Column, functions as F
 
 from . import patterns as P
-from .expr import indices, let, let_all
+from .expr import fold_flags, indices, let, let_all
 from .merge import ITEMS_TYPE, paragraph_items, scene_item, dedupe_scene_breaks
 from .text import py_strip
 
@@ -82,9 +82,11 @@ def first_heading(body: Column) -> Column:
 
 
 def _named_entities() -> Column:
-    names = sorted(html.entities.name2codepoint) + ["apos"]
-    points = [html.entities.name2codepoint.get(n, 39) for n in names]
-    return F.create_map(*[F.lit(x) for n, p in zip(names, points) for x in (n, chr(p))])
+    """The named references of HTML 4 and XML, the frequent ones first (the map is searched
+    from its beginning)."""
+    points = dict.fromkeys(("amp", "lt", "gt", "quot", "apos", "nbsp"))
+    points.update(html.entities.name2codepoint, apos=ord("'"))
+    return F.create_map(*[F.lit(x) for name, p in points.items() for x in (name, chr(p))])
 
 
 def _code_point(n: Column) -> Column:
@@ -164,92 +166,55 @@ def tag_name(token: Column) -> Column:
     return F.lower(F.regexp_extract(token, r"^</?([A-Za-z][A-Za-z0-9:_.\-]*)", 1))
 
 
-def _dropped_ranges(ts: Column, drop_notes: bool) -> Column:
-    """Token ranges ``struct(first, last)`` to remove, outermost ones only.
+def _drop_flags(ts: Column, drop_notes: bool) -> Column:
+    """A flag for each token: ``d`` inside (or bounding) an element to remove, else ``k``.
 
     The end of an element is found by counting tags of its own name, so unclosed tags of
     other names inside it do no harm; without an end tag it reaches to the end.
     """
-    tags = F.transform(
-        F.filter(indices(ts), lambda i: F.get(ts, i).rlike(r"^</?[A-Za-z]")),
-        lambda i: let(
-            F.get(ts, i),
-            lambda t: let(
-                tag_name(t),
-                lambda name: F.struct(
-                    i.alias("pos"),
-                    name.alias("name"),
-                    F.when(t.startswith("</"), F.lit(-1))
-                    .when(t.endswith("/>") | name.isin(*P.VOID_TAGS), F.lit(0))
-                    .otherwise(F.lit(1))
-                    .alias("delta"),
-                    is_boilerplate_tag(t, drop_notes).alias("hit"),
-                ),
-            ),
-        ),
-    )
-    range_type = "array<struct<first:int,last:int>>"
-
-    def state(name, depth, first, ranges):
-        return F.struct(
-            name.cast("string").alias("name"),
-            depth.cast("int").alias("depth"),
-            first.cast("int").alias("first"),
-            ranges.cast(range_type).alias("ranges"),
-        )
 
-    def closed(acc, first, last):
-        return F.concat(
-            acc["ranges"], F.array(F.struct(first.alias("first"), last.alias("last")))
+    def feature(t):
+        return let(
+            tag_name(t),
+            lambda name: F.struct(
+                name.alias("name"),
+                F.when(name == "", 0)
+                .when(t.startswith("</"), -1)
+                .when(t.endswith("/>") | name.isin(*P.VOID_TAGS), 0)
+                .otherwise(1)
+                .alias("delta"),
+                is_boilerplate_tag(t, drop_notes).alias("hit"),
+            ),
         )
 
-    nothing = F.lit(None)
-
-    def step(acc, t):
-        depth = acc["depth"] + t["delta"]
-        outside = (
-            F.when(~t["hit"], acc)
-            .when(t["delta"] == 0, state(nothing, F.lit(0), F.lit(0), closed(acc, t["pos"], t["pos"])))
-            .otherwise(state(t["name"], F.lit(1), t["pos"], acc["ranges"]))
-        )
-        inside = (
-            F.when(t["name"] != acc["name"], acc)
-            .when(depth > 0, state(acc["name"], depth, acc["first"], acc["ranges"]))
-            .otherwise(state(nothing, F.lit(0), F.lit(0), closed(acc, acc["first"], t["pos"])))
-        )
-        return F.when(acc["name"].isNull(), outside).otherwise(inside)
+    def step(fs):
+        def one(acc, i):
+            f = F.get(fs, i)
+            outside = acc["depth"] == 0
+            opens = outside & f["hit"]
+            depth = (
+                F.when(opens, f["delta"])
+                .when(~outside & (f["name"] == acc["name"]), acc["depth"] + f["delta"])
+                .otherwise(acc["depth"])
+            )
+            state = {"name": F.when(opens, f["name"]).otherwise(acc["name"]), "depth": depth}
+            return state, F.when(outside & ~f["hit"], "k").otherwise("d")
 
-    def finish(acc):
-        return F.when(acc["name"].isNull(), acc["ranges"]).otherwise(
-            closed(acc, acc["first"], F.size(ts) - 1)
-        )
+        return one
 
-    zero = state(nothing, F.lit(0), F.lit(0), F.array())
-    return let(tags, lambda tg: F.aggregate(tg, zero, step, finish))
+    zero = {"name": F.lit(""), "depth": F.lit(0)}
+    return let(F.transform(ts, feature), lambda fs: fold_flags(F.size(fs), zero, step(fs)))
 
 
 def drop_boilerplate(ts: Column, drop_notes: bool = False) -> Column:
     """Tokens without navigation, landmark, action and download elements (and notes)."""
 
     def cut(t):
-        def keep(ranges):
-            # the gaps between the removed ranges, in order
-            gaps = F.transform(
-                F.sequence(F.lit(0), F.size(ranges)),
-                lambda k: let_all(
-                    {
-                        "lo": F.when(k > 0, F.get(ranges, k - 1)["last"] + 1).otherwise(0),
-                        "hi": F.coalesce(F.get(ranges, k)["first"], F.size(t)),
-                    },
-                    lambda g: F.slice(t, g["lo"] + 1, g["hi"] - g["lo"]),
-                ),
-            )
-            return F.when(F.size(ranges) == 0, t).otherwise(F.flatten(gaps))
-
-        return F.when(
-            F.exists(t, lambda x: is_boilerplate_tag(x, drop_notes)),
-            let(_dropped_ranges(t, drop_notes), keep),
-        ).otherwise(t)
+        kept = let(
+            _drop_flags(t, drop_notes),
+            lambda flags: F.filter(t, lambda x, i: F.get(flags, i) == "k"),
+        )
+        return F.when(F.exists(t, lambda x: is_boilerplate_tag(x, drop_notes)), kept).otherwise(t)
 
     return let(ts, cut)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import patterns as P
-from .expr import indices, let, split_at
+from .expr import fold_flags, indices, let, split_at
 from .text import (
     clean_text,
     first_is,
@@ -143,19 +143,11 @@ def merge_starts_folded(items: Column, aggressive: Column, words=P.DIALOGUE_TAG_
     """The same, where the decision depends on the paragraph merged so far.
 
     The state is small: its length, whether it opens with a quote, and its text while it
-    is only dashes (three of them would be a scene break). Only opened paragraphs are
-    appended to the result, never every element.
+    is only dashes (three of them would be a scene break).
     """
 
     def run(fs: Column) -> Column:
-        zero = F.struct(
-            F.lit(0).alias("len"),
-            F.lit(False).alias("quoted"),
-            F.lit(None).cast("string").alias("dashes"),
-            F.array().cast("array<int>").alias("starts"),
-        )
-
-        def step(acc: Column, i: Column) -> Column:
+        def step(acc: Column, i: Column):
             f, p = F.get(fs, i), F.get(fs, i - 1)
             acc_scene = F.when(acc["dashes"].isNotNull(), is_scene_break(acc["dashes"])).otherwise(
                 p["scene"] & (acc["len"] == p["len"])
@@ -169,28 +161,30 @@ def merge_starts_folded(items: Column, aggressive: Column, words=P.DIALOGUE_TAG_
                     | (acc["quoted"] & (acc["len"] <= P.SHORT_QUOTED_PREVIOUS))
                 )
             )
-            merge = (i > 0) & f["para"] & p["para"] & ~acc_scene & ~f["scene"] & (plain | bold)
-            return F.when(
-                merge,
-                F.struct(
-                    (acc["len"] + 1 + f["len"]).alias("len"),
-                    acc["quoted"].alias("quoted"),
-                    let(
-                        F.concat(acc["dashes"], F.lit(" "), f["dashes"]),
-                        lambda d: F.when(_few_dashes(d), d),
-                    ).alias("dashes"),
-                    acc["starts"].alias("starts"),
-                ),
-            ).otherwise(
-                F.struct(
-                    f["len"].alias("len"),
-                    f["quoted"].alias("quoted"),
-                    f["dashes"].alias("dashes"),
-                    F.concat(acc["starts"], F.array(i)).alias("starts"),
-                )
+            merge = F.coalesce(
+                (i > 0) & f["para"] & p["para"] & ~acc_scene & ~f["scene"] & (plain | bold),
+                F.lit(False),
             )
-
-        return F.aggregate(indices(fs), zero, step, lambda acc: acc["starts"])
+            dashes = let(
+                F.concat(acc["dashes"], F.lit(" "), f["dashes"]),
+                lambda d: F.when(_few_dashes(d), d),
+            )
+            state = {
+                "len": F.when(merge, acc["len"] + 1 + f["len"]).otherwise(f["len"]),
+                "quoted": F.when(merge, acc["quoted"]).otherwise(f["quoted"]),
+                "dashes": F.when(merge, dashes).otherwise(f["dashes"]),
+            }
+            return state, F.when(merge, "m").otherwise("s")
+
+        zero = {
+            "len": F.lit(0),
+            "quoted": F.lit(False),
+            "dashes": F.lit(None).cast("string"),
+        }
+        return let(
+            fold_flags(F.size(fs), zero, step),
+            lambda flags: F.filter(indices(fs), lambda i: F.get(flags, i) == "s"),
+        )
 
     return let(F.transform(items, lambda x: _features(x, aggressive, words)), run)
 

@@ -82,4 +82,7 @@ def test_second_cleaning_changes_nothing_where_scenes_are_kept(spark):
 def test_a_long_run_is_merged_whole(spark):
     case = [("p", "word,")] + [("p", "go on,")] * 20000
     assert len(run(spark, [case], merge=True)[0]) == 1
-    assert len(run(spark, [case[:4000]], merge=True, aggressive=True)[0]) == 1
+    assert len(run(spark, [case], merge=True, aggressive=True)[0]) == 1
+    # many paragraphs that stay apart: the fold must not slow down with their number
+    apart = [("p", "No end here but a capital next"), ("p", "Other")] * 30000
+    assert len(run(spark, [apart], merge=True, aggressive=True)[0]) == 60000
