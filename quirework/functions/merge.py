@@ -189,12 +189,24 @@ def merge_starts_folded(items: Column, aggressive: Column, words=P.DIALOGUE_TAG_
     return let(F.transform(items, lambda x: _features(x, aggressive, words)), run)
 
 
+def merge_starts(items: Column, aggressive=False, words=P.DIALOGUE_TAG_WORDS) -> Column:
+    """Indices at which the merged paragraphs (and scene breaks) begin. ``items`` must be
+    cheap to evaluate repeatedly."""
+    bold = aggressive if isinstance(aggressive, Column) else F.lit(bool(aggressive))
+    # neighbours decide alone unless lengths count or a dash run may turn into a scene
+    fold_needed = bold | F.exists(
+        items, lambda x: (x["kind"] == "p") & _few_dashes(x["text"])
+    )
+    return F.when(fold_needed, merge_starts_folded(items, bold, words)).otherwise(
+        merge_starts_pairwise(items, words)
+    )
+
+
 def merge_items(items: Column, merge, aggressive=False, words=P.DIALOGUE_TAG_WORDS) -> Column:
     """Merge continuation paragraphs into the one before. Switches may be columns."""
     if merge is False:
         return items
     on = merge if isinstance(merge, Column) else F.lit(True)
-    bold = aggressive if isinstance(aggressive, Column) else F.lit(bool(aggressive))
 
     def glue(a: Column, starts: Column) -> Column:
         return F.transform(
@@ -206,12 +218,8 @@ def merge_items(items: Column, merge, aggressive=False, words=P.DIALOGUE_TAG_WOR
         )
 
     def body(a: Column) -> Column:
-        # neighbours decide alone unless lengths count or a dash run may turn into a scene
-        fold_needed = bold | F.exists(a, lambda x: (x["kind"] == "p") & _few_dashes(x["text"]))
-        starts = F.when(fold_needed, merge_starts_folded(a, bold, words)).otherwise(
-            merge_starts_pairwise(a, words)
-        )
-        return F.when(on, let(starts, lambda s: glue(a, s))).otherwise(a)
+        merged = let(merge_starts(a, aggressive, words), lambda s: glue(a, s))
+        return F.when(on, merged).otherwise(a)
 
     return let(items, body)
 

@@ -35,10 +35,12 @@ def page_title(html_col: Column) -> Column:
 
 
 def page_author(html_col: Column) -> Column:
-    byline = _first_element(
-        html_col, r"""(?is)<h3\s[^>]*class="(?=[^"]*\bbyline\b)(?=[^"]*\bheading\b)[^"]*"[^>]*>.*?</h3\s*>"""
+    bylines = F.regexp_extract_all(
+        html_col,
+        F.lit(r"""(?is)<h3\s[^>]*class="(?=[^"]*\bbyline\b)(?=[^"]*\bheading\b)[^"]*"[^>]*>.*?</h3\s*>"""),
+        F.lit(0),
     )
-    link = _first_element(byline, r"""(?is)<a\s[^>]*rel="author"[^>]*>.*?</a\s*>""")
+    link = _first_element(F.array_join(bylines, ""), r"""(?is)<a\s[^>]*rel="author"[^>]*>.*?</a\s*>""")
     return or_default(element_text(link), P.UNKNOWN_AUTHOR)
 
 

@@ -82,16 +82,11 @@ def merged(df: DataFrame, aggressive: bool = False) -> DataFrame:
 
 def merge_report(df: DataFrame, group: str) -> DataFrame:
     """Paragraphs before and after merging per group. Only counts are shuffled."""
-    counted = df.select(
-        group,
-        let(
-            F.struct(
-                F.size("items").alias("before"),
-                F.size(M.merge_items(F.col("items"), True)).alias("after"),
-            ),
-            lambda s: s,
-        ).alias("n"),
+    counts = let(
+        F.col("items"),
+        lambda a: F.struct(F.size(a).alias("before"), F.size(M.merge_starts(a)).alias("after")),
     )
+    counted = df.select(group, counts.alias("n"))
     return counted.groupBy(group).agg(
         F.sum("n.before").alias("paragraphs_before"),
         F.sum("n.after").alias("paragraphs_after"),

@@ -26,9 +26,10 @@ def test_work_urls(evaluate):
 
 def test_metadata(spark):
     page = '<head><meta property="og:title" content=" Meta &amp; T "></head><h2 class="title heading"> {} </h2><h3 class="byline heading">by <a rel="author" href="#">Ann <b>B</b></a></h3>'
-    rows = [(1, page.format("A <i>b</i>")), (2, page.format("")), (3, "<h2>no</h2><h3>x</h3>")]
+    rows = [(1, page.format("A <i>b</i>")), (2, page.format("")), (3, "<h2>no</h2><h3>x</h3>"),
+            (4, '<h3 class="byline heading">anonymous</h3>' + page.format("T"))]
     got = OW.page_metadata(spark.createDataFrame(rows, "id int, html string"), ["id"]).orderBy("id").collect()
-    assert [(r.title, r.author) for r in got] == [("A b", "Ann B"), ("Meta & T", "Ann B"), ("AO3 Work", "Unknown Author")]
+    assert [(r.title, r.author) for r in got] == [("A b", "Ann B"), ("Meta & T", "Ann B"), ("AO3 Work", "Unknown Author"), ("T", "Ann B")]
     assert got[0].file_stem == "Ann B - A b"
 
 
