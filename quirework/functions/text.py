@@ -196,6 +196,14 @@ def clean_text(
     full = _clean_multiline(
         c, soft_wrapped, dialogue, collapse, preserve, strict=strict, nbsp=nbsp, words=words
     )
+    if soft_wrapped is True:
+        # one block of text without scene lines: joining its lines is all there is to do
+        ws = P.SPACE_IN_LINE
+        several = c.rlike(rf"[\r{_MARK}]|\n[{ws}]*+[\n*#~\-]|^[{P.SPACE}]*+[*#~\-]")
+        joined = F.regexp_replace(
+            F.regexp_replace(c, rf"[{ws}]*+\n[{ws}]*+", " "), r"[ \t\x{a0}]+", " "
+        )
+        full = F.when(several, full).otherwise(py_strip(joined))
     # most paragraphs are a single line without anything to repair, under any setting
     return F.when(c.rlike(rf"[\n\r\t\x{{a0}}{_MARK}]|  "), full).otherwise(py_strip(c))
 
