@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -54,6 +55,24 @@ def islands(array: Column, is_start: Callable[[Column, Column], Column]) -> Colu
     )
 
 
+_built: dict = {}
+
+
+def reuse(key: tuple, build: Callable[[], Column]) -> Column:
+    """Keep a large expression for the life of the Spark context.
+
+    Expressions never change and refer to columns by name, but building a large one takes
+    thousands of small calls into the JVM.
+    """
+    context = SparkContext._active_spark_context
+    if _built.get("context") is not context:
+        _built.clear()
+        _built["context"] = context
+    if key not in _built:
+        _built[key] = build()
+    return _built[key]
+
+
 FOLD_BLOCK = 1024
 
 

@@ -15,10 +15,10 @@ from ..functions import html as H
 from ..functions import merge as M
 from ..functions import naming as N
 from ..functions import patterns as P
-from ..functions.expr import compute, explode_rows
+from ..functions.expr import compute, explode_rows, reuse
 from ..functions.text import is_scene_break, py_strip
 from ..plans.staging import stage
-from .html import with_tokens
+from .html import items_of_tokens, with_tokens
 from .skew import salted_join
 
 MAX_DOCUMENT_BYTES = 32 * 1024 * 1024
@@ -140,11 +140,16 @@ def section_items(sections: DataFrame, drop_notes: bool = False) -> DataFrame:
     """Sections with their items, cleaned with the default settings. The same for all
     variants, so this runs before they fan out."""
     ts = with_tokens(sections, "html", drop_notes)
-    return compute(ts, "items", H.raw_items(F.col("tokens"))).drop("tokens", "html")
+    return compute(ts, "items", items_of_tokens()).drop("tokens", "html")
 
 
 def apply_switches(df: DataFrame) -> DataFrame:
     """Items under the switches in the row's columns."""
+    merged = reuse(("switched_items",), _switched_items)
+    return compute(df, "items", merged).drop(*S.VARIANT_COLUMNS[2:])
+
+
+def _switched_items() -> Column:
     c = {name: F.col(name) for name in S.VARIANT_COLUMNS[2:]}
     items = M.filter_scene_breaks(F.col("items"), c["preserve_scene_breaks"])
     items = M.reclean_items(
@@ -154,8 +159,7 @@ def apply_switches(df: DataFrame) -> DataFrame:
         c["collapse_extra_blank_lines"],
         c["preserve_scene_breaks"],
     )
-    merged = M.merge_items(items, c["merge_dialogue_paragraphs"], c["aggressive_mode"])
-    return compute(df, "items", merged).drop(*S.VARIANT_COLUMNS[2:])
+    return M.merge_items(items, c["merge_dialogue_paragraphs"], c["aggressive_mode"])
 
 
 def fan_out(base: DataFrame, groups: DataFrame, then=None) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import html as H
-from ..functions.expr import compute, explode_rows
+from ..functions.expr import compute, explode_rows, reuse
 
 
 def page_bodies(df: DataFrame, keys, html: str = "html") -> DataFrame:
@@ -22,15 +22,25 @@ def sections_from_html(df: DataFrame, keys, html: str = "html") -> DataFrame:
 
 def with_tokens(df: DataFrame, html: str = "html", drop_notes: bool = False) -> DataFrame:
     """Tokens of what is left after dropping boilerplate."""
-    return compute(df, "tokens", H.drop_boilerplate(H.tokens(F.col(html)), drop_notes))
+    return compute(df, "tokens", kept_tokens(html, drop_notes))
+
+
+def kept_tokens(html: str, drop_notes: bool) -> Column:
+    return reuse(
+        ("kept_tokens", html, drop_notes),
+        lambda: H.drop_boilerplate(H.tokens(F.col(html)), drop_notes),
+    )
+
+
+def items_of_tokens() -> Column:
+    return reuse(("raw_items",), lambda: H.raw_items(F.col("tokens")))
 
 
 def kept_html(df: DataFrame, keys, html: str = "html") -> DataFrame:
-    ts = H.tokens(F.col(html))
     return df.select(
         *keys,
-        F.array_join(H.drop_boilerplate(ts, False), "").alias("kept"),
-        F.array_join(H.drop_boilerplate(ts, True), "").alias("kept_without_notes"),
+        F.array_join(kept_tokens(html, False), "").alias("kept"),
+        F.array_join(kept_tokens(html, True), "").alias("kept_without_notes"),
     )
 
 

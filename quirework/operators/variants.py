@@ -12,6 +12,7 @@ from ..functions.expr import compute, let
 from ..functions.text import py_rstrip, py_strip
 from . import books as B
 from . import imposition as I
+from .html import items_of_tokens, with_tokens
 from .layout import capacities, section_pages
 from .skew import salted_join
 
@@ -161,11 +162,10 @@ def raw_text(tokens):
 
 def before_after(sections: DataFrame, keys, merge: bool = False) -> DataFrame:
     """Section text before and after the standard cleanup."""
-    ts = H.drop_boilerplate(H.tokens(F.col("html")), False)
-    both = compute(sections, "tokens", ts).select(
+    both = with_tokens(sections).select(
         *keys, "heading",
         py_strip(raw_text(F.col("tokens"))).alias("before"),
-        M.items_text(M.merge_items(H.raw_items(F.col("tokens")), merge)).alias("after"),
+        M.items_text(M.merge_items(items_of_tokens(), merge)).alias("after"),
     )
     return both
 
