@@ -18,6 +18,8 @@ def spread_small(df: DataFrame) -> DataFrame:
     idle through a map-only job. Large inputs have many row groups and are left alone, so
     this never moves more than 16 MiB per core.
     """
+    if not hasattr(df, "_jdf"):  # Spark Connect: the server side sizes the scan
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     if int(str(size)) > cores * SMALL_BYTES_PER_CORE:
