@@ -32,7 +32,7 @@ BLOCK_CHARS = 20_000
 #: Slots of a period, at least.
 PERIOD = 1000
 #: Documents of one slice when positions within a source are counted.
-SLICE = 20_000
+SLICE = 2_000
 #: Without given weights: shares in proportion to characters to this power.
 TEMPER = 0.7
 

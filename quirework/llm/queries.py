@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lines, mixing, packing, quality, simhash
+from . import lines, mixing, packing, pii, quality, secrets, simhash
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         quality.accepted(F.col("failures")).alias("kept"), "failures")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("_d.doc_id", "_d.source", F.col("_block").alias("block"),
@@ -45,7 +49,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), **tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op5_mixing, op7_simhash, op8_packing)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.scan(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_line_dedup, op2_quality_rules, op3_secrets, op5_mixing, op7_simhash, op8_packing, op10_pii)}
 
 SPACES_SQL = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 WORD_SQL = r"[^\x20\x09-\x0D]+"
