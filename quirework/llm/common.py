@@ -78,3 +78,19 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iter
         rest = [batch.slice(cut)]
     if rest:
         yield pa.Table.from_batches(rest).combine_chunks()
+
+
+def meetings(rows: DataFrame, groups: DataFrame, keys: Sequence[str], by: str, block: int) -> DataFrame:
+    """Deal the rows of each group to tasks so that every two rows meet in one of them.
+
+    ``groups`` has the groups to compare and their size ``n``. A group of at most ``block``
+    rows meets at once (``low`` = ``high`` = 0); a larger one is cut into blocks by a hash of
+    ``by``, and every two blocks meet. ``side`` is the block of a row. Where two different
+    blocks meet, only pairs across them are new.
+    """
+    blocks = groups.select(*keys, F.ceil(F.col("n") / block).cast("int").alias("_blocks"))
+    cut = rows.join(blocks, list(keys)).withColumn(
+        "side", F.pmod(F.xxhash64(by), F.col("_blocks")).cast("int"))
+    met = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return met.withColumns({"low": F.least("side", "_other"), "high": F.greatest("side", "_other")}).drop(
+        "_other", "_blocks")

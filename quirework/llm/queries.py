@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lines, mixing, packing, pii, quality, secrets, simhash
+from . import lattice, lines, mixing, packing, pii, quality, secrets, simhash
 from .common import table
 
 
@@ -49,12 +49,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), **tokenizer())
 
 
+def op9_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_classes(table(spark, sf_dir, "embeddings"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_line_dedup, op2_quality_rules, op3_secrets, op5_mixing, op7_simhash, op8_packing, op10_pii)}
+    op1_line_dedup, op2_quality_rules, op3_secrets, op5_mixing, op7_simhash, op8_packing, op9_lattice, op10_pii)}
 
 SPACES_SQL = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 WORD_SQL = r"[^\x20\x09-\x0D]+"

@@ -32,7 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType
 
-from .common import staged, whole_groups
+from .common import meetings, staged, whole_groups
+from .forest import Forest
 from .graph import components
 
 BITS = 64
@@ -85,36 +86,6 @@ def leaf_masks(bands: int, radius: int = RADIUS) -> list[int]:
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in signed]
 
 
-class Forest:
-    """Union-find over positions; keeps the links that joined two groups."""
-
-    def __init__(self, n: int):
-        self.parent = np.arange(n)
-        self.links: list[tuple[int, int]] = []
-
-    def roots(self) -> np.ndarray:
-        while True:
-            above = self.parent[self.parent]
-            if np.array_equal(above, self.parent):
-                return above
-            self.parent = above
-
-    def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        roots = self.roots()
-        new = roots[a] != roots[b]
-        for i, j in zip(a[new].tolist(), b[new].tolist(), strict=True):
-            x, y = self.root(i), self.root(j)
-            if x != y:
-                self.parent[max(x, y)] = min(x, y)
-                self.links.append((i, j))
-
-
 def search_leaves(leaf: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """Links of many leaves at once. ``leaf`` numbers the groups in order; ``side`` is the
     block of a row. Rows of one block are compared with each other only where a leaf holds
@@ -149,14 +120,8 @@ def links_between(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, band
     masks = leaf_masks(bands or bands_for(fps.count(), radius), radius)
     rows = fps.select("fp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("tree", "mask"))
     rows = rows.select("fp", "tree", F.col("fp").bitwiseAND(F.col("mask")).alias("leaf"))
-    large = rows.groupBy("tree", "leaf").count().filter(F.col("count") > block).select(
-        "tree", "leaf", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    # each row goes to its block's meetings with every block of the leaf: (b, b) and all (b, other)
-    own = F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1))).cast("int")
-    rows = rows.join(large, ["tree", "leaf"], "left").withColumn("side", own).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-    rows = rows.select("tree", "leaf", F.least("side", "other").alias("low"),
-                       F.greatest("side", "other").alias("high"), "side", "fp")
+    crowded = rows.groupBy("tree", "leaf").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = meetings(rows, crowded, ["tree", "leaf"], "fp", block)
     keys = ["tree", "leaf", "low", "high"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
