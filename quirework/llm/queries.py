@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lattice, lines, mixing, packing, pii, quality, secrets, simhash
+from . import language, lattice, lines, mixing, packing, pii, quality, secrets, simhash
 from .common import table
 
 
@@ -32,6 +32,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("_epoch").alias("epoch"), F.col("_slot").alias("slot"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -58,7 +63,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_line_dedup, op2_quality_rules, op3_secrets, op5_mixing, op7_simhash, op8_packing, op9_lattice, op10_pii)}
+    op1_line_dedup, op2_quality_rules, op3_secrets, op5_mixing, op6_language, op7_simhash, op8_packing, op9_lattice, op10_pii)}
 
 SPACES_SQL = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 WORD_SQL = r"[^\x20\x09-\x0D]+"
