@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, lattice, lines, mixing, packing, pii, quality, secrets, simhash
+from . import language, lattice, lines, mixing, packing, pii, quality, secrets, simhash, template
 from .common import table
 
 
@@ -26,6 +26,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op4_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = template.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("_d.doc_id", "_d.source", F.col("_block").alias("block"),
@@ -63,7 +68,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_line_dedup, op2_quality_rules, op3_secrets, op5_mixing, op6_language, op7_simhash, op8_packing, op9_lattice, op10_pii)}
+    op1_line_dedup, op2_quality_rules, op3_secrets, op4_html_template, op5_mixing, op6_language, op7_simhash, op8_packing, op9_lattice, op10_pii)}
 
 SPACES_SQL = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 WORD_SQL = r"[^\x20\x09-\x0D]+"
