@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BinaryType, DoubleType, StringType, StructType
 
-SAMPLE = 4000
+SAMPLE = 1600
 FOLDS = 5
 BITS = 12
 EPOCHS = 12
@@ -141,7 +141,7 @@ def training_rows(text: pd.Series) -> pd.Series:
     for t in text:
         middle = max(0, len(t) // 2 - PIECE // 2)
         piece = t[middle: middle + PIECE]
-        out.append(np.concatenate([features(t), features(piece)]).astype("<f4").tobytes())
+        out.append(np.concatenate([features(t), features(piece)]).astype("<f2").tobytes())
     return pd.Series(out)
 
 
@@ -157,12 +157,16 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: i
     odds = F.create_map(*[F.lit(v) for s, n in sizes.items() for v in (s, min(1.0, (1.2 * share + 20) / n))])
     drawn = rows.filter(F.pmod("h", F.lit(1 << 30)) < F.element_at(odds, F.col("lang")) * (1 << 30))
     drawn = drawn.withColumn("x", training_rows("text")).select("lang", "h", "x")
-    by = defaultdict(list)
-    for r in sorted(drawn.collect(), key=lambda r: (r["h"], r["lang"])):
-        if len(by[r["lang"]]) < share:
-            by[r["lang"]].append(np.frombuffer(r["x"], dtype="<f4").reshape(2, -1))
-    langs = [s for s, xs in by.items() for x in xs for _ in x]
-    return Model(np.concatenate([x for xs in by.values() for x in xs]).astype(np.float64), langs)
+    by: dict[str, int] = defaultdict(int)
+    langs, rows = [], drawn.collect()
+    x = np.empty((2 * len(rows), 1 << BITS), dtype=np.float32)
+    for r in sorted(rows, key=lambda r: (r["h"], r["lang"])):
+        if by[r["lang"]] < share:
+            by[r["lang"]] += 1
+            x[len(langs): len(langs) + 2] = np.frombuffer(r["x"], dtype="<f2").reshape(2, -1)
+            langs += [r["lang"]] * 2
+    del rows
+    return Model(x[: len(langs)], langs)
 
 
 def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
