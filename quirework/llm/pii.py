@@ -60,7 +60,7 @@ def is_card(hit: Column) -> Column:
 
 
 def parts_in_range(hit: Column) -> Column:
-    part = lambda p: F.length(F.ltrim(F.lit("0"), p)) <= 3  # noqa: E731  leading zeros don't count
+    part = lambda p: F.length(F.ltrim(p, F.lit("0"))) <= 3  # noqa: E731  leading zeros don't count
     return F.forall(F.split(hit, r"\."), lambda p: part(p) & (F.right(F.concat(F.lit("000"), p), F.lit(3)).cast("int") <= 255))
 
 
