@@ -52,10 +52,11 @@ def period_of(weights: Mapping, slots: int = PERIOD) -> dict:
 
 
 def schedule(slots: Mapping) -> list[tuple[object, int, int]]:
-    """One period, earliest deadline first: (source, block of the period, slot)."""
+    """One period, earliest deadline first: (source, block of the period, slot). Of equal
+    deadlines the source that comes first by name is served."""
     period = sum(slots.values())
     waiting = [(0, i) for i in range(len(slots))]
-    names, given = list(slots), [0] * len(slots)
+    names, given = sorted(slots, key=lambda s: (s is None, str(s))), [0] * len(slots)
     ready: list[tuple[int, int]] = []
     out = []
     for t in range(period):
