@@ -201,7 +201,8 @@ def clean_text(
         ws = P.SPACE_IN_LINE
         several = c.rlike(rf"[\r{_MARK}]|\n[{ws}]*+[\n*#~\-]|^[{P.SPACE}]*+[*#~\-]")
         joined = F.regexp_replace(
-            F.regexp_replace(c, rf"[{ws}]*+\n[{ws}]*+", " "), r"[ \t\x{a0}]+", " "
+            F.regexp_replace(c, rf"[{ws}]*+\n[{ws}]*+", " "),
+            r"[ \t\x{a0}]+" if nbsp else r"[ \t]+", " ",
         )
         full = F.when(several, full).otherwise(py_strip(joined))
     # most paragraphs are a single line without anything to repair, under any setting

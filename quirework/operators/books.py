@@ -1,9 +1,8 @@
 """Book assembly: metadata, slugs, names, sections, documents, styled paragraphs.
 
 A book is ``book_id``; its sections are rows ``(book_id, section_idx, heading, html)``.
-Paragraph work stays inside the section row. Only per-book *aggregates* are shuffled,
-except where a whole document per book is asked for; there, the measured size of each
-book decides whether it becomes one row or stays in parts.
+Paragraph work stays inside the section row, and only per-book *aggregates* are shuffled.
+A whole document is a set of ordered parts, one per section, whatever its size.
 """
 
 from __future__ import annotations
@@ -17,13 +16,9 @@ from ..functions import naming as N
 from ..functions import patterns as P
 from ..functions.expr import compute, explode_rows, reuse
 from ..functions.text import is_scene_break, py_strip
-from ..plans.staging import stage
 from .html import items_of_tokens, with_tokens
 from .skew import salted_join
 
-MAX_DOCUMENT_BYTES = 32 * 1024 * 1024
-
-
 # --- metadata and names -----------------------------------------------------------
 
 
@@ -57,9 +52,11 @@ def book_slugs(df: DataFrame, keys, title="title", author="author", stem="stem")
 
 
 def slug_collisions(slugs: DataFrame, keys) -> DataFrame:
-    """Number of books per slug, put behind each book. A slug may be very frequent."""
-    counts = slugs.groupBy("slug").agg(F.count(F.lit(1)).alias("n_books"))
-    return salted_join(slugs, counts, ["slug"], keys)
+    """Number of books per slug, put behind each book. A slug may be very frequent; only
+    those that occur more than once are copied for the join."""
+    counts = slugs.groupBy("slug").agg(F.count(F.lit(1)).alias("n_books")).filter("n_books > 1")
+    joined = salted_join(slugs, counts, ["slug"], keys, "left")
+    return joined.withColumn("n_books", F.coalesce("n_books", F.lit(1).cast("bigint")))
 
 
 def output_names(df: DataFrame, keys, slug="slug", sheets="sheets", pages="pages",
@@ -190,56 +187,46 @@ def clean_section_html(items: DataFrame, drop_duplicate_heading: bool = False) -
 # --- documents --------------------------------------------------------------------
 
 
-def _with_book(filled: DataFrame, content: str, books: DataFrame | None = None) -> DataFrame:
-    """Put book-level figures next to each section: its first and last section and its
-    size in bytes (and title and author).
+FRONT, END = -1, 2**63 - 1
 
-    The figures come from an aggregate over narrow columns; ordering the sections of a
-    book in one task is never needed.
-    """
-    per_book = filled.groupBy("book_id").agg(
-        F.min("section_idx").alias("_first"),
-        F.max("section_idx").alias("_last"),
-        F.sum("_bytes").alias("_total"),
-    )
-    if books is not None:
-        per_book = per_book.join(books.select("book_id", "used_title", "used_author"), "book_id")
-    return salted_join(filled.drop("_bytes"), per_book, ["book_id"], ["section_idx"])
 
+def _filled(sections: DataFrame, content: str) -> DataFrame:
+    """Sections with content, and whether they are the first such one of their book.
 
-def _staged(sections: DataFrame, content: str) -> DataFrame:
-    """Sections with content, written once: the aggregate then reads three small columns."""
+    The first index of each book is a narrow aggregate, joined on the unique
+    ``(book_id, section_idx)``: a book with a third of all sections is no hot key.
+    """
     filled = sections.filter(F.col(content).rlike(rf"[^{P.SPACE}]"))
-    return stage(filled.withColumn("_bytes", F.octet_length(content).cast("bigint")), content)
-
+    firsts = filled.groupBy("book_id").agg(F.min("section_idx").alias("section_idx"))
+    marked = filled.join(firsts.withColumn("_first", F.lit(True)), ["book_id", "section_idx"], "left")
+    return marked.withColumn("_first", F.coalesce("_first", F.lit(False)))
 
-def _join_parts(parts: DataFrame, max_bytes: int) -> DataFrame:
-    """``(book_id, section_idx, part, _total)`` -> documents ``(book_id, part_no, part)``.
 
-    A book of at most ``max_bytes`` becomes one row (``part_no`` 0). A larger one keeps one
-    row per section, numbered by it; read in order they are the same document. So no task
-    ever holds more than ``max_bytes`` of one book.
-    """
-    part_no = F.when(F.col("_total") <= max_bytes, F.lit(0)).otherwise(F.col("section_idx"))
-    return (
-        parts.groupBy("book_id", part_no.cast("bigint").alias("part_no"))
-        .agg(F.array_sort(F.collect_list(F.struct("section_idx", "part"))).alias("_parts"))
-        .select(
-            "book_id", "part_no",
-            F.array_join(F.transform("_parts", lambda p: p["part"]), "").alias("part"),
-        )
+def _titled(sections: DataFrame, books: DataFrame) -> DataFrame:
+    """Every book that has metadata or a section, with a title and an author."""
+    ids = sections.select("book_id").distinct()
+    known = books.select("book_id", "used_title", "used_author")
+    return ids.join(known, "book_id", "full").select(
+        "book_id",
+        F.coalesce("used_title", F.lit(P.UNKNOWN_TITLE)).alias("used_title"),
+        F.coalesce("used_author", F.lit(P.UNKNOWN_AUTHOR)).alias("used_author"),
     )
 
 
+def _part(rows: DataFrame, part_no, content: Column, name: str) -> DataFrame:
+    number = part_no if isinstance(part_no, Column) else F.lit(part_no)
+    return rows.select("book_id", number.cast("bigint").alias("part_no"), content.alias(name))
+
+
 def section_blocks(cleaned: DataFrame) -> DataFrame:
     """Section elements; the first one of a book that is not empty is marked."""
-    marked = _with_book(_staged(cleaned, "html"), "html")
-    return marked.select("book_id", "section_idx", "heading", _section_element().alias("block"))
+    return _filled(cleaned, "html").select(
+        "book_id", "section_idx", "heading", _section_element().alias("block"))
 
 
 def _section_element() -> Column:
     css_class = F.when(
-        F.col("section_idx") == F.col("_first"), "chapter first-body-chapter"
+        F.col("_first"), "chapter first-body-chapter"
     ).otherwise("chapter")
     h1 = F.when(
         F.col("heading") != "",
@@ -280,12 +267,12 @@ def stylesheet(mode: str = S.DEFAULT_SPACING, size: str = S.DEFAULT_PAGE_SIZE,
     return "\n".join(f"{selector} {{ {body} }}" for selector, body in rules)
 
 
-def html_documents(cleaned: DataFrame, books: DataFrame, css: str,
-                   max_bytes: int = MAX_DOCUMENT_BYTES) -> DataFrame:
-    """Title page, blank page and sections of each book that has any, as HTML.
+def html_documents(cleaned: DataFrame, books: DataFrame, css: str) -> DataFrame:
+    """HTML of each book in ordered parts ``(book_id, part_no, html)``.
 
-    ``cleaned`` is section HTML, ``books`` is ``(book_id, used_title, used_author)``. The
-    front matter goes with the first section, the end with the last one.
+    Part ``FRONT`` is the title page and the blank page, a section's part has the number of
+    the section, and part ``END`` closes the document; read in order they are one file. A
+    book without any text is its title page; one without metadata has the default title.
     """
     title, author = H.escape_html(F.col("used_title")), H.escape_html(F.col("used_author"))
     head = F.concat(
@@ -298,15 +285,12 @@ def html_documents(cleaned: DataFrame, books: DataFrame, css: str,
         author,
         F.lit('</p></div></section>\n<div class="blank-page"></div>\n'),
     )
-    part = F.concat(
-        F.when(F.col("section_idx") == F.col("_first"), head).otherwise(""),
-        _section_element(),
-        F.when(F.col("section_idx") == F.col("_last"), "\n</body>\n</html>\n").otherwise(""),
+    titled = _titled(cleaned, books)
+    return (
+        _part(titled, FRONT, head, "html")
+        .unionByName(_part(_filled(cleaned, "html"), F.col("section_idx"), _section_element(), "html"))
+        .unionByName(_part(titled, END, F.lit("\n</body>\n</html>\n"), "html"))
     )
-    titled = _with_book(_staged(cleaned, "html"), "html", books)
-    return _join_parts(
-        titled.select("book_id", "section_idx", "_total", part.alias("part")), max_bytes
-    ).withColumnRenamed("part", "html")
 
 
 def escape_markdown(c: Column) -> Column:
@@ -319,33 +303,28 @@ def paragraphs_of(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n\n"), py_strip), lambda p: p != "")
 
 
-def markdown_documents(texts: DataFrame, books: DataFrame,
-                       max_bytes: int = MAX_DOCUMENT_BYTES) -> DataFrame:
-    """Markdown of each book with any text.
-
-    The last paragraph is stripped, so the file ends with exactly one line end.
-    """
+def markdown_documents(texts: DataFrame, books: DataFrame) -> DataFrame:
+    """Markdown of each book in ordered parts ``(book_id, part_no, markdown)``: the title as
+    part ``FRONT``, then the sections. Read in order they are one file, which ends with
+    exactly one line end."""
     author = F.when(
         py_strip(F.col("used_author")) != "",
         F.concat(F.lit("\n\n_By "), escape_markdown(F.col("used_author")), F.lit("_")),
     ).otherwise("")
-    head = F.concat(F.lit("# "), escape_markdown(F.col("used_title")), author)
+    head = F.concat(F.lit("# "), escape_markdown(F.col("used_title")), author, F.lit("\n"))
     heading = py_strip(F.col("heading"))
     paragraphs = F.transform(
         paragraphs_of(F.col("text")),
         lambda p: F.when(is_scene_break(p), F.lit(P.SCENE_MARK)).otherwise(escape_markdown(p)),
     )
     part = F.concat(
-        F.when(F.col("section_idx") == F.col("_first"), head).otherwise(""),
-        F.lit("\n\n"),
+        F.when(F.col("_first"), "\n").otherwise("\n\n"),
         F.when(heading != "", F.concat(F.lit("## "), escape_markdown(heading), F.lit("\n\n"))).otherwise(""),
         F.array_join(paragraphs, "\n\n"),
         F.lit("\n"),
     )
-    titled = _with_book(_staged(texts, "text"), "text", books)
-    return _join_parts(
-        titled.select("book_id", "section_idx", "_total", part.alias("part")), max_bytes
-    ).withColumnRenamed("part", "markdown")
+    return _part(_titled(texts, books), FRONT, head, "markdown").unionByName(
+        _part(_filled(texts, "text"), F.col("section_idx"), part, "markdown"))
 
 
 # --- styled paragraphs ------------------------------------------------------------

@@ -8,8 +8,10 @@ from .. import settings as S
 from ..functions.naming import or_default
 from ..functions.text import py_strip
 
-# Signatures handled by one task row when a plan is spelled out.
-SIGNATURES_PER_BLOCK = 65536
+# Sheets handled by one task row when a plan is spelled out.
+SHEETS_PER_BLOCK = 65536
+# Page numbers of one signature fit an int.
+MAX_SHEETS = (2**31 - 1) // 4
 
 
 def signature_spec(requests: DataFrame) -> DataFrame:
@@ -17,10 +19,11 @@ def signature_spec(requests: DataFrame) -> DataFrame:
 
     Sheets and pages must agree when both are given; neither means the default.
     """
-    sheets, pages = F.col("sheets"), F.col("pages")
+    sheets, pages = F.col("sheets").cast("bigint"), F.col("pages").cast("bigint")
     direction = F.lower(py_strip(or_default(F.col("direction"), "ltr")))
     error = (
         F.when(sheets.isNotNull() & (sheets <= 0), "sheets_not_positive")
+        .when(sheets > MAX_SHEETS, "sheets_too_many")
         .when(sheets.isNotNull() & pages.isNotNull() & (pages != sheets * 4), "sheets_pages_conflict")
         .when(sheets.isNull() & pages.isNotNull() & ((pages <= 0) | (pages % 4 != 0)), "pages_not_multiple_of_4")
         .when(~direction.isin("ltr", "rtl"), "unknown_direction")
@@ -28,11 +31,11 @@ def signature_spec(requests: DataFrame) -> DataFrame:
     )
     rest = [c for c in requests.columns if c not in ("sheets", "pages", "max_end_padding", "direction")]
     ok = F.col("error").isNull()
-    resolved = F.coalesce(sheets, F.floor(pages / 4).cast("int"), F.lit(S.DEFAULT_SHEETS))
+    resolved = F.coalesce(sheets, F.floor(pages / 4), F.lit(S.DEFAULT_SHEETS).cast("bigint"))
     return requests.withColumn("error", error).select(
         *rest,
-        F.when(ok, resolved).alias("sheets"),
-        F.when(ok, resolved * 4).alias("pages"),
+        F.when(ok, resolved).cast("int").alias("sheets"),
+        F.when(ok, resolved * 4).cast("int").alias("pages"),
         F.col("max_end_padding"),
         F.when(ok, direction).alias("direction"),
         F.when(ok, "ok").otherwise("rejected").alias("status"),
@@ -62,53 +65,52 @@ def signature_padding(specs: DataFrame) -> DataFrame:
     )
 
 
-def sheet_sides(pages: Column) -> Column:
-    """``array<struct<sheet_no, side, left_page, right_page>>`` of one signature.
+def sheet_sides(pages: Column, k: Column) -> Column:
+    """The two sides of sheet ``k`` (from 0, outermost first) of a signature, as an array of
+    ``(sheet_no, side, left_page, right_page)``.
 
     Sheet k from the outside carries the k-th pair of pages counted from both ends.
     """
-    k = F.sequence(F.lit(0), F.floor(pages / 4).cast("int") - 1)
-    return F.flatten(
-        F.transform(
-            k,
-            lambda i: F.array(
-                F.struct(
-                    (i + 1).alias("sheet_no"), F.lit("front").alias("side"),
-                    (pages - i * 2).alias("left_page"), (i * 2 + 1).alias("right_page"),
-                ),
-                F.struct(
-                    (i + 1).alias("sheet_no"), F.lit("back").alias("side"),
-                    (i * 2 + 2).alias("left_page"), (pages - i * 2 - 1).alias("right_page"),
-                ),
-            ),
-        )
+    return F.array(
+        F.struct((k + 1).alias("sheet_no"), F.lit("front").alias("side"),
+                 (pages - k * 2).alias("left_page"), (k * 2 + 1).alias("right_page")),
+        F.struct((k + 1).alias("sheet_no"), F.lit("back").alias("side"),
+                 (k * 2 + 2).alias("left_page"), (pages - k * 2 - 1).alias("right_page")),
     )
 
 
-def sheet_pairs(sizes: DataFrame, pages: str = "pages") -> DataFrame:
-    """Sheet sides for each signature size; sizes that are no multiple of 4 are rejected."""
-    valid = (F.col(pages) > 0) & (F.col(pages) % 4 == 0)
-    return sizes.filter(valid).select("*", F.inline(sheet_sides(F.col(pages).cast("int"))))
+def with_sheets(df: DataFrame, n_sheets: Column, keys) -> DataFrame:
+    """One row per sheet ``_sheet`` (from 0). Blocks of sheets are spread over the cluster
+    first, so neither a large signature nor a job with most pages ends up in one cell or task."""
+    block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n_sheets - 1) / SHEETS_PER_BLOCK)))
+    blocks = df.withColumn("_n", n_sheets).withColumn("_block", block).repartition(*keys, "_block")
+    start = F.col("_block") * SHEETS_PER_BLOCK
+    last = F.least(start + SHEETS_PER_BLOCK, F.col("_n")) - 1
+    return blocks.withColumn("_sheet", F.explode(F.sequence(start, last))).drop("_n", "_block")
+
+
+def sheet_pairs(sizes: DataFrame, keys, pages: str = "pages") -> DataFrame:
+    """Sheet sides for each signature size. A size that is no positive multiple of 4 is one
+    row with ``status`` rejected and its ``error``."""
+    p = F.col(pages)
+    error = F.when(p.isNull(), "no_pages").when(p <= 0, "pages_not_positive").when(p % 4 != 0, "pages_not_multiple_of_4")
+    checked = sizes.withColumn("error", error)
+    sheets = with_sheets(checked.filter("error IS NULL"), F.floor(p / 4), keys)
+    sides = sheets.select(*keys, pages, F.inline(sheet_sides(p, F.col("_sheet").cast("int"))), F.lit("ok").alias("status"), "error")
+    bad = checked.filter("error IS NOT NULL").withColumn("status", F.lit("rejected"))
+    return sides.unionByName(bad.select(*keys, pages, "status", "error"), allowMissingColumns=True)
 
 
 def imposition_plan(jobs: DataFrame, keys) -> DataFrame:
     """Every slot of accepted jobs: signature, sheet, side, position and page number.
 
-    Signatures are spelled out in blocks that are spread over the cluster first, so one
-    job with most of the pages does not end up in one task. A slot is blank when its page
-    lies behind the last one: that needs no lookup of pages.
+    A slot is blank when its page lies behind the last one: that needs no lookup of pages.
     """
-    ok = jobs.filter(F.col("status") == "ok")
-    last = F.col("signatures") - 1
-    blocks = ok.select(
-        *keys, "pages", "total_pages", "signatures", "direction",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / SIGNATURES_PER_BLOCK))).alias("_block"),
-    ).repartition(*keys, "_block")
-    start = F.col("_block") * SIGNATURES_PER_BLOCK
-    signatures = blocks.withColumn(
-        "_sig", F.explode(F.sequence(start, F.least(start + SIGNATURES_PER_BLOCK - 1, last)))
-    )
-    sides = signatures.select("*", F.inline(sheet_sides(F.col("pages").cast("int"))))
+    ok = jobs.filter(F.col("status") == "ok").select(*keys, "sheets", "pages", "total_pages", "signatures", "direction")
+    each = with_sheets(ok, F.col("signatures") * F.col("sheets"), keys)
+    each = each.withColumn("_sig", F.floor(F.col("_sheet") / F.col("sheets")))
+    k = F.pmod(F.col("_sheet"), F.col("sheets").cast("bigint")).cast("int")
+    sides = each.select("*", F.inline(sheet_sides(F.col("pages").cast("int"), k)))
     swap = F.col("direction") == "rtl"
     offset = F.col("_sig") * F.col("pages")
     return sides.select(
@@ -131,9 +133,22 @@ def imposition_plan(jobs: DataFrame, keys) -> DataFrame:
     )
 
 
-def misplaced_pages(plan: DataFrame, pages: DataFrame, keys) -> DataFrame:
-    """Pages ``(keys, page_no)`` without a slot in the plan; must come out empty."""
-    return pages.join(plan.filter(~F.col("is_blank")), [*keys, "page_no"], "left_anti")
+def placed_pages(plan: DataFrame, jobs: DataFrame, keys) -> DataFrame:
+    """Per accepted job: whether its plan holds every page exactly once.
+
+    Pages are counted and summed (also their squares) where the slots are; no page is looked
+    up, so only one row per job and task is shuffled.
+    """
+    n, page = F.col("total_pages").cast("decimal(38,0)"), F.col("page_no").cast("decimal(38,0)")
+    slots = plan.filter(~F.col("is_blank")).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("pages_placed"), F.sum(page).alias("_sum"), F.sum(page * page).alias("_squares"))
+    whole = jobs.filter(F.col("status") == "ok").select(*keys, "total_pages").join(slots, keys, "left")
+    right = (
+        (F.col("pages_placed") == F.col("total_pages")) & (F.col("_sum") * 2 == n * (n + 1))
+        & (F.col("_squares") * 6 == n * (n + 1) * (n * 2 + 1))
+    )
+    return whole.select(*keys, "total_pages", F.coalesce("pages_placed", F.lit(0)).alias("pages_placed"),
+                        (~F.coalesce(right, F.lit(False))).alias("misplaced"))
 
 
 def imposition_summary(jobs: DataFrame, keys) -> DataFrame:

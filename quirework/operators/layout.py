@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import settings as S
 from ..functions.naming import or_default
 from ..functions.text import py_strip
-from .skew import checked_broadcast
+from .skew import salted_join
 
 CUSTOM_COLUMNS = ("custom_width", "custom_height", "custom_top", "custom_bottom",
                   "custom_inside", "custom_outside")
@@ -101,28 +101,46 @@ def section_pages(text_lengths: Column) -> Column:
     return F.ceil(hundredths / (lpp * 100))
 
 
-def capacities(layouts: DataFrame) -> DataFrame:
-    """The accepted layouts, to be put next to every section."""
-    caps = layouts.filter(F.col("status") == "ok").select(
-        "layout_id", "chars_per_line", "lines_per_page", "gap_hundredths"
-    )
-    return checked_broadcast(caps)
+CAPACITY = ("chars_per_line", "lines_per_page", "gap_hundredths")
+
+
+def wanted_capacities(wanted: DataFrame, layouts: DataFrame) -> DataFrame:
+    """``(book_id, layout_id)`` pairs with the capacity of each accepted layout."""
+    own = layouts.filter(F.col("status") == "ok").select("layout_id", *CAPACITY)
+    return wanted.select("book_id", "layout_id").join(own, "layout_id")
+
+
+def with_capacities(sections: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Every section once per different capacity that its book is wanted in.
 
+    Layouts of one capacity give the same pages, so the work follows the capacities, not the
+    layouts. The lists are joined by book, with the sections of a large book spread."""
+    lists = pairs.groupBy("book_id").agg(F.collect_set(F.struct(*CAPACITY)).alias("_caps"))
+    joined = salted_join(sections, lists, ["book_id"], ["section_idx"])
+    return joined.withColumn("_cap", F.explode("_caps")).select(*sections.columns, "_cap.*")
 
-def page_estimate(sections: DataFrame, layouts: DataFrame, keys) -> DataFrame:
-    """Pages per book and layout. ``sections`` holds items; ``layouts`` is a request-sized
-    table with capacities.
+
+def by_layout(pages: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows per book and capacity -> rows per book and wanted layout."""
+    return pages.join(pairs, ["book_id", *CAPACITY]).drop(*CAPACITY)
+
+
+def page_estimate(sections: DataFrame, wanted: DataFrame, layouts: DataFrame) -> DataFrame:
+    """Pages per book and layout. ``sections`` holds items, ``wanted`` the ``(book_id,
+    layout_id)`` pairs, ``layouts`` the capacities.
 
     Each section starts a new page, and a title page and a blank page come first. Items
     are reduced to their lengths before the layouts fan out; a book's sections meet only
     as partial sums.
     """
     lengths = sections.select(
-        *keys, F.transform("items", lambda x: F.length(x["text"])).alias("lens")
+        "book_id", "section_idx", F.transform("items", lambda x: F.length(x["text"])).alias("lens")
     ).filter(F.size("lens") > 0)
-    return (
-        lengths.crossJoin(capacities(layouts))
-        .select(*keys, "layout_id", section_pages(F.col("lens")).alias("p"))
-        .groupBy(*keys, "layout_id")
+    pairs = wanted_capacities(wanted, layouts)
+    pages = (
+        with_capacities(lengths, pairs)
+        .select("book_id", *CAPACITY, section_pages(F.col("lens")).alias("p"))
+        .groupBy("book_id", *CAPACITY)
         .agg((F.sum("p") + 2).alias("pages"), F.count(F.lit(1)).alias("sections"))
     )
+    return by_layout(pages, pairs).select("book_id", "layout_id", "pages", "sections")

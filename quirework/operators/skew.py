@@ -18,10 +18,3 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread_by: li
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return big.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Broadcast a parameter table after counting it; a larger one is joined as it is."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df

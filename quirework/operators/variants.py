@@ -13,7 +13,7 @@ from ..functions.text import py_rstrip, py_strip
 from . import books as B
 from . import imposition as I
 from .html import items_of_tokens, with_tokens
-from .layout import capacities, section_pages
+from .layout import CAPACITY, by_layout, section_pages, wanted_capacities, with_capacities
 from .skew import salted_join
 
 BYTES_PER_MB = 1024 * 1024
@@ -23,7 +23,7 @@ def unknown_variants(wanted: DataFrame, variants: DataFrame) -> DataFrame:
     """Requested names that no variant has, sorted."""
     return (
         wanted.select("variant").distinct()
-        .join(F.broadcast(variants.select("variant").distinct()), "variant", "left_anti")
+        .join(variants.select("variant").distinct(), "variant", "left_anti")
         .orderBy("variant")
     )
 
@@ -40,7 +40,7 @@ def run_status(jobs: DataFrame, books: DataFrame, variants: DataFrame, layouts:
 
     One failing job does not touch the others. ``books`` has ``(book_id, n_sections)``.
     """
-    known = F.broadcast(variants.select("variant").distinct().withColumn("_known", F.lit(True)))
+    known = variants.select("variant").distinct().withColumn("_known", F.lit(True))
     layout = layouts.select("layout_id", F.col("error").alias("_layout_error"), F.lit(True).alias("_layout"))
     error = (
         F.when(F.col("_known").isNull(), "unknown_variant")
@@ -88,20 +88,18 @@ def size_metrics(measures: DataFrame, keys) -> DataFrame:
     return measures.groupBy(*keys).agg(mb("input_bytes"), mb("html_bytes"), mb("text_bytes"))
 
 
-def page_metrics(measures: DataFrame, layouts: DataFrame, keys) -> DataFrame:
-    """Sizes and pages per book, variant and layout, in one aggregation."""
+def page_metrics(measures: DataFrame, wanted: DataFrame, layouts: DataFrame, keys) -> DataFrame:
+    """Sizes and pages per key (``book_id`` among them) and wanted layout."""
     pages = F.when(F.size("lens") > 0, section_pages(F.col("lens"))).otherwise(0)
-    return (
-        measures.crossJoin(capacities(layouts))
-        .select(*keys, "layout_id", "input_bytes", "html_bytes", "text_bytes", pages.alias("_p"))
-        .groupBy(*keys, "layout_id")
-        .agg(
-            (F.sum("_p") + 2).alias("pages"),
-            F.sum("input_bytes").alias("input_bytes"),
-            F.sum("html_bytes").alias("html_bytes"),
-            F.sum("text_bytes").alias("text_bytes"),
-        )
+    sizes = ("input_bytes", "html_bytes", "text_bytes")
+    pairs = wanted_capacities(wanted, layouts)
+    summed = (
+        with_capacities(measures.select(*keys, "section_idx", "lens", *sizes), pairs)
+        .select(*keys, *CAPACITY, *sizes, pages.alias("_p"))
+        .groupBy(*keys, *CAPACITY)
+        .agg((F.sum("_p") + 2).alias("pages"), *[F.sum(c).alias(c) for c in sizes])
     )
+    return by_layout(summed, pairs).select(*keys, "layout_id", "pages", *sizes)
 
 
 def with_baseline(metrics: DataFrame, within, baseline: str = S.BASELINE_VARIANT) -> DataFrame:
@@ -174,16 +172,15 @@ def preview_samples(sections: DataFrame, n: int = S.PREVIEW_SECTIONS,
                     limit: int = S.PREVIEW_CHARS) -> DataFrame:
     """First sections of each book, before and after, cut for display.
 
-    The choice is made on two narrow columns (a task keeps at most ``n`` rows per book
-    before the shuffle); only the chosen sections are then read and cleaned.
+    A task keeps at most ``n`` sections per book before the shuffle, so that is all the HTML
+    that moves; only the chosen sections are cleaned.
     """
     w = Window.partitionBy("book_id").orderBy("section_idx")
-    chosen = (
-        sections.select("book_id", "section_idx")
+    picked = (
+        sections.select("book_id", "section_idx", "heading", "html")
         .withColumn("sample_no", F.row_number().over(w))
         .filter(F.col("sample_no") <= n)
     )
-    picked = sections.join(chosen, ["book_id", "section_idx"])
     return before_after(picked, ["book_id", "sample_no"]).select(
         "book_id", "sample_no", "heading",
         trim_preview(F.col("before"), limit).alias("before"),
@@ -211,7 +208,8 @@ def run_report(metrics: DataFrame, books: DataFrame, layouts: DataFrame, imposit
     Baseline figures are shown for other variants only, imposition figures only on request.
     """
     other = F.col("variant") != S.BASELINE_VARIANT
-    also = F.lower(py_strip(N.or_default(F.col("imposition_mode"), "none"))) == "also"
+    mode = F.lower(py_strip(N.or_default(F.col("imposition_mode"), "none")))
+    also = mode == "also"
     specs = I.signature_spec(imposition)
     joined = (
         metrics.join(books, "book_id")
@@ -242,7 +240,7 @@ def run_report(metrics: DataFrame, books: DataFrame, layouts: DataFrame, imposit
         F.when(other, F.col("baseline_pages")).alias("baseline_pages"),
         F.when(other, F.col("page_delta")).alias("page_delta"),
         F.when(other, F.col("byte_delta") / BYTES_PER_MB).alias("size_delta_mb"),
-        S.lookup(F.col("imposition_mode"), S.IMPOSITION_LABELS).alias("imposition_label"),
+        S.lookup(mode, S.IMPOSITION_LABELS).alias("imposition_label"),
         imposed(F.col("pages")).alias("pages_per_signature"),
         imposed(S.lookup(F.col("direction"), S.DIRECTION_LABELS)).alias("direction_label"),
         F.coalesce(F.col("max_end_padding").cast("string"), F.lit("Unlimited")).alias("max_padding_label"),

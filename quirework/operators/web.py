@@ -36,10 +36,11 @@ def picked_formats(links: DataFrame, keys, preferred=P.DEFAULT_FORMAT_ORDER) ->
 
 
 def work_urls(df: DataFrame, url: str = "url") -> DataFrame:
-    """One row per work; the rows that name no work come out as one ``invalid`` row."""
-    normalized = df.select("*", W.normalize_work_url(F.col(url)).alias("work_url"))
+    """One row per work, and one per different address that names no work."""
+    normalized = df.select(F.col(url).alias("_url"), W.normalize_work_url(F.col(url)).alias("work_url"))
+    bad = F.when(F.col("work_url").isNull(), F.col("_url"))
     return (
-        normalized.groupBy("work_url")
+        normalized.groupBy("work_url", bad.alias("invalid_url"))
         .agg(F.count(F.lit(1)).alias("n_urls"))
         .withColumn("status", F.when(F.col("work_url").isNull(), "invalid").otherwise("ok"))
     )

@@ -65,7 +65,7 @@ def scened(spark, folder, attached: bool = False) -> DataFrame:
 
 def dialogue_line(line: Column, i: Column) -> Column:
     return (
-        F.when(i % 10 == 8, F.concat(F.lit('"'), F.substring(line, 1, 40)))
+        F.when(i % 10 == 8, F.concat(F.lit('"'), F.rtrim(line, F.lit("."))))
         .when(i % 5 == 1, F.concat(F.lit('"'), F.rtrim(line, F.lit(".")), F.lit(',"')))
         .when(i % 5 == 2, F.concat(F.lit("she said "), F.lower(line)))
         .when(i % 5 == 4, F.rtrim(line, F.lit(".")))
@@ -196,7 +196,8 @@ def signature_requests(spark, folder) -> DataFrame:
     return documents(spark, folder).select(
         "doc_id",
         F.floor(F.col("n_chars") / 200).alias("total_pages"),
-        F.when(k == 1, 4).when(k == 4, 5).when(k == 5, 2).cast("int").alias("sheets"),
+        F.when(F.col("doc_id") % 40 == 9, 600_000_000).when(F.col("doc_id") % 40 == 17, 0).when(F.col("doc_id") % 40 == 25, -3)
+        .when(k == 1, 4).when(k == 4, 5).when(k == 5, 2).cast("int").alias("sheets"),
         F.when(k == 1, 20).when(k == 2, 24).when(k == 3, 10).when(k == 7, 8).cast("int").alias("pages"),
         F.when(k == 4, -(F.col("doc_id") % 3)).when(k == 5, 3).when(k == 7, 4).cast("int").alias("max_end_padding"),
         F.when(k == 2, "rtl").when(k == 5, " RTL ").when(k == 6, "up").alias("direction"),
@@ -239,13 +240,20 @@ def book_layouts(spark) -> DataFrame:
     )
 
 
+def wanted_layouts(spark, folder) -> DataFrame:
+    """Every book in every layout."""
+    ids = F.array(*[F.lit(row[0]) for row in BOOK_LAYOUTS])
+    books = documents(spark, folder).select(F.col("source").alias("book_id")).distinct()
+    return books.select("book_id", F.explode(ids).alias("layout_id"))
+
+
 def book_imposition(spark, folder) -> DataFrame:
     """An imposition request per book."""
     n = book_number()
     books = documents(spark, folder).select(F.col("source").alias("book_id")).distinct()
     return books.select(
         "book_id",
-        F.when(n % 4 == 0, "none").otherwise("also").alias("imposition_mode"),
+        F.when(n % 4 == 0, "none").when(n % 4 == 1, " Also ").when(n % 4 == 2, F.lit(None)).otherwise("also").alias("imposition_mode"),
         F.lit(None).cast("int").alias("sheets"),
         F.when(n % 5 == 1, 10).when(n % 2 == 0, 16).otherwise(24).cast("int").alias("pages"),
         F.when(n % 3 == 1, 8).when(n % 3 == 2, 12).cast("int").alias("max_end_padding"),
@@ -329,7 +337,7 @@ def sample_files(spark, folder) -> DataFrame:
     lines = F.transform(
         F.split("text", "\n"),
         lambda x, i: F.when(
-            i % 4 == 2, F.concat(F.lit(" === "), F.substring(x, 1, 30), F.lit(" =="), F.lit("="))
+            i % 4 == 2, F.concat(F.lit(" === "), x, F.lit(" =="), F.lit("="))
         ).otherwise(F.concat(x, F.lit("  "))),
     )
     return documents(spark, folder).select(

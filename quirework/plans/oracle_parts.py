@@ -115,9 +115,9 @@ def pair_chain(p: str, keys: str, strict=False) -> str:
 
 
 def clean_chain(p: str, src: str, keys: str, text="text", soft="true", dialogue="true",
-                collapse="true", preserve="true") -> str:
+                collapse="true", preserve="true", strict=False, nbsp=True) -> str:
     """CTE ``{p}clean(keys, cleaned)``."""
-    return f"""{block_chain(p, src, keys, text, preserve)},{pair_chain(p, keys)},
+    return f"""{block_chain(p, src, keys, text, preserve, nbsp)},{pair_chain(p, keys, strict)},
 {p}blt AS (
   SELECT {keys}, block_idx,
          CASE WHEN {soft} THEN {strip(f"regexp_replace(string_agg(s, ' ' ORDER BY i), ' {{2,}}', ' ', 'g')")}

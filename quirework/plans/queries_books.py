@@ -230,21 +230,21 @@ x AS (SELECT doc_id, coalesce(nullif(author, ''), stem, 'f') AS author, coalesce
 y AS (SELECT doc_id, {file_stem_sql()} AS file_stem FROM x)
 SELECT *, file_stem || ' - Interior.pdf' AS pdf_name, file_stem || ' - Editable.docx' AS docx_name, file_stem || ' - Editable.md' AS markdown_name FROM y""",
         "section_blocks": f"WITH {blocks_sql()} SELECT book_id, section_idx, heading, block FROM bk",
-        "html_documents": f"""WITH {BOOKS_SQL}, {blocks_sql()},
-body AS (SELECT book_id, string_agg(block, '' ORDER BY section_idx) AS b FROM bk GROUP BY book_id)
-SELECT book_id, 0::BIGINT AS part_no, '<!doctype html>' || chr(10) || '<html lang="en">' || chr(10) || '<head>' || chr(10) || '<meta charset="utf-8" />' || chr(10)
+        "html_documents": f"""WITH {BOOKS_SQL}, {blocks_sql()}
+SELECT book_id, -1::BIGINT AS part_no, '<!doctype html>' || chr(10) || '<html lang="en">' || chr(10) || '<head>' || chr(10) || '<meta charset="utf-8" />' || chr(10)
   || '<title>' || {esc_t} || '</title>' || chr(10) || '<style>' || chr(10) || {css} || chr(10) || '</style>' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10)
   || '<section class="title-page"><div class="title-wrap"><h1>' || {esc_t} || '</h1><p class="author">' || {esc_a}
-  || '</p></div></section>' || chr(10) || '<div class="blank-page"></div>' || chr(10) || b || chr(10) || '</body>' || chr(10) || '</html>' || chr(10) AS html
-FROM body JOIN used USING (book_id)""",
+  || '</p></div></section>' || chr(10) || '<div class="blank-page"></div>' || chr(10) AS html FROM used
+UNION ALL SELECT book_id, section_idx, block FROM bk
+UNION ALL SELECT book_id, 9223372036854775807, chr(10) || '</body>' || chr(10) || '</html>' || chr(10) FROM used""",
         "markdown_documents": f"""WITH {BOOKS_SQL}, {texts_sql()},
-sec AS (SELECT book_id, section_idx, chr(10) || CASE WHEN {O.strip('heading')} <> '' THEN '## ' || {md_escape(O.strip('heading'))} || chr(10) || chr(10) ELSE '' END
-  || string_agg((CASE WHEN kind = 'scene' THEN '***' ELSE {md_escape('text')} END) || chr(10) || chr(10), '' ORDER BY item_idx) AS part
-  FROM tx GROUP BY book_id, section_idx, heading),
-doc AS (SELECT book_id, string_agg(part, '' ORDER BY section_idx) AS body FROM sec GROUP BY book_id)
-SELECT book_id, 0::BIGINT AS part_no, regexp_replace('# ' || {md_escape('used_title')} || CASE WHEN {O.strip('used_author')} <> '' THEN
-  chr(10) || chr(10) || '_By ' || {md_escape('used_author')} || '_' ELSE '' END || chr(10) || body, {O.lit(f'[{O.WS}]+$')}, '') || chr(10) AS markdown
-FROM doc JOIN used USING (book_id)""",
+sec AS (SELECT book_id, section_idx, CASE WHEN {O.strip('heading')} <> '' THEN '## ' || {md_escape(O.strip('heading'))} || chr(10) || chr(10) ELSE '' END
+  || string_agg(CASE WHEN kind = 'scene' THEN '***' ELSE {md_escape('text')} END, chr(10) || chr(10) ORDER BY item_idx) || chr(10) AS part
+  FROM tx GROUP BY book_id, section_idx, heading)
+SELECT book_id, -1::BIGINT AS part_no, '# ' || {md_escape('used_title')} || CASE WHEN {O.strip('used_author')} <> '' THEN
+  chr(10) || chr(10) || '_By ' || {md_escape('used_author')} || '_' ELSE '' END || chr(10) AS markdown FROM used
+UNION ALL SELECT book_id, section_idx,
+  repeat(chr(10), CASE WHEN row_number() OVER (PARTITION BY book_id ORDER BY section_idx) = 1 THEN 1 ELSE 2 END) || part FROM sec""",
         "styled_paragraphs": f"""WITH {BOOKS_SQL}, {texts_sql()}, modes(mode, gap, indent) AS (VALUES {modes}),
 p AS (SELECT *, lag(kind) OVER (PARTITION BY book_id, section_idx ORDER BY item_idx) AS prev,
       (row_number() OVER (PARTITION BY book_id, section_idx ORDER BY item_idx))::INT - 1 AS para_idx FROM tx),

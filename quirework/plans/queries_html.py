@@ -245,7 +245,8 @@ pr AS (SELECT page_id, arg_min(fmt, r) AS fmt, arg_min(url, r) AS url FROM fm JO
 SELECT page_id, fmt, pr.url AS url, CASE WHEN fmt IS NULL THEN 'no_format' ELSE 'ok' END AS status FROM pages LEFT JOIN pr USING (page_id)""",
         "normalize_work_url": f"""WITH {WORKS}, w AS (SELECT url, CASE WHEN page_id % 7 = 0 THEN NULL ELSE
    'https://' || CASE WHEN page_id % 2 = 0 OR page_id % 3 = 0 THEN 'host.example' ELSE 'archiveofourown.org' END || '/works/' || page_id % 40 END AS work_url FROM src)
-SELECT work_url, count(*) AS n_urls, CASE WHEN work_url IS NULL THEN 'invalid' ELSE 'ok' END AS status FROM w GROUP BY work_url""",
+SELECT work_url, CASE WHEN work_url IS NULL THEN url END AS invalid_url, count(*) AS n_urls,
+  CASE WHEN work_url IS NULL THEN 'invalid' ELSE 'ok' END AS status FROM w GROUP BY ALL""",
         "clean_section_items": f"WITH {vi} SELECT page_id, profile, variant, item_idx, kind, text FROM hvi",
         "clean_section_text": f"""WITH {vi_notes},
 g AS (SELECT page_id, profile, variant, {O.strip("string_agg(text, chr(10)||chr(10) ORDER BY item_idx)")} AS text FROM hvi GROUP BY page_id, profile, variant)

@@ -50,12 +50,12 @@ def _measures(s, d, profile=None):
 
 
 def _metrics(s, d):
-    m = V.page_metrics(_measures(s, d), _caps(s), ["book_id", "profile", "variant"])
+    m = V.page_metrics(_measures(s, d), X.wanted_layouts(s, d), _caps(s), ["book_id", "profile", "variant"])
     return V.with_baseline(m, ["book_id", "profile", "layout_id"])
 
 
 def _app_metrics(s, d):
-    m = V.page_metrics(_measures(s, d, "app"), _caps(s), ["book_id", "variant"])
+    m = V.page_metrics(_measures(s, d, "app"), X.wanted_layouts(s, d), _caps(s), ["book_id", "variant"])
     return V.with_baseline(m, ["book_id", "layout_id"])
 
 
@@ -81,17 +81,14 @@ def _variant_outputs(s, d):
 
 
 QUERIES = {
-    "page_estimate": lambda s, d: L.page_estimate(_base(s, d), _caps(s), ["book_id"]),
+    "page_estimate": lambda s, d: L.page_estimate(_base(s, d), X.wanted_layouts(s, d), _caps(s)),
     "signature_spec": _specs,
     "signature_padding": _jobs,
-    "sheet_pairs": lambda s, d: I.sheet_pairs(_sizes(s, d)),
+    "sheet_pairs": lambda s, d: I.sheet_pairs(_sizes(s, d), DOC),
     "imposition_plan": lambda s, d: I.imposition_plan(_jobs(s, d).filter("direction = 'ltr'"), DOC).drop("is_blank"),
     "imposition_rtl": lambda s, d: I.imposition_plan(_jobs(s, d).filter("direction = 'rtl'"), DOC).drop("is_blank"),
     "imposition_blank_slots": lambda s, d: I.imposition_plan(_jobs(s, d), DOC).filter("is_blank"),
-    "imposition_misplaced_pages": lambda s, d: I.misplaced_pages(
-        I.imposition_plan(_jobs(s, d), DOC),
-        _jobs(s, d).filter("total_pages > 0").select(
-            "doc_id", "status", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("total_pages"))).alias("page_no")), DOC),
+    "imposition_misplaced_pages": lambda s, d: I.placed_pages(I.imposition_plan(_jobs(s, d), DOC), _jobs(s, d), DOC),
     "imposition_summary": lambda s, d: I.imposition_summary(_jobs(s, d), DOC),
     "variant_fanout": lambda s, d: _measures(s, d).select(
         "book_id", "section_idx", "profile", "variant", F.size("lens").alias("n_items"), "html_bytes", "text_bytes"),
@@ -109,14 +106,16 @@ QUERIES = {
 # --- oracles ----------------------------------------------------------------------
 
 REQ_SQL = """rq AS (SELECT doc_id, (n_chars // 200)::BIGINT AS total_pages,
-  CASE doc_id % 8 WHEN 1 THEN 4 WHEN 4 THEN 5 WHEN 5 THEN 2 END AS sh, CASE doc_id % 8 WHEN 1 THEN 20 WHEN 2 THEN 24 WHEN 3 THEN 10 WHEN 7 THEN 8 END AS pg,
+  CASE WHEN doc_id % 40 = 9 THEN 600000000 WHEN doc_id % 40 = 17 THEN 0 WHEN doc_id % 40 = 25 THEN -3
+    WHEN doc_id % 8 = 1 THEN 4 WHEN doc_id % 8 = 4 THEN 5 WHEN doc_id % 8 = 5 THEN 2 END AS sh, CASE doc_id % 8 WHEN 1 THEN 20 WHEN 2 THEN 24 WHEN 3 THEN 10 WHEN 7 THEN 8 END AS pg,
   (CASE doc_id % 8 WHEN 4 THEN -(doc_id % 3) WHEN 5 THEN 3 WHEN 7 THEN 4 END)::INT AS max_end_padding,
   CASE doc_id % 8 WHEN 2 THEN 'rtl' WHEN 5 THEN 'rtl' WHEN 6 THEN 'up' ELSE 'ltr' END AS dir FROM documents),
-sp AS (SELECT doc_id, total_pages, max_end_padding, dir, coalesce(sh, pg // 4, 4)::INT AS s0, CASE
+sp AS (SELECT doc_id, total_pages, max_end_padding, dir, coalesce(sh, pg // 4, 4)::BIGINT AS s0, CASE
+  WHEN sh <= 0 THEN 'sheets_not_positive' WHEN sh > 536870911 THEN 'sheets_too_many'
   WHEN sh IS NOT NULL AND pg IS NOT NULL AND pg <> sh * 4 THEN 'sheets_pages_conflict'
   WHEN sh IS NULL AND pg % 4 <> 0 THEN 'pages_not_multiple_of_4' WHEN dir = 'up' THEN 'unknown_direction'
   WHEN max_end_padding < 0 THEN 'negative_padding' END AS error FROM rq),
-sg AS (SELECT doc_id, total_pages, CASE WHEN error IS NULL THEN s0 END AS sheets, CASE WHEN error IS NULL THEN s0 * 4 END AS pages,
+sg AS (SELECT doc_id, total_pages, CASE WHEN error IS NULL THEN s0 END::INT AS sheets, CASE WHEN error IS NULL THEN s0 * 4 END::INT AS pages,
   max_end_padding, CASE WHEN error IS NULL THEN dir END AS direction, CASE WHEN error IS NULL THEN 'ok' ELSE 'rejected' END AS status, error FROM sp),
 pd AS (SELECT * EXCLUDE (status, error), ceil(total_pages / pages)::BIGINT * pages AS p, CASE WHEN error IS NOT NULL THEN error WHEN total_pages <= 0 THEN 'no_pages'
   WHEN ceil(total_pages / pages)::BIGINT * pages - total_pages > max_end_padding THEN 'too_much_padding' END AS error FROM sg),
@@ -203,13 +202,16 @@ ba AS (SELECT book_id, section_idx, heading, coalesce(before, '') AS before, coa
         "signature_padding": f"WITH {REQ_SQL} SELECT * FROM jb",
         "sheet_pairs": f"""WITH z AS (SELECT doc_id, (n_chars % 13 * 2)::INT AS pages FROM documents),
 k AS (SELECT doc_id, pages, {sheets}::INT AS k FROM z WHERE pages > 0 AND pages % 4 = 0)
-SELECT doc_id, pages, k + 1 AS sheet_no, 'front' AS side, pages - 2 * k AS left_page, 1 + 2 * k AS right_page FROM k
-UNION ALL SELECT doc_id, pages, k + 1, 'back', 2 + 2 * k, pages - 1 - 2 * k FROM k""",
+SELECT doc_id, pages, k + 1 AS sheet_no, 'front' AS side, pages - 2 * k AS left_page, 1 + 2 * k AS right_page, 'ok' AS status, NULL AS error FROM k
+UNION ALL SELECT doc_id, pages, k + 1, 'back', 2 + 2 * k, pages - 1 - 2 * k, 'ok', NULL FROM k
+UNION ALL SELECT doc_id, pages, NULL, NULL, NULL, NULL, 'rejected', CASE WHEN pages <= 0 THEN 'pages_not_positive' ELSE 'pages_not_multiple_of_4' END
+  FROM z WHERE pages <= 0 OR pages % 4 <> 0""",
         "imposition_plan": f"WITH {PLAN_SQL} SELECT {PLAN_COLUMNS} FROM sl WHERE direction = 'ltr'",
         "imposition_rtl": f"WITH {PLAN_SQL} SELECT {PLAN_COLUMNS} FROM sl WHERE direction = 'rtl'",
         "imposition_blank_slots": f"WITH {PLAN_SQL} SELECT {PLAN_COLUMNS}, true AS is_blank FROM sl WHERE page_no > total_pages",
-        "imposition_misplaced_pages": f"""WITH {REQ_SQL}
-SELECT doc_id, unnest(range(1, total_pages + 1)) AS page_no, status FROM jb WHERE status = 'rejected' AND total_pages > 0""",
+        "imposition_misplaced_pages": f"""WITH {PLAN_SQL}
+SELECT doc_id, total_pages, count(*) FILTER (page_no <= total_pages) AS pages_placed,
+  count(DISTINCT page_no) FILTER (page_no <= total_pages) <> total_pages AS misplaced FROM sl GROUP BY doc_id, total_pages""",
         "imposition_summary": f"""WITH {PLAN_SQL}
 SELECT doc_id, total_pages AS input_pages, count(*) FILTER (page_no > total_pages) AS blank_pages_added,
   count(DISTINCT (signature_no, sheet_no, side)) AS sheet_sides, count(DISTINCT (signature_no, sheet_no)) AS physical_sheets,
@@ -233,7 +235,7 @@ FROM ct JOIN sl USING (book_id)""",
 SELECT book_id, sample_no, heading, {trim('before')} AS before, {trim('after')} AS after FROM r WHERE sample_no <= 3""",
         "changed_sections": f"""WITH {before} SELECT book_id, count(*) AS n_sections, count(*) FILTER (before <> after) AS n_changed FROM ba GROUP BY book_id""",
         "run_report": f"""WITH {BOOKS_SQL}, {metrics},
-im AS (SELECT book_id, CASE WHEN n % 4 = 0 THEN 'none' ELSE 'also' END AS mode, CASE WHEN n % 5 = 1 THEN 10 WHEN n % 2 = 0 THEN 16 ELSE 24 END AS pg,
+im AS (SELECT book_id, CASE WHEN n % 4 IN (0, 2) THEN 'none' ELSE 'also' END AS mode, CASE WHEN n % 5 = 1 THEN 10 WHEN n % 2 = 0 THEN 16 ELSE 24 END AS pg,
   CASE n % 3 WHEN 1 THEN 8 WHEN 2 THEN 12 END AS pad, CASE WHEN n % 2 = 0 THEN 'Right-to-left' ELSE 'Left-to-right' END AS dir FROM used),
 rr AS (SELECT bs.*, used_title AS title, used_author AS author, spacing, margin, size, mode, pg, pad, dir, ceil(pages / pg)::BIGINT * pg AS padded
   FROM bs JOIN used USING (book_id) JOIN lc USING (layout_id) JOIN im USING (book_id) WHERE profile = 'app'),

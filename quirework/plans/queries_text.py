@@ -31,7 +31,7 @@ def scened_sql(attached=False) -> str:
 
 def dialogue_line_sql(line="raw") -> str:
     return (
-        f"CASE WHEN i % 10 = 8 THEN '\"' || substr({line}, 1, 40) "
+        f"CASE WHEN i % 10 = 8 THEN '\"' || rtrim({line}, '.') "
         f"WHEN i % 5 = 1 THEN '\"' || rtrim({line}, '.') || ',\"' "
         f"WHEN i % 5 = 2 THEN 'she said ' || lower({line}) "
         f"WHEN i % 5 = 4 THEN rtrim({line}, '.') "
@@ -74,6 +74,24 @@ def clean_text_query(spark, sf) -> DataFrame:
     return rows.select("doc_id", "setting", cleaned.otherwise(T.clean_text(F.col("text"), *cols)).alias("text"))
 
 
+def clean_text_strict(spark, sf) -> DataFrame:
+    """The second dialect: strict joins, no-break spaces kept; with and without soft wraps.
+    Every third text begins with a paragraph that holds no-break spaces and no line end."""
+    c = _nbsp_mixed(spark, sf)
+    return c.select(
+        "doc_id", *[T.clean_text(F.col("text"), soft, strict=True, nbsp=False).alias(name)
+                    for name, soft in (("wrapped", True), ("paired", False))])
+
+
+def _nbsp_mixed(spark, sf) -> DataFrame:
+    kept = F.replace("text", F.lit(", "), F.lit(",\u00a0 "))
+    short = F.substring_index(kept, "\n", 1)
+    mixed = X.mixed(spark, sf).withColumnRenamed("text", "mixed")
+    return X.documents(spark, sf).join(mixed, "doc_id").select(
+        "doc_id", F.when(F.col("doc_id") % 3 == 0, short).when(F.col("doc_id") % 3 == 1, kept)
+        .otherwise(F.replace("mixed", F.lit(" "), F.lit(" \u00a0"))).alias("text"))
+
+
 def _items(df, dedupe=False):
     return OT.explode_items(OT.with_items(df, dedupe=dedupe), ["doc_id"])
 
@@ -110,6 +128,7 @@ QUERIES = {
     "collapse_blank_lines": lambda s, d: X.noisy(s, d).select(
         "doc_id", T.collapse_blank_lines(F.col("text")).alias("text")),
     "clean_text": clean_text_query,
+    "clean_text_strict": clean_text_strict,
     "paragraph_items": lambda s, d: _items(X.scened(s, d)),
     "dedupe_scene_breaks": lambda s, d: _items(
         X.scened(s, d).withColumn("text", F.regexp_replace("text", r"\n\n(\S{3,4})\n\n", "\n\n$1\n\n$1\n\n$1\n\n")), True),
@@ -140,7 +159,7 @@ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i))::INT - 1 AS
         "text_lines": f"""WITH {NOISY}, l AS ({O.lines_of('src', k, 'text')})
 SELECT doc_id, i AS line_idx, {O.strip('raw')} AS line FROM l""",
         "labelled_samples": f"""WITH {DOC_LINES},
-l AS (SELECT doc_id, i, CASE WHEN i % 4 = 2 THEN ' === ' || substr(raw, 1, 30) || ' ===' ELSE raw || '  ' END AS s FROM dl),
+l AS (SELECT doc_id, i, CASE WHEN i % 4 = 2 THEN ' === ' || raw || ' ===' ELSE raw || '  ' END AS s FROM dl),
 h AS (SELECT *, starts_with({O.strip('s')}, '===') AND ends_with({O.strip('s')}, '===') AS head FROM l),
 g AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM h),
 b AS (SELECT doc_id, (grp - 1)::INT AS sample_idx, max(CASE WHEN head THEN {O.strip(f"trim({O.strip('s')}, '=')")} END) AS name,
@@ -168,6 +187,12 @@ SELECT doc_id, {O.strip("regexp_replace(text, '\\n{3,}', chr(10)||chr(10), 'g')"
         "clean_text": f"""WITH {MIXED}, settings(setting, soft, dia, coll, keep) AS (VALUES {settings}),
 x AS (SELECT * FROM src, settings),{O.clean_chain('a', 'x', 'doc_id, setting, soft, dia, coll, keep', 'text', 'soft', 'dia', 'coll', 'keep')}
 SELECT doc_id, setting, cleaned AS text FROM aclean""",
+        "clean_text_strict": f"""WITH {MIXED.replace("src AS (", "mx AS (")},
+src AS (SELECT d.doc_id, CASE d.doc_id % 3 WHEN 0 THEN string_split(replace(d.text, ', ', ',' || chr(160) || ' '), chr(10))[1]
+  WHEN 1 THEN replace(d.text, ', ', ',' || chr(160) || ' ') ELSE replace(mx.text, ' ', ' ' || chr(160)) END AS text
+  FROM documents d JOIN mx ON mx.doc_id = d.doc_id),
+{O.clean_chain('w', 'src', k, strict=True, nbsp=False)}, {O.clean_chain('p', 'src', k, soft='false', strict=True, nbsp=False)}
+SELECT doc_id, wclean.cleaned AS wrapped, pclean.cleaned AS paired FROM wclean JOIN pclean USING (doc_id)""",
         "paragraph_items": f"""WITH {scened_sql()},{O.clean_chain('a', 'src', k)},{items}
 SELECT doc_id, {idx}, kind, text FROM aitems""",
         "dedupe_scene_breaks": f"""WITH {scened_sql().replace('src AS', 'src0 AS', 1)}, {tripled},{O.clean_chain('a', 'src', k)},{items},{dedup}

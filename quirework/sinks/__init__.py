@@ -10,20 +10,20 @@ def write_documents(docs: DataFrame, path: str) -> None:
     docs.write.mode("errorifexists").parquet(path)
 
 
-def write_document_files(docs: DataFrame, path: str, slug: str = "book_slug",
+def write_document_files(docs: DataFrame, path: str, slug: str = "book_slug", book: str = "book_id",
                          order: str = "part_no", content: str = "part") -> None:
-    """One folder of text files per book.
+    """One folder of text files per slug and book, so books of one slug stay apart.
 
     A book in several parts is cut by range, so its files, read by name, keep its order
     and no task gets all of a large book.
     """
     (
-        docs.repartitionByRange(slug, order)
-        .sortWithinPartitions(slug, order)
-        .select(slug, content)
+        docs.repartitionByRange(slug, book, order)
+        .sortWithinPartitions(slug, book, order)
+        .select(slug, book, content)
         .write.mode("errorifexists")
         .option("lineSep", "\n")
-        .partitionBy(slug)
+        .partitionBy(slug, book)
         .text(path)
     )
 

@@ -29,6 +29,10 @@ def read_epub_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Characters of documents that leave the reader in one frame, about.
+FRAME_CHARS = 4_000_000
+
+
 def _entry_reader():
     """Built as a closure so that it travels to the executors by value."""
 
@@ -58,20 +62,35 @@ def _entry_reader():
                     e.get("href") for e in opf.iter()
                     if local(e.tag) == "item" and e.get("media-type") == "application/xhtml+xml"
                 ]
-                for idx, href in enumerate(docs):
-                    name = posixpath.normpath(posixpath.join(base, unquote(href)))
+                names = [posixpath.normpath(posixpath.join(base, unquote(href))) for href in docs]
+                for name in names:  # an archive is taken as a whole: check all before any row leaves
+                    with archive.open(name) as document:
+                        while document.read(1 << 20):
+                            pass
+                yield None
+                for idx, name in enumerate(names):
                     xhtml = archive.read(name).decode("utf-8-sig", errors="replace")
                     yield (path, idx, xhtml, (titles or [None])[0], (creators or [None])[0], None)
 
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
+                rows, size, found = [], 0, False
                 try:
-                    rows = list(entries(path, bytes(content)))
-                    if not rows:
-                        rows = [(path, None, None, None, None, "no documents")]
+                    documents = entries(path, bytes(content))
+                    next(documents)
                 except Exception as exc:
-                    rows = [(path, None, None, None, None, type(exc).__name__)]
-                yield pd.DataFrame(rows, columns=columns)
+                    yield pd.DataFrame([(path, None, None, None, None, type(exc).__name__)], columns=columns)
+                    continue
+                for row in documents:
+                    rows.append(row)
+                    size, found = size + len(row[2]), True
+                    if size > FRAME_CHARS:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, size = [], 0
+                if not found:
+                    rows = [(path, None, None, None, None, "no documents")]
+                if rows:
+                    yield pd.DataFrame(rows, columns=columns)
 
     return read
 
@@ -80,7 +99,8 @@ def epub_entries(archives: DataFrame) -> DataFrame:
     """``(path, content)`` -> one row per document of each archive, or one reject row.
 
     Archives may be large: Spark cuts Arrow batches by bytes
-    (``spark.sql.execution.arrow.maxBytesPerBatch``), and rows leave one archive at a time.
+    (``spark.sql.execution.arrow.maxBytesPerBatch``), and an archive's documents leave in
+    frames of about ``FRAME_CHARS``.
     """
     return archives.select("path", "content").mapInPandas(_entry_reader(), ENTRY_SCHEMA)
 

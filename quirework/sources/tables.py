@@ -4,24 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-SMALL_BYTES_PER_CORE = 16 * 1024 * 1024
-
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spread_small(spark.read.parquet(f"{folder}/{name}.parquet"))
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Give a small input one partition per core.
-
-    A file with a single row group is read by one task, which would leave the other cores
-    idle through a map-only job. Large inputs have many row groups and are left alone, so
-    this never moves more than 16 MiB per core.
-    """
-    if not hasattr(df, "_jdf"):  # Spark Connect: the server side sizes the scan
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) > cores * SMALL_BYTES_PER_CORE:
-        return df
-    return df.repartition(cores)
+    return spark.read.parquet(f"{folder}/{name}.parquet")

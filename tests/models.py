@@ -17,10 +17,6 @@ def is_scene(s):
     return SCENE.fullmatch(s) is not None
 
 
-def starts_on(s):
-    return bool(LOWER.match(s) or TAG.match(s))
-
-
 def joinable(a, b):
     loose = any(m in a for m in ",—-") or a.endswith(QUOTES)
     return bool((loose and LOWER.match(b)) or (a.endswith(QUOTES) and TAG.match(b)))
@@ -60,23 +56,38 @@ def clean(text, soft=True, dialogue=True, collapse=True, preserve=True):
     return joined.strip()
 
 
-def may_merge(prev, nxt, aggressive):
-    if not prev or not nxt or is_scene(prev) or is_scene(nxt):
-        return False
-    if prev[-1] in ",;:—-\"”’" and starts_on(nxt):
-        return True
-    if not aggressive or re.search(r"[.!?][\"”’]?$", prev):
-        return False
-    if starts_on(nxt) and (len(prev) <= 110 or len(nxt) <= 120):
-        return True
-    return len(prev) <= 90 and prev[0] in "\"“‘"
+# A joint is written "before NUL after"; these say what a joint must look like to be closed.
+OPENING = "(?:[a-z(\\[—\\-']|(?i:" + "|".join(P.DIALOGUE_TAG_WORDS) + r")\b)"
+CARRIED_ON = re.compile(f"[,;:—\\-\"”’]\0{OPENING}")
+CONTINUES = re.compile(f"\0{OPENING}")
+FINISHED = re.compile("[.!?][\"”’]?\0")
+QUOTED = re.compile("[\"“‘]")
 
 
-def merge(items, aggressive=False):
-    out = []
-    for kind, text in items:
-        if out and kind == "p" and out[-1][0] == "p" and may_merge(out[-1][1], text, aggressive):
-            out[-1] = ("p", out[-1][1] + " " + text)
-        else:
-            out.append((kind, text))
-    return out
+def closed(before, after, bold):
+    """Whether two neighbouring paragraphs belong together; scene marks never do."""
+    joint = f"{before}\0{after}"
+    if not before or not after or is_scene(before) or is_scene(after):
+        return False
+    if CARRIED_ON.search(joint):
+        return True
+    short = len(before) <= 110 or len(after) <= 120
+    quoted = len(before) <= 90 and QUOTED.match(before)
+    return bool(bold and not FINISHED.search(joint) and (quoted or short and CONTINUES.search(joint)))
+
+
+def faults(items, result, bold=False):
+    """What is wrong with ``result`` as the merge of ``items``: every piece must be a run of
+    items, all joints within a piece closed, and the joint to the next piece open."""
+    wrong, rest = [], list(items)
+    for kind, text in result:
+        if not rest or rest[0][0] != kind:
+            return [*wrong, ("kind", kind, text)]
+        built = rest.pop(0)[1]
+        while built != text:
+            if kind != "p" or not rest or rest[0][0] != "p" or not closed(built, rest[0][1], bold):
+                return [*wrong, ("should be apart", built, text)]
+            built += " " + rest.pop(0)[1]
+        if kind == "p" and rest and rest[0][0] == "p" and closed(built, rest[0][1], bold):
+            wrong.append(("should be joined", built, rest[0][1]))
+    return wrong + [("lost", x) for x in rest]

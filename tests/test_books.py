@@ -75,27 +75,48 @@ def test_first_metadata_value_decides(spark):
     assert got == {"a": ("Unknown Title", "Unknown Author"), "b": ("T", "A")}
 
 
-def test_documents_whole_and_in_parts(spark):
+def joined(parts, content):
+    """The document of each book from its parts."""
+    out = {}
+    for r in sorted(parts.collect(), key=lambda r: (r.book_id, r.part_no)):
+        out[r.book_id] = out.get(r.book_id, "") + r[content]
+    return out
+
+
+def test_documents_in_parts(spark):
     cleaned = B.clean_section_html(B.section_items(sections(spark, SECTIONS)), True)
     blocks = B.section_blocks(cleaned)
     marked = {(r.book_id, r.section_idx): "first-body" in r.block for r in blocks.collect()}
     assert marked == {("b", 2): True, ("b", 3): False, ("c", 9): True}
     named = books(spark, BOOKS)
-    whole = {r.book_id: r.html for r in B.html_documents(cleaned, named, B.stylesheet()).collect()}
-    assert set(whole) == {"b", "c"}
+    parts = B.html_documents(cleaned, named, B.stylesheet())
+    numbers = sorted(r.part_no for r in parts.filter("book_id = 'b'").collect())
+    assert numbers == [B.FRONT, 2, 3, B.END]
+    whole = joined(parts, "html")
+    assert {"b", "c"} <= set(whole)
     assert "<title>A &lt;b&gt;</title>" in whole["b"]
-    assert whole["b"].index("she said.") < whole["b"].index("x_y") and whole["b"].rstrip().endswith("</html>")
+    assert whole["b"].index("she said.") < whole["b"].index("x_y") and whole["b"].endswith("</body>\n</html>\n")
     assert '<section class="chapter"><h1 class="chapter-title">Two</h1><p>x_y</p>\n<hr class="scene-break" />\n<p>last*</p></section>' in whole["b"]
-    # a book over the limit stays in parts that are the same document
-    split = B.html_documents(cleaned, named, B.stylesheet(), max_bytes=30).orderBy("part_no").collect()
-    parts = {book: [r.html for r in split if r.book_id == book] for book in whole}
-    assert (len(parts["b"]), len(parts["c"])) == (2, 1)
-    assert {book: "".join(p) for book, p in parts.items()} == whole
+
+
+def test_no_book_is_lost(spark):
+    """A book whose sections clean to nothing, one without metadata, one without sections."""
+    rows = spark.createDataFrame(
+        [("empty", 1, "", ""), ("anon", 4, "H", "<p>text</p>")], "book_id string, section_idx bigint, heading string, html string")
+    named = spark.createDataFrame([("empty", "E", "A"), ("bare", "B", "")], "book_id string, used_title string, used_author string")
+    whole = joined(B.html_documents(rows, named, "css"), "html")
+    assert set(whole) == {"empty", "anon", "bare"}
+    assert "<h1>Unknown Title</h1>" in whole["anon"] and "<p>text</p>" in whole["anon"]
+    assert all('class="title-page"' in x and x.endswith("</html>\n") for x in whole.values())
+    assert "<section class=\"chapter" not in whole["empty"] + whole["bare"]
+    texts = rows.select("book_id", "section_idx", "heading", F.when(F.col("book_id") == "anon", "text").otherwise("").alias("text"))
+    assert joined(B.markdown_documents(texts, named), "markdown") == {
+        "empty": "# E\n\n_By A_\n", "bare": "# B\n", "anon": "# Unknown Title\n\n_By Unknown Author_\n\n## H\n\ntext\n"}
 
 
 def test_markdown(spark):
     texts = B.clean_section_text(B.section_items(sections(spark, SECTIONS)))
-    got = {r.book_id: r.markdown for r in B.markdown_documents(texts, books(spark, BOOKS)).collect()}
+    got = joined(B.markdown_documents(texts, books(spark, BOOKS)), "markdown")
     assert got["b"] == (
         "# A <b>\n\n_By Me\\_1_\n\n## Title\n\ntitle\n\n\n\"Hi,\"\n\nshe said.\n\n\n## Two\n\nx\\_y\n\n***\n\nlast\\*\n")
     assert got["c"] == "# C\n\n## Z\n\nzz\n"
@@ -152,8 +173,9 @@ def test_page_estimate(spark):
     # 12.44 cm at half of 11.5 pt per character; 19.86 cm at 11.5 * 1.35 pt per line
     assert (c.chars_per_line, c.lines_per_page, c.gap_hundredths) == (61, 36, 65)
     items = [("p", "x" * 61)] * 21 + [("p", "x" * 62)]
-    df = spark.createDataFrame([("b", items), ("b", [("p", "y")])], "book_id string, items array<struct<kind:string,text:string>>")
-    r = L.page_estimate(df, caps, ["book_id"]).first()
+    df = spark.createDataFrame([("b", 1, items), ("b", 2, [("p", "y")])], "book_id string, section_idx int, items array<struct<kind:string,text:string>>")
+    wanted = caps.select(F.lit("b").alias("book_id"), "layout_id")
+    r = L.page_estimate(df, wanted, caps).first()
     assert (r.pages, r.sections) == (2 + 2 + 1, 2)  # 23 lines and 22 gaps need two pages
 
 

@@ -38,7 +38,11 @@ def test_padding(spark):
 
 
 def test_sixteen_page_pairs(spark):
-    rows = I.sheet_pairs(spark.createDataFrame([(16,), (10,)], "pages int")).collect()
+    sizes = spark.createDataFrame([(1, 16), (2, 10), (3, 0), (4, -4), (5, None)], "job int, pages int")
+    rows = I.sheet_pairs(sizes, ["job"]).collect()
+    assert {r.job: r.error for r in rows if r.status == "rejected"} == {
+        2: "pages_not_multiple_of_4", 3: "pages_not_positive", 4: "pages_not_positive", 5: "no_pages"}
+    rows = sorted((r for r in rows if r.status == "ok"), key=lambda r: (r.sheet_no, r.side == "back"))
     assert [(r.sheet_no, r.side, (r.left_page, r.right_page)) for r in rows] == [
         (1, "front", (16, 1)), (1, "back", (2, 15)), (2, "front", (14, 3)), (2, "back", (4, 13)),
         (3, "front", (12, 5)), (3, "back", (6, 11)), (4, "front", (10, 7)), (4, "back", (8, 9))]
@@ -58,14 +62,24 @@ def test_every_page_has_one_slot(spark, direction):
         assert r.n == r.d == r.m == s.input_pages + s.blank_pages_added
         assert (r.blank, r.sides, r.sigs) == (s.blank_pages_added, s.sheet_sides, s.total_signatures)
         assert s.physical_sheets * 2 == s.sheet_sides
-    pages = df.select("job", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("total_pages"))).alias("page_no"))
-    assert I.misplaced_pages(plan, pages, ["job"]).count() == 0
+    assert I.placed_pages(plan, df, ["job"]).filter("misplaced").count() == 0
+    lost = plan.filter("NOT (job = 1 AND page_no = 7)")
+    assert [r.job for r in I.placed_pages(lost, df, ["job"]).filter("misplaced").collect()] == [1]
     front = plan.filter("job = 1 and signature_no = 2 and sheet_no = 1 and side = 'front'").orderBy("position").collect()
     assert [r.page_no for r in front] == ([16, 9] if direction == "ltr" else [9, 16])
 
 
 def test_a_large_job_is_cut_into_blocks(spark):
-    pages = 4 * (I.SIGNATURES_PER_BLOCK + 3)
-    plan = I.imposition_plan(jobs(spark, (pages, None, 4, None, None)), ["job"])
-    r = plan.agg(F.count("*").alias("n"), F.countDistinct("page_no").alias("d"), F.max("page_no").alias("m")).first()
-    assert (r.n, r.d, r.m) == (pages, pages, pages)
+    pages = 4 * (I.SHEETS_PER_BLOCK + 3)
+    for size in (4, pages):  # many small signatures, and one large one
+        plan = I.imposition_plan(jobs(spark, (pages, None, size, None, None)), ["job"])
+        r = plan.agg(F.count("*").alias("n"), F.countDistinct("page_no").alias("d"), F.max("page_no").alias("m")).first()
+        assert (r.n, r.d, r.m) == (pages, pages, pages)
+
+
+def test_a_bad_request_does_not_stop_the_others(spark):
+    top = I.MAX_SHEETS
+    got = jobs(spark, (10, 600_000_000, None, None, None), (10, 2**31 - 1, 2**31 - 4, None, None), (10, top, None, None, None),
+               (10, None, None, None, None)).orderBy("job").collect()
+    assert [(r.pages, r.error) for r in got] == [
+        (None, "sheets_too_many"), (None, "sheets_too_many"), (top * 4, None), (16, None)]

@@ -30,7 +30,7 @@ def test_merge_matches_the_sequential_model(spark, aggressive):
     ]
     got = run(spark, cases, merge=True, aggressive=aggressive)
     for i, case in enumerate(cases):
-        assert got[i] == models.merge(case, aggressive), case
+        assert models.faults(case, got[i], aggressive) == [], case
 
 
 def test_switch_columns(spark):

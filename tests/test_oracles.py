@@ -16,13 +16,7 @@ from quirework.plans import registry  # noqa: E402
 
 ORACLES = registry.oracle_sql()
 
-# a cross-section; all of them with FULL_ORACLES=1 (or tools/check_oracles.py)
-SOME = (
-    "clean_text", "dialogue_line_join", "merge_dialogue", "merge_dialogue_aggressive", "epub_corpus_sections",
-    "drop_boilerplate", "block_text", "download_links", "page_title_author", "clean_section_html", "book_slugs", "html_documents",
-    "styled_paragraphs", "imposition_plan", "run_report",
-)
-NAMES = list(registry.queries()) if os.environ.get("FULL_ORACLES") else SOME
+NAMES = list(registry.queries())
 
 
 @pytest.fixture(scope="module")

@@ -5,13 +5,13 @@ import re
 import pytest
 from conftest import SMALL
 
-from quirework.operators.skew import checked_broadcast, salted_join
+from quirework.operators.skew import salted_join
 from quirework.plans import registry
 
 QUERIES = registry.queries()
 # queries whose fixture or reader opens archives in Python
 ARCHIVES = {"epub_corpus_sections", "epub_rejects"}
-# one row in, rows out: no exchange but the one that spreads a small file over the cores
+# one row in, rows out: no exchange
 MAP_ONLY = {
     "text_lines", "labelled_samples", "normalize_line_endings", "normalize_spaces", "scene_break_lines", "text_blocks",
     "dialogue_line_join", "dialogue_line_join_strict", "soft_wrap_join", "collapse_blank_lines", "clean_text", "paragraph_items",
@@ -19,7 +19,7 @@ MAP_ONLY = {
     "strip_script_style", "section_heading", "entity_decode", "drop_boilerplate", "leaf_blocks", "hr_scene_rows", "block_text",
     "legacy_paragraph_clean", "page_title_author", "download_links", "pick_format", "clean_section_items", "clean_section_text",
     "clean_section_html", "strip_duplicate_heading", "slugify", "slug_from_path", "safe_filenames", "layout_resolution",
-    "signature_spec", "signature_padding", "sheet_pairs", "imposition_summary", "variant_fanout",
+    "signature_spec", "signature_padding", "imposition_summary", "variant_fanout",
 }
 
 
@@ -83,9 +83,30 @@ def test_a_hot_key_is_spread_by_salting(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
-def test_broadcast_is_checked(spark):
-    def hinted(df):
-        return "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_large_tables_are_joined_by_key(spark, no_broadcast):
+    for name in ("html_documents", "markdown_documents", "section_blocks", "book_slugs", "preview_samples", "run_report"):
+        physical = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in physical, name
+        if name == "preview_samples":  # three sections of a book leave a task at most
+            assert "WindowGroupLimit" in physical and "Join" not in physical
 
-    assert hinted(checked_broadcast(spark.range(10), 10))
-    assert not hinted(checked_broadcast(spark.range(11), 10))
+
+def test_building_a_query_runs_no_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build", "build")
+    try:
+        for name in ("html_documents", "markdown_documents", "section_blocks", "run_report", "page_estimate"):
+            QUERIES[name](spark, SMALL)
+        # reading a parquet footer is a job of its own; nothing else may run
+        assert len(tracker.getJobIdsForGroup("build")) <= 5 * 12
+        for job in tracker.getJobIdsForGroup("build"):
+            assert len(tracker.getJobInfo(job).stageIds) == 1
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

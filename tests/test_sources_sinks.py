@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from quirework import settings as S, sinks
 from quirework.operators import books as B
 from quirework.plans import fixtures as X
-from quirework.plans.staging import stage
 from quirework.sources import epub, samples
 
 OPF = ('<package xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata>{meta}</metadata><manifest>'
@@ -52,21 +51,20 @@ def test_sample_files(spark, tmp_path):
 
 
 def test_documents_read_back(spark, tmp_path):
-    texts = stage(B.clean_section_text(B.section_items(X.book_sections(spark, SMALL))), "t")
+    texts = B.clean_section_text(B.section_items(X.book_sections(spark, SMALL)))
     names = X.documents(spark, SMALL).select(F.col("source").alias("book_id"), F.lit("T").alias("used_title"), F.lit("A").alias("used_author")).distinct()
-    docs = B.markdown_documents(texts, names).withColumnRenamed("book_id", "book_slug")
+    docs = B.markdown_documents(texts, names).withColumn("book_slug", F.lit("one-slug-for-all"))
     sinks.write_documents(docs, str(tmp_path / "table"))
-    back = {r.book_slug: r.markdown for r in spark.read.parquet(str(tmp_path / "table")).collect()}
+    rows = sorted(spark.read.parquet(str(tmp_path / "table")).collect(), key=lambda r: (r.book_id, r.part_no))
+    back = {b: "".join(r.markdown for r in rows if r.book_id == b) for b in {r.book_id for r in rows}}
     assert len(back) == names.count()
-    # files: whole, and in parts, where the files in name order are the same text
-    split = B.markdown_documents(texts, names, max_bytes=3000).withColumnRenamed("book_id", "book_slug")
-    for folder, df in (("whole", docs), ("parts", split)):
-        sinks.write_document_files(df, str(tmp_path / folder), content="markdown")
-        for slug, text in back.items():
-            d = tmp_path / folder / f"book_slug={slug}"
-            files = sorted(f for f in os.listdir(d) if f.startswith("part-"))
-            got = "".join((d / f).read_text() for f in files)
-            assert [line for line in got.split("\n") if line] == [line for line in text.split("\n") if line]
+    # files in name order are the same text, and books of one slug stay apart
+    sinks.write_document_files(docs, str(tmp_path / "files"), content="markdown")
+    for book, text in back.items():
+        d = tmp_path / "files" / "book_slug=one-slug-for-all" / f"book_id={book}"
+        files = sorted(f for f in os.listdir(d) if f.startswith("part-"))
+        got = "".join((d / f).read_text() for f in files)
+        assert [line for line in got.split("\n") if line] == [line for line in text.split("\n") if line]
     with pytest.raises(Exception):
         sinks.write_documents(docs, str(tmp_path / "table"))
 

@@ -100,3 +100,21 @@ def test_normalize_spaces(evaluate):
 def test_word_boundary_is_unicode(evaluate):
     values = ["the cat", "theé", "the½", "the_", "THE.", "he'd", "hers", "I", string.ascii_letters]
     assert evaluate(T.starts_with_tag, values) == [True, False, False, False, True, True, False, True, False]
+
+
+def test_both_paths_agree_on_spaces_and_strictness(spark):
+    """Constant and column switches are built differently; the answers must not differ."""
+    rng = random.Random(11)
+    parts = ["a", "B.", "\u00a0", " ", "\u00a0 ", "\n", "\r\n", "\n\n", '"c,"', "he said", "***", "\t", "x,", "  ", "---"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(400)] + ["a\u00a0b"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string").withColumns({"yes": F.lit(True), "no": F.lit(False)})
+    df = df.select(F.col("x"), *[F.when(F.length("x") >= 0, F.lit(v)).alias(n) for n, v in (("yes", True), ("no", False))])
+    for soft in (True, False):
+        for strict in (True, False):
+            for nbsp in (True, False):
+                fixed = T.clean_text(F.col("x"), soft, True, True, True, strict=strict, nbsp=nbsp)
+                column = T.clean_text(F.col("x"), F.col("yes" if soft else "no"), F.col("yes"), F.col("yes"), F.col("yes"),
+                                      strict=strict, nbsp=nbsp)
+                wrong = df.select("x", fixed.alias("a"), column.alias("b")).filter("a <> b").collect()
+                assert wrong == [], (soft, strict, nbsp)
+    assert df.filter("x = 'a\u00a0b'").select(T.clean_text(F.col("x"), nbsp=False).alias("y")).first().y == "a\u00a0b"
