@@ -6,7 +6,7 @@ import os
 import sys
 
 import pytest
-from conftest import ROOT, SMALL
+from paths import ROOT, SMALL
 
 sys.path.insert(0, os.path.join(ROOT, "tools"))
 

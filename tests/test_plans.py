@@ -3,7 +3,7 @@ from __future__ import annotations
 import re
 
 import pytest
-from conftest import SMALL
+from paths import SMALL
 
 from quirework.operators.skew import salted_join
 from quirework.plans import registry

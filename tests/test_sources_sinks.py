@@ -4,7 +4,7 @@ import os
 import zipfile
 
 import pytest
-from conftest import SMALL
+from paths import SMALL
 from pyspark.sql import functions as F
 
 from quirework import settings as S, sinks
