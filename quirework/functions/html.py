@@ -16,7 +16,9 @@ from .merge import ITEMS_TYPE, paragraph_items, scene_item, dedupe_scene_breaks
 from .text import py_strip
 
 _TAG = r"""<(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>|<[^<>]*+>"""
-_TOKEN = rf"(?s)<!--.*?-->|{_TAG}|[^<]++"
+_CDATA = r"<!\[CDATA\[.*?\]\]>"
+_TOKEN = rf"(?s)<!--.*?-->|{_CDATA}|{_TAG}|[^<]++"
+_ATTRIBUTE = r"""([^\s"'<>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
 def tokens(html_col: Column) -> Column:
@@ -24,7 +26,39 @@ def tokens(html_col: Column) -> Column:
 
 
 def is_text(token: Column) -> Column:
-    return ~token.startswith("<")
+    return ~token.startswith("<") | token.startswith("<![CDATA[")
+
+
+def token_text(token: Column) -> Column:
+    """The text a text token stands for; nothing is decoded inside CDATA."""
+    inner = F.substring(token, F.lit(10), F.length(token) - 12)
+    return F.when(token.startswith("<![CDATA["), inner).otherwise(decode_entities(token))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Decoded value of a tag's attribute, or an empty string. The value may stand in double,
+    single or no quotes; what only looks like an attribute inside another value is not one."""
+    def find(t):
+        names = F.regexp_extract_all(t, F.lit(_ATTRIBUTE), F.lit(1))
+        values = F.regexp_extract_all(t, F.lit(_ATTRIBUTE), F.lit(2))
+        pairs = F.filter(F.arrays_zip(names.alias("n"), values.alias("v")), lambda x: F.lower(x["n"]) == name)
+        raw = F.coalesce(F.get(pairs, F.lit(0))["v"], F.lit(""))
+        return decode_entities(F.regexp_replace(raw, r"(?s)^([\"'])(.*)\1$", "$2"))
+
+    return F.when(tag.rlike(rf"(?i)\s{name}\s*="), let(tag, find)).otherwise("")
+
+
+def has_class(tag: Column, *words: str) -> Column:
+    """Whether all words are among the class names of a tag."""
+    return let(F.split(attribute(tag, "class"), r"\s+"), lambda names: F.forall(
+        F.array(*[F.lit(w) for w in words]), lambda w: F.array_contains(names, w)))
+
+
+def after_tag(ts: Column, start: Column, end_tag: str) -> Column:
+    """Tokens behind position ``start`` up to the next ``end_tag``, or to the end."""
+    closing = rf"(?i)^</{end_tag}[\s>]"
+    stop = F.get(F.filter(indices(ts), lambda k: (k > start) & F.get(ts, k).rlike(closing)), F.lit(0))
+    return F.slice(ts, start + 2, F.coalesce(stop, F.size(ts)) - start - 1)
 
 
 # --- whole-string operations ------------------------------------------------------
@@ -44,38 +78,44 @@ def strip_script_style(html_col: Column) -> Column:
 
 def body_content(html_col: Column) -> Column:
     """Content of ``body`` (up to its end tag or the end of input), or everything."""
+    def inside(t):
+        opening = F.get(F.filter(indices(t), lambda i: F.get(t, i).rlike(r"(?i)^<body[\s/>]")), F.lit(0))
+        return let(opening, lambda i: F.when(i.isNotNull(), F.array_join(after_tag(t, i, "body"), "")))
+
     return let(
         strip_script_style(html_col),
-        lambda h: py_strip(
-            F.when(
-                h.rlike(r"(?i)<body[\s>]"),
-                F.regexp_extract(h, r"(?is)<body(?:\s[^>]*)?>(.*?)(?:</body\s*>|\z)", 1),
-            ).otherwise(h)
-        ),
+        lambda h: py_strip(F.when(
+            h.rlike(r"(?i)<body[\s/>]"), F.coalesce(let(tokens(h), inside), h)).otherwise(h)),
     )
 
 
-def text_nodes(fragment: Column) -> Column:
-    """Decoded, stripped, non-empty text runs of a fragment."""
-    return F.filter(
-        F.transform(
-            F.filter(tokens(fragment), is_text), lambda t: py_strip(decode_entities(t))
-        ),
-        lambda t: t != "",
-    )
+def tokens_text(ts: Column) -> Column:
+    """Decoded, stripped, non-empty text runs of some tokens, joined by blanks."""
+    runs = F.transform(F.filter(ts, is_text), lambda t: py_strip(token_text(t)))
+    return F.array_join(F.filter(runs, lambda t: t != ""), " ")
 
 
 def element_text(fragment: Column) -> Column:
-    return F.array_join(text_nodes(fragment), " ")
+    return tokens_text(tokens(fragment))
 
 
 def first_heading(body: Column) -> Column:
-    """First non-empty h1, h2 or h3 in document order, or an empty string."""
-    pattern = "|".join(rf"<h{n}(?:\s[^>]*)?>.*?</h{n}\s*>" for n in (1, 2, 3))
-    found = F.regexp_extract_all(body, F.lit(f"(?is){pattern}"), F.lit(0))
-    return F.coalesce(
-        F.get(F.filter(F.transform(found, element_text), lambda t: t != ""), F.lit(0)), F.lit("")
-    )
+    """First non-empty h1, h2 or h3 in document order, or an empty string. An element reaches
+    to its own end tag, with no other heading tag in between."""
+    def build(t):
+        at = F.filter(indices(t), lambda i: F.get(t, i).rlike(r"(?i)^</?h[123][\s/>]"))
+
+        def pick(ev):
+            name = lambda k: tag_name(F.get(t, F.get(ev, k)))
+            whole = F.filter(indices(ev), lambda k: ~F.get(t, F.get(ev, k)).startswith("</") & F.coalesce(
+                F.get(t, F.get(ev, k + 1)).startswith("</") & (name(k) == name(k + 1)), F.lit(False)))
+            texts = F.transform(whole, lambda k: tokens_text(
+                F.slice(t, F.get(ev, k) + 2, F.get(ev, k + 1) - F.get(ev, k) - 1)))
+            return F.coalesce(F.get(F.filter(texts, lambda x: x != ""), F.lit(0)), F.lit(""))
+
+        return let(at, pick)
+
+    return let(tokens(body), build)
 
 
 # --- character references ---------------------------------------------------------
@@ -141,15 +181,13 @@ def escape_html(c: Column) -> Column:
 
 
 def _attr_has_token(token: Column, attr: str, values) -> Column:
-    v = P.any_of(values)
-    return token.rlike(
-        rf"""(?s)\s{attr}\s*=\s*(?:"(?:[^"]*\s)?(?:{v})(?:\s[^"]*)?"|'(?:[^']*\s)?(?:{v})(?:\s[^']*)?')"""
-    )
+    guard = token.rlike(rf"(?i)\s{attr}\s*=") & token.rlike(P.any_of(values))
+    words = F.array(*[F.lit(v) for v in values])
+    return guard & F.arrays_overlap(F.split(attribute(token, attr), r"\s+"), words)
 
 
 def _attr_is(token: Column, attr: str, values) -> Column:
-    v = P.any_of(values)
-    return token.rlike(rf"""(?s)\s{attr}\s*=\s*(?:"(?:{v})"|'(?:{v})')""")
+    return token.rlike(P.any_of(values)) & attribute(token, attr).isin(*values)
 
 
 def is_boilerplate_tag(token: Column, drop_notes: bool) -> Column:
@@ -273,7 +311,7 @@ def rule_positions(ts: Column) -> Column:
 def block_text(ts: Column, leaf: Column) -> Column:
     """Text runs of a leaf, one per line, decoded but not stripped."""
     inside = F.slice(ts, leaf["pos"] + 2, leaf["last"] - leaf["pos"] - 1)
-    return F.array_join(F.transform(F.filter(inside, is_text), decode_entities), "\n")
+    return F.array_join(F.transform(F.filter(inside, is_text), token_text), "\n")
 
 
 def raw_items(ts: Column) -> Column:
@@ -319,7 +357,7 @@ def legacy_paragraphs(ts: Column) -> Column:
                     lambda inside: F.regexp_replace(
                         F.regexp_replace(
                             F.array_join(
-                                F.transform(F.filter(inside, is_text), decode_entities), " "
+                                F.transform(F.filter(inside, is_text), token_text), " "
                             ),
                             r"[ \t]+",
                             " ",

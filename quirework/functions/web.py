@@ -6,42 +6,38 @@ from pyspark.sql import Column, functions as F
 
 from . import patterns as P
 from .expr import indices, let, let_all
-from .html import decode_entities, element_text, tokens
+from .html import after_tag, attribute, has_class, tokens, tokens_text
 from .naming import or_default
 from .text import py_strip
 
 
-def _attr(tag: Column, name: str) -> Column:
-    """Decoded attribute value, or an empty string."""
-    quoted = rf"""(?is)\s{name}\s*=\s*"([^"]*)\""""
-    single = rf"""(?is)\s{name}\s*=\s*'([^']*)'"""
-    return decode_entities(
-        F.concat(F.regexp_extract(tag, quoted, 1), F.regexp_extract(tag, single, 1))
-    )
-
-
-def _first_element(html_col: Column, pattern: str) -> Column:
-    return F.regexp_extract(html_col, pattern, 0)
+def _elements(t: Column, tag: str, wanted) -> Column:
+    """The inside, as tokens, of each ``tag`` element whose opening tag is ``wanted``."""
+    opening = rf"(?i)^<{tag}[\s/>]"
+    at = F.filter(indices(t), lambda i: F.get(t, i).rlike(opening) & wanted(F.get(t, i)))
+    return F.transform(at, lambda i: after_tag(t, i, tag))
 
 
 def page_title(html_col: Column) -> Column:
-    heading = _first_element(
-        html_col, r"""(?is)<h2\s[^>]*class="(?=[^"]*\btitle\b)(?=[^"]*\bheading\b)[^"]*"[^>]*>.*?</h2\s*>"""
-    )
-    meta = _first_element(html_col, r"""(?is)<meta\s[^>]*property="og:title"[^>]*>""")
-    return or_default(
-        element_text(heading), or_default(py_strip(_attr(meta, "content")), P.DEFAULT_WORK_TITLE)
-    )
+    def build(t):
+        heading = F.coalesce(F.get(_elements(t, "h2", lambda x: has_class(x, "title", "heading")), F.lit(0)),
+                             F.array().cast("array<string>"))
+        meta = F.filter(t, lambda x: x.rlike(r"(?i)^<meta[\s/>]") & (attribute(x, "property") == "og:title"))
+        content = F.coalesce(attribute(F.get(meta, F.lit(0)), "content"), F.lit(""))
+        return or_default(tokens_text(heading), or_default(py_strip(content), P.DEFAULT_WORK_TITLE))
+
+    return let(tokens(html_col), build)
 
 
 def page_author(html_col: Column) -> Column:
-    bylines = F.regexp_extract_all(
-        html_col,
-        F.lit(r"""(?is)<h3\s[^>]*class="(?=[^"]*\bbyline\b)(?=[^"]*\bheading\b)[^"]*"[^>]*>.*?</h3\s*>"""),
-        F.lit(0),
-    )
-    link = _first_element(F.array_join(bylines, ""), r"""(?is)<a\s[^>]*rel="author"[^>]*>.*?</a\s*>""")
-    return or_default(element_text(link), P.UNKNOWN_AUTHOR)
+    def build(t):
+        bylines = F.flatten(_elements(t, "h3", lambda x: has_class(x, "byline", "heading")))
+        author = lambda x: F.array_contains(F.split(attribute(x, "rel"), r"\s+"), "author")
+        link = let(bylines, lambda b: F.coalesce(
+            F.get(_elements(b, "a", author), F.lit(0)), F.array().cast("array<string>")))
+        return or_default(tokens_text(link), P.UNKNOWN_AUTHOR)
+
+    return let(tokens(html_col), build)
 
 
 # --- URLs -------------------------------------------------------------------------
@@ -127,18 +123,15 @@ def page_links(html_col: Column, base: Column) -> Column:
                 opens,
                 lambda k: F.struct(
                     F.lower(
-                        element_text(
-                            F.array_join(
-                                F.slice(
-                                    t,
-                                    F.get(an, k) + 2,
-                                    F.coalesce(F.get(an, k + 1), F.size(t)) - F.get(an, k) - 1,
-                                ),
-                                "",
+                        tokens_text(
+                            F.slice(
+                                t,
+                                F.get(an, k) + 2,
+                                F.coalesce(F.get(an, k + 1), F.size(t)) - F.get(an, k) - 1,
                             )
                         )
                     ).alias("text"),
-                    _attr(F.get(t, F.get(an, k)), "href").alias("href"),
+                    attribute(F.get(t, F.get(an, k)), "href").alias("href"),
                 ),
             )
             return F.transform(

@@ -126,6 +126,49 @@ def titled_pages(spark, folder) -> DataFrame:
     return pages(spark, folder).select("page_id", "url", html.alias("html"))
 
 
+def hard_pages(spark, folder) -> DataFrame:
+    """Pages with a body tag in a comment and ``>`` in an attribute of the real one."""
+    i = F.col("page_id")
+    html = F.when(i % 4 == 0, _rep(F.col("html"), "<body>", '<!-- <body>no</body> --><body data-x="a>b" class=y>')).when(
+        i % 4 == 1, _rep(F.col("html"), "<body>", "<BODY\n>")).otherwise(F.col("html"))
+    return pages(spark, folder).select("page_id", "url", html.alias("html"))
+
+
+def hard_headings(spark, folder) -> DataFrame:
+    """Titled pages with headings in comments, before and inside the article."""
+    html = _rep(F.col("html"), "<article>", "<!-- <h1>Old</h1> --><article><!--<h2>Older</h2>-->")
+    return titled_pages(spark, folder).select(
+        "page_id", "url", F.when(F.col("page_id") % 4 < 2, html).otherwise(F.col("html")).alias("html"))
+
+
+def hard_titles(spark, folder) -> DataFrame:
+    """Titled pages in other quotings and orders of attributes, with near misses around."""
+    i, html = F.col("page_id"), F.col("html")
+    decoy = ('<!-- <h2 class="title heading">Old</h2> --><h2 class="page-title heading">Wrong</h2>'
+             '<h3 title=" class=byline heading" class="heading"><a rel="author">Wrong</a></h3><article>')
+    html = F.when(i % 4 < 3, _rep(html, "<article>", decoy)).otherwise(html)
+    single = _rep(_rep(html, 'class="title heading"', "class = 'heading  title'"), 'rel="author" href="#"', "href='#' rel='nofollow author'")
+    single = _rep(single, 'class="byline heading"', "id=b class='x byline heading'")
+    single = F.regexp_replace(single, '<meta property="og:title" content="([^"]*)">', "<meta content='$1' property=og:title>")
+    return titled_pages(spark, folder).select("page_id", "url", F.when(i % 2 == 0, single).otherwise(html).alias("html"))
+
+
+def hard_links(spark, folder) -> DataFrame:
+    """Rich pages whose links stand in other quotings, next to attributes that look like links."""
+    i, html = F.col("page_id"), F.col("html")
+    bare = F.regexp_replace(html, '<a href="(/d/[^"]*)">', "<a title=' href=/no.epub ' href=$1>")
+    single = F.regexp_replace(html, '<a href="([^"]*)">', "<A data-href=x HREF = '$1'>")
+    return rich_pages(spark, folder).select(
+        "page_id", "url", F.when(i % 4 == 1, bare).when(i % 4 == 2, single).otherwise(html).alias("html"))
+
+
+def cdata_pages(spark, folder) -> DataFrame:
+    """Rich pages with a CDATA section in a paragraph."""
+    more = "<p>x <![CDATA[b > &amp; <i>c]]> d</p></article>"
+    return rich_pages(spark, folder).select(
+        "page_id", "url", F.when(F.col("page_id") % 5 == 0, _rep(F.col("html"), "</article>", more)).otherwise(F.col("html")).alias("html"))
+
+
 def work_urls(spark, folder) -> DataFrame:
     """Chapter addresses of a few works; every seventh names no work."""
     i = F.col("page_id")

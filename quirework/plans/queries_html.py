@@ -87,18 +87,18 @@ def _epub(s, d):
 QUERIES = {
     "epub_corpus_sections": _epub,
     "epub_rejects": lambda s, d: epub.rejected_archives(epub.epub_entries(X.epub_archives(s, d))),
-    "page_bodies": lambda s, d: OH.page_bodies(X.pages(s, d), PAGE),
+    "page_bodies": lambda s, d: OH.page_bodies(X.hard_pages(s, d), PAGE),
     "strip_script_style": lambda s, d: X.pages(s, d).select(
         "page_id", H.strip_script_style(F.col("html")).alias("html")),
-    "section_heading": lambda s, d: OH.sections_from_html(X.titled_pages(s, d), PAGE).select("page_id", "heading"),
+    "section_heading": lambda s, d: OH.sections_from_html(X.hard_headings(s, d), PAGE).select("page_id", "heading"),
     "entity_decode": _encoded,
     "drop_boilerplate": lambda s, d: OH.kept_html(X.rich_pages(s, d), PAGE),
     "leaf_blocks": lambda s, d: OH.leaf_blocks(_rich(s, d), PAGE).select("page_id", "leaf_idx", "pos", "tag"),
     "hr_scene_rows": lambda s, d: OH.block_and_rule_rows(_rich(s, d), PAGE),
-    "block_text": lambda s, d: OH.leaf_blocks(_rich(s, d, True), PAGE).select("page_id", "leaf_idx", "text"),
+    "block_text": lambda s, d: OH.leaf_blocks(OH.with_tokens(X.cdata_pages(s, d), "html", True), PAGE).select("page_id", "leaf_idx", "text"),
     "legacy_paragraph_clean": lambda s, d: OH.legacy_paragraphs(_rich(s, d), PAGE),
-    "page_title_author": lambda s, d: OW.page_metadata(X.titled_pages(s, d), PAGE),
-    "download_links": lambda s, d: OW.download_links(X.rich_pages(s, d), PAGE).select(
+    "page_title_author": lambda s, d: OW.page_metadata(X.hard_titles(s, d), PAGE),
+    "download_links": lambda s, d: OW.download_links(X.hard_links(s, d), PAGE).select(
         "page_id", F.explode_outer("links").alias("fmt", "url")).filter(F.col("fmt").isNotNull()),
     "pick_format": lambda s, d: OW.picked_formats(
         OW.download_links(X.rich_pages(s, d).withColumn(
@@ -223,7 +223,9 @@ SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY old))::INT - 1
 a AS (SELECT page_id, pos, 'block' AS kind FROM hleaf UNION ALL
       SELECT page_id, pos, 'scene' FROM hkept WHERE {O.matches('t', r'(?i)^<hr[\s/>]')})
 SELECT page_id, {idx} AS row_idx, kind FROM a""",
-        "block_text": f"""WITH {ent}, {RICH},{O.token_chain('h', 'src', k, drop_notes=True)},{O.leaf_chain('h', k)}
+        "block_text": f"""WITH {ent}, {RICH.replace("src AS", "rich AS", 1)},
+src AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN replace(html, '</article>',
+  '<p>x <i>b &gt; &amp;amp; &lt;i&gt;c</i> d</p></article>') ELSE html END AS html FROM rich),{O.token_chain('h', 'src', k, drop_notes=True)},{O.leaf_chain('h', k)}
 SELECT page_id, {idx} AS leaf_idx, text FROM hleaf""",
         "legacy_paragraph_clean": f"""{rich_tokens},{O.leaf_chain('h', k)},
 pp AS (SELECT e.page_id, e.pos, e.last FROM (SELECT *, lead(pos) OVER (PARTITION BY page_id ORDER BY pos) AS last2 FROM hled) e

@@ -147,3 +147,16 @@ def test_duplicate_heading(spark):
 def test_legacy_paragraphs(evaluate):
     got = evaluate(lambda c: H.legacy_paragraphs(H.tokens(c)), ["<p>a \t b<i>c</i>\n \n\nd</p><p> </p><p>open<div>x</div>"])
     assert got == [["a b c \nd", "open"]]
+
+
+def test_comments_cdata_and_quoting(evaluate):
+    heads = ["<!-- <h1>Old</h1> --><h2>New</h2>", "<h1>open <h2>Two</h2>", "<H3\nid=x>a <b>b</b></H3>", "<h1></h1><h2> </h2>"]
+    assert evaluate(H.first_heading, heads) == ["New", "Two", "a b", ""]
+    bodies = ["<!-- <body>no</body> --><body data-x=\"a>b\"><p>x</p></body>tail", "<!-- <body> --><p>y</p>", "<BODY\n>z"]
+    assert evaluate(H.body_content, bodies) == ["<p>x</p>", "<!-- <body> --><p>y</p>", "z"]
+    texts = ["a <![CDATA[b > &amp; c]]> d &amp;", "<![CDATA[]]>"]
+    assert evaluate(H.element_text, texts) == ["a b > &amp; c d &", ""]
+    tags = ['<a HREF=/x>', "<a title=' href=no' href = 'y&amp;z'>", '<a data-href="no">', '<a href="">', "<a href=>"]
+    assert evaluate(lambda c: H.attribute(c, "href"), tags) == ["/x", "y&z", "", "", ""]
+    tags = ['<p class="page-title heading">', "<p class='heading title x'>", "<p class=title>"]
+    assert evaluate(lambda c: H.has_class(c, "title", "heading"), tags) == [False, True, False]
