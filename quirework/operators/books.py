@@ -237,34 +237,76 @@ def _section_element() -> Column:
     )
 
 
+# fixed values: selectors and declarations of the print style; $names are filled in per layout
+STYLE = (
+    ("@page", "size: $width $height; margin-top: $top; margin-bottom: $bottom; "
+              "@bottom-center { content: counter(page); font-size: 9pt }"),
+    ("@page :right", "margin-left: $inside; margin-right: $outside"),
+    ("@page :left", "margin-left: $outside; margin-right: $inside"),
+    ("html", "font-size: $font"),
+    ("body", "margin: 0; padding: 0; color: #111; font-family: $family; line-height: $line"),
+    (".title-page", "break-after: page; min-height: 100%; display: flex; align-items: center; "
+                    "justify-content: center; text-align: center"),
+    (".title-wrap h1", "margin: 0 0 0.45em 0; font-size: $title; line-height: 1.15"),
+    (".title-wrap .author", "margin: 0; font-size: $author"),
+    (".blank-page", "break-after: page"),
+    (".chapter", "break-before: page"),
+    (".first-body-chapter.chapter", "break-before: right"),
+    (".chapter-title", "text-align: center; margin: 0 0 1.8em 0; font-size: $heading; page-break-after: avoid"),
+    ("p", "margin: 0 0 $gap 0; text-align: justify; text-indent: 0; orphans: 2; widows: 2"),
+    (".chapter p + p", "text-indent: $indent"),
+    ("h1, h2, h3, h4", "page-break-after: avoid"),
+    ("em", "font-style: italic"),
+    ("strong", "font-weight: bold"),
+    ("hr, .scene-break", "margin: 1.2em auto; width: 25%; border: 0; border-top: 1px solid #666"),
+)
+# end of fixed values
+BOX = ("width", "height", "top", "bottom", "inside", "outside")
+
+
+def _style_template(font_pt: float, line_height: float, font_family: str) -> str:
+    text = "\n".join(f"{selector} {{ {body} }}" for selector, body in STYLE)
+    for name, value in (
+        ("$font", f"{font_pt}pt"), ("$family", font_family), ("$line", f"{line_height}"),
+        ("$title", f"{font_pt * S.TITLE_SCALE:.2f}pt"), ("$author", f"{font_pt * S.AUTHOR_SCALE:.2f}pt"),
+        ("$heading", f"{font_pt * S.HEADING_SCALE:.2f}pt"),
+    ):
+        text = text.replace(name, value)
+    return text
+
+
+def _em(x: float) -> str:
+    return f"{x}em" if x else "0"
+
+
 def stylesheet(mode: str = S.DEFAULT_SPACING, size: str = S.DEFAULT_PAGE_SIZE,
-               margin: str = S.DEFAULT_MARGINS, font_pt: float = S.FONT_SIZE_PT,
+               margin: str = S.DEFAULT_MARGINS, box: dict | None = None, font_pt: float = S.FONT_SIZE_PT,
                line_height: float = S.LINE_HEIGHT, font_family: str = S.FONT_STACK) -> str:
-    """Print style of one layout: page box, mirrored margins, breaks, paragraph spacing."""
-    _, _, width, height = next(p for p in S.PAGE_SIZES if p[0] == size)
-    _, _, top, bottom, inside, outside = next(m for m in S.MARGINS if m[0] == margin)
-    _, _, gap, indent = next(m for m in S.SPACING_MODES if m[0] == mode)
-    rules = [
-        ("@page", f"size: {width:.3f}cm {height:.3f}cm; margin-top: {top:.3f}cm; "
-                  f"margin-bottom: {bottom:.3f}cm; @bottom-center {{ content: counter(page); font-size: 9pt }}"),
-        ("@page :right", f"margin-left: {inside:.3f}cm; margin-right: {outside:.3f}cm"),
-        ("@page :left", f"margin-left: {outside:.3f}cm; margin-right: {inside:.3f}cm"),
-        ("html", f"font-size: {font_pt}pt"),
-        ("body", f"margin: 0; color: #111; font-family: {font_family}; line-height: {line_height}"),
-        (".title-page", "break-after: page; text-align: center"),
-        (".title-wrap h1", f"font-size: {font_pt * S.TITLE_SCALE:.2f}pt"),
-        (".title-wrap .author", f"font-size: {font_pt * S.AUTHOR_SCALE:.2f}pt"),
-        (".blank-page", "break-after: page"),
-        (".chapter", "break-before: page"),
-        (".first-body-chapter.chapter", "break-before: right"),
-        (".chapter-title", f"text-align: center; margin: 0 0 {S.HEADING_SPACE}em; "
-                           f"font-size: {font_pt * S.HEADING_SCALE:.2f}pt"),
-        ("p", f"margin: 0 0 {gap}em; text-align: justify; text-indent: 0; orphans: 2; widows: 2"),
-        (".chapter p + p", f"text-indent: {indent}em"),
-        ("hr, .scene-break", f"margin: {S.SCENE_SPACE}em auto; width: 25%; border: 0; "
-                             "border-top: 1px solid #666"),
-    ]
-    return "\n".join(f"{selector} {{ {body} }}" for selector, body in rules)
+    """Print style of one layout: page box, mirrored margins, breaks, paragraph spacing.
+
+    ``box`` has the centimetres of ``BOX`` for custom sizes or margins."""
+    values = dict(zip(BOX, (*next((p[2:] for p in S.PAGE_SIZES if p[0] == size), (None,) * 2),
+                            *next((m[2:] for m in S.MARGINS if m[0] == margin), (None,) * 4)), strict=True)) | (box or {})
+    if missing := [k for k, v in values.items() if v is None]:
+        raise ValueError(f"unknown layout, no {missing}")
+    _, _, gap, indent = next((m for m in S.SPACING_MODES if m[0] == mode), S.SPACING_MODES[0])
+    css = _style_template(font_pt, line_height, font_family)
+    for name, cm in values.items():
+        css = css.replace(f"${name}", f"{cm:.3f}cm")
+    return css.replace("$gap", _em(gap)).replace("$indent", _em(indent))
+
+
+def layout_stylesheets(layouts: DataFrame, font_pt: float = S.FONT_SIZE_PT, line_height: float = S.LINE_HEIGHT,
+                       font_family: str = S.FONT_STACK) -> DataFrame:
+    """``(layout_id, css)`` of accepted layouts, custom sizes and margins included."""
+    mode = F.lower(py_strip(N.or_default(F.col("spacing"), S.DEFAULT_SPACING)))
+    css = F.lit(_style_template(font_pt, line_height, font_family))
+    for name in BOX:
+        css = F.replace(css, F.lit(f"${name}"), F.format_string("%.3fcm", f"{name}_cm"))
+    for name, k in (("$gap", 2), ("$indent", 3)):
+        default = F.lit(_em(S.SPACING_MODES[0][k]))
+        css = F.replace(css, F.lit(name), S.lookup(mode, [(m[0], _em(m[k])) for m in S.SPACING_MODES], default))
+    return layouts.filter(F.col("status") == "ok").select("layout_id", css.alias("css"))
 
 
 def html_documents(cleaned: DataFrame, books: DataFrame, css: str) -> DataFrame:
@@ -331,8 +373,9 @@ def markdown_documents(texts: DataFrame, books: DataFrame) -> DataFrame:
 
 
 def styled_paragraphs(texts: DataFrame, books: DataFrame, modes: DataFrame,
-                      font_pt: float = S.FONT_SIZE_PT) -> DataFrame:
-    """One row per paragraph with its print format, for each spacing mode.
+                      font_pt: float = S.FONT_SIZE_PT, line_height: float = S.LINE_HEIGHT) -> DataFrame:
+    """One row per paragraph with its print format, for each spacing mode. Paragraphs of the
+    body have a line spacing; the page box comes from ``page_setup``.
 
     The first paragraph of a section and the first after a scene break are not indented.
     ``para_idx`` -1 is a section's heading; the title and author rows of a book have
@@ -343,11 +386,12 @@ def styled_paragraphs(texts: DataFrame, books: DataFrame, modes: DataFrame,
     def pt(scale):
         return F.round(F.lit(float(font_pt)) * scale, 3)
 
-    def fmt(role, text, align, size, bold, before, after, indent):
+    def fmt(role, text, align, size, bold, before, after, indent, line=None):
         return F.struct(
             F.lit(role).alias("role"), text.alias("text"), F.lit(align).alias("align"),
             pt(F.lit(size)).alias("font_pt"), F.lit(bold).alias("bold"), pt(before).alias("before_pt"),
             pt(after).alias("after_pt"), pt(indent).alias("indent_pt"),
+            F.lit(line).cast("double").alias("line_spacing"),
         )
 
     zero = F.lit(0.0)
@@ -361,7 +405,7 @@ def styled_paragraphs(texts: DataFrame, books: DataFrame, modes: DataFrame,
                     F.lit(S.SCENE_SPACE), F.lit(S.SCENE_SPACE), zero),
             ).otherwise(
                 fmt("body", x, "justify", 1.0, False, zero, F.col("gap"),
-                    F.when(starts, 0.0).otherwise(F.col("indent")))
+                    F.when(starts, 0.0).otherwise(F.col("indent")), line_height)
             ))
 
         head = fmt_row(F.lit(-1), fmt("heading", heading, "center", S.HEADING_SCALE, True, zero,
@@ -390,3 +434,12 @@ def styled_paragraphs(texts: DataFrame, books: DataFrame, modes: DataFrame,
     return body.unionByName(titles).select(
         "book_id", "mode", "section_idx", "para_idx", "f.*"
     )
+
+
+def page_setup(layouts: DataFrame) -> DataFrame:
+    """Page box of accepted layouts for the styled paragraphs: left is the inside margin."""
+    return layouts.filter(F.col("status") == "ok").select(
+        "layout_id", "width_cm", "height_cm", "top_cm", "bottom_cm",
+        F.col("inside_cm").alias("left_cm"), F.col("outside_cm").alias("right_cm"),
+        F.lit(0.8).alias("footer_distance_cm"),
+    )

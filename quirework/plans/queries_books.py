@@ -96,10 +96,32 @@ QUERIES = {
     "markdown_documents": lambda s, d: B.markdown_documents(_texts(s, d), _books(s, d)),
     "styled_paragraphs": lambda s, d: B.styled_paragraphs(_texts(s, d), _books(s, d), S.spacing_modes(s)),
     "layout_resolution": lambda s, d: L.resolve_layouts(X.layout_requests(s, d)),
+    "layout_stylesheets": lambda s, d: B.layout_stylesheets(L.resolve_layouts(X.layout_requests(s, d))),
+    "page_setup": lambda s, d: B.page_setup(L.resolve_layouts(X.layout_requests(s, d))),
 }
 
 # --- oracles ----------------------------------------------------------------------
 
+# the style as plain text, written down here again
+CSS = """@page { size: $w $h; margin-top: $t; margin-bottom: $b; @bottom-center { content: counter(page); font-size: 9pt } }
+@page :right { margin-left: $i; margin-right: $o }
+@page :left { margin-left: $o; margin-right: $i }
+html { font-size: 11.5pt }
+body { margin: 0; padding: 0; color: #111; font-family: "Garamond", "EB Garamond", "Cormorant Garamond", serif; line-height: 1.35 }
+.title-page { break-after: page; min-height: 100%; display: flex; align-items: center; justify-content: center; text-align: center }
+.title-wrap h1 { margin: 0 0 0.45em 0; font-size: 23.00pt; line-height: 1.15 }
+.title-wrap .author { margin: 0; font-size: 13.22pt }
+.blank-page { break-after: page }
+.chapter { break-before: page }
+.first-body-chapter.chapter { break-before: right }
+.chapter-title { text-align: center; margin: 0 0 1.8em 0; font-size: 16.68pt; page-break-after: avoid }
+p { margin: 0 0 $gap 0; text-align: justify; text-indent: 0; orphans: 2; widows: 2 }
+.chapter p + p { text-indent: $ind }
+h1, h2, h3, h4 { page-break-after: avoid }
+em { font-style: italic }
+strong { font-weight: bold }
+hr, .scene-break { margin: 1.2em auto; width: 25%; border: 0; border-top: 1px solid #666 }"""
+
 BOOK_NO = "regexp_extract({0}, '([0-9]+)$', 1)::INT"
 
 
@@ -189,7 +211,19 @@ tx AS (SELECT book_id, section_idx, heading, item_idx, kind, text FROM hbase JOI
 
 
 def _oracles() -> dict[str, str]:
-    css = O.lit(B.stylesheet())
+    css = CSS
+    for name, value in (("$w", "15.240cm"), ("$h", "22.860cm"), ("$t", "1.500cm"), ("$b", "1.500cm"), ("$ind", "1.2em"), ("$i", "1.800cm"),
+                        ("$o", "1.000cm"), ("$gap", "0.65em")):
+        css = css.replace(name, value)
+    css = O.lit(css)
+    sheet = O.lit(CSS)
+    spaced = "lower(trim(spacing))"
+    for name, value in (
+        ("$gap", f"CASE WHEN {spaced} IN ('uniform', 'indented-compact') THEN '0' ELSE '0.65em' END"),
+        ("$ind", f"CASE WHEN {spaced} IN ('uniform', 'no-indents') THEN '0' ELSE '1.2em' END"),
+        *((f"${c[0]}", f"printf('%.3fcm', {c}_cm)") for c in ("width", "height", "top", "bottom", "inside", "outside")),
+    ):
+        sheet = f"replace({sheet}, '{name}', {value})"
     esc_t, esc_a = O.escape_html("used_title"), O.escape_html("used_author")
     modes = ", ".join(f"({O.lit(m[0])}, {m[2]}::DOUBLE, {m[3]}::DOUBLE)" for m in S.SPACING_MODES)
     illegal = "'[<>:\"/\\\\|?*\\x00-\\x1f]'"
@@ -205,7 +239,7 @@ def _oracles() -> dict[str, str]:
         return f"CASE WHEN error IS NULL THEN CASE WHEN {own} THEN {c} ELSE {preset} END END"
 
     own_s, own_m = "sk = 'custom'", "mk = 'custom'"
-    return {
+    out = {
         "book_metadata": f"WITH {BOOKS_SQL} SELECT book_id, detected_title, detected_author FROM det",
         "metadata_override": f"WITH {BOOKS_SQL} SELECT book_id, used_title, used_author FROM used",
         "slugify": f"SELECT doc_id, {slug_sql('string_split(text, chr(10))[1]')} AS slug, {slug_sql('text')} AS long_slug FROM documents",
@@ -251,12 +285,13 @@ p AS (SELECT *, lag(kind) OVER (PARTITION BY book_id, section_idx ORDER BY item_
 body AS (SELECT book_id, mode, section_idx, para_idx, CASE WHEN kind = 'scene' THEN 'scene' ELSE 'body' END AS role, text,
   CASE WHEN kind = 'scene' THEN 'center' ELSE 'justify' END AS align, {font}::DOUBLE AS font_pt, false AS bold,
   CASE WHEN kind = 'scene' THEN {pt(1.2)} ELSE 0 END AS before_pt, CASE WHEN kind = 'scene' THEN {pt(1.2)} ELSE {pt('gap')} END AS after_pt,
-  CASE WHEN kind = 'scene' OR coalesce(prev, 'scene') = 'scene' THEN 0 ELSE {pt('indent')} END AS indent_pt FROM p, modes),
+  CASE WHEN kind = 'scene' OR coalesce(prev, 'scene') = 'scene' THEN 0 ELSE {pt('indent')} END AS indent_pt,
+  CASE WHEN kind <> 'scene' THEN 1.35::DOUBLE END AS line_spacing FROM p, modes),
 hd AS (SELECT DISTINCT book_id, section_idx, {O.strip('heading')} AS h FROM tx WHERE {O.strip('heading')} <> '')
 SELECT * FROM body
-UNION ALL SELECT book_id, mode, section_idx, -1, 'heading', h, 'center', {pt(1.45)}, true, 0, {pt(1.8)}, 0 FROM hd, modes
-UNION ALL SELECT book_id, mode, -1, 0, 'title', used_title, 'center', {pt(2.0)}, true, 0, 0, 0 FROM used, modes
-UNION ALL SELECT book_id, mode, -1, 1, 'author', used_author, 'center', {pt(1.15)}, false, 0, 0, 0 FROM used, modes""",
+UNION ALL SELECT book_id, mode, section_idx, -1, 'heading', h, 'center', {pt(1.45)}, true, 0, {pt(1.8)}, 0, NULL FROM hd, modes
+UNION ALL SELECT book_id, mode, -1, 0, 'title', used_title, 'center', {pt(2.0)}, true, 0, 0, 0, NULL FROM used, modes
+UNION ALL SELECT book_id, mode, -1, 1, 'author', used_author, 'center', {pt(1.15)}, false, 0, 0, 0, NULL FROM used, modes""",
         "layout_resolution": f"""WITH {LAYOUT_SQL}, {dims_sql()},
 x AS (SELECT *, coalesce(nullif({key_sql('size')}, ''), 'default-trade') AS sk, {key_sql('margin')} AS mk FROM lr),
 y AS (SELECT x.*, s.w, s.h, m.t, m.b, m.i, m.o, CASE WHEN {own_s} AND cw IS NULL THEN 'custom_size_missing'
@@ -268,6 +303,10 @@ SELECT layout_id, spacing, margin, size, {custom('cw', 'w', own_s)} AS width_cm,
   {custom('1.0', 't', own_m)} AS top_cm, {custom('1.0', 'b', own_m)} AS bottom_cm, {custom('ci', 'i', own_m)} AS inside_cm,
   {custom('0.5', 'o', own_m)} AS outside_cm, CASE WHEN error IS NULL THEN 'ok' ELSE 'rejected' END AS status, error FROM y""",
     }
+    out["layout_stylesheets"] = f"SELECT layout_id, {sheet} AS css FROM ({out['layout_resolution']}) WHERE status = 'ok'"
+    out["page_setup"] = f"""SELECT layout_id, width_cm, height_cm, top_cm, bottom_cm, inside_cm AS left_cm, outside_cm AS right_cm,
+  0.8::DOUBLE AS footer_distance_cm FROM ({out['layout_resolution']}) WHERE status = 'ok'"""
+    return out
 
 
 ORACLES = _oracles()

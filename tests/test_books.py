@@ -207,3 +207,15 @@ def test_unknown_variants_and_failures(spark):
                    ("c", "standard", 0): "no_readable_sections", ("c", "standard", 1): "unknown_margins"}
     assert {r.book_id: r.all_failed for r in V.book_outcomes(status).collect()} == {"b": False, "c": True}
     assert [r.variant for r in V.unknown_variants(jobs, S.variants(spark)).collect()] == ["nope"]
+
+
+def test_stylesheets_of_all_modes_and_custom_boxes(spark):
+    rows = [(mode, "standard", "a5", *(None,) * 6) for mode, *_ in S.SPACING_MODES] + [
+        ("uniform", "custom", "custom", 10.0, 20.0, 1.0, 2.0, 3.0, 4.0), ("uniform", "custom", "a5", *(None,) * 6)]
+    got = B.layout_stylesheets(L.resolve_layouts(layouts(spark, *rows))).collect()
+    css = {r.layout_id: r.css for r in got}
+    assert len(css) == 5  # the incomplete custom layout is rejected
+    for i, (mode, *_rest) in zip(sorted(css), rows, strict=False):
+        box = dict(zip(B.BOX, (10.0, 20.0, 1.0, 2.0, 3.0, 4.0), strict=True)) if i == sorted(css)[4] else None
+        assert css[i] == B.stylesheet(mode, "a5", "standard", box)
+    assert "$" not in "".join(css.values())
