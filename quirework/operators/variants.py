@@ -188,13 +188,20 @@ def preview_samples(sections: DataFrame, n: int = S.PREVIEW_SECTIONS,
     )
 
 
-def changed_sections(sections: DataFrame, merge: bool = False) -> DataFrame:
-    """Per book: sections, and sections whose text the cleanup changed."""
-    both = before_after(sections, ["book_id"], merge)
-    return both.groupBy("book_id").agg(
-        F.count(F.lit(1)).alias("n_sections"),
-        F.sum(F.when(F.col("before") != F.col("after"), 1).otherwise(0)).alias("n_changed"),
-    )
+def changed_sections(sections: DataFrame, groups: DataFrame, drop_notes: bool = False) -> DataFrame:
+    """Per book and variant: sections, and sections whose text the variant changed.
+
+    ``groups`` comes from ``settings.variant_groups``. Notes are left out on both sides."""
+    tokens = with_tokens(sections.select("book_id", "section_idx", "html"), "html", drop_notes)
+    before = compute(tokens, "before", py_strip(raw_text(F.col("tokens"))))
+    items = compute(before, "items", items_of_tokens()).drop("tokens", "html")
+
+    def compared(df):
+        after = compute(df, "after", M.items_text(F.col("items"))).drop("items")
+        return after.withColumn("changed", F.col("before") != F.col("after")).drop("before", "after")
+
+    return B.fan_out(items, groups, compared).groupBy("book_id", "profile", "variant").agg(
+        F.count(F.lit(1)).alias("n_sections"), F.sum(F.col("changed").cast("int")).alias("n_changed"))
 
 
 # --- report -----------------------------------------------------------------------

@@ -316,6 +316,21 @@ def variant_jobs(spark, folder) -> DataFrame:
     )
 
 
+def conversation_texts(spark, folder) -> DataFrame:
+    """A book per conversation, a section per turn, headed by the role."""
+    return read_table(spark, folder, "conversations").select(
+        F.col("conv_id").cast("string").alias("book_id"), F.col("turn").cast("bigint").alias("section_idx"),
+        F.col("role").alias("heading"), F.replace("text", F.lit(". "), F.lit(".\n\n")).alias("text"))
+
+
+def conversation_books(spark, folder) -> DataFrame:
+    """Title and author of two conversations in three."""
+    ids = read_table(spark, folder, "conversations").select("conv_id").distinct().filter("conv_id % 3 < 2")
+    return ids.select(
+        F.col("conv_id").cast("string").alias("book_id"), F.concat(F.lit("Talk_"), F.col("conv_id").cast("string")).alias("used_title"),
+        F.when(F.col("conv_id") % 2 == 0, "").otherwise("Two *people*").alias("used_author"))
+
+
 # --- archives and files -----------------------------------------------------------
 
 

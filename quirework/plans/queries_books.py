@@ -94,6 +94,7 @@ QUERIES = {
     "section_blocks": lambda s, d: B.section_blocks(_section_html(s, d)),
     "html_documents": lambda s, d: B.html_documents(_section_html(s, d), _books(s, d), B.stylesheet()),
     "markdown_documents": lambda s, d: B.markdown_documents(_texts(s, d), _books(s, d)),
+    "conversation_documents": lambda s, d: B.markdown_documents(X.conversation_texts(s, d), X.conversation_books(s, d)),
     "styled_paragraphs": lambda s, d: B.styled_paragraphs(_texts(s, d), _books(s, d), S.spacing_modes(s)),
     "layout_resolution": lambda s, d: L.resolve_layouts(X.layout_requests(s, d)),
     "layout_stylesheets": lambda s, d: B.layout_stylesheets(L.resolve_layouts(X.layout_requests(s, d))),
@@ -303,6 +304,14 @@ SELECT layout_id, spacing, margin, size, {custom('cw', 'w', own_s)} AS width_cm,
   {custom('1.0', 't', own_m)} AS top_cm, {custom('1.0', 'b', own_m)} AS bottom_cm, {custom('ci', 'i', own_m)} AS inside_cm,
   {custom('0.5', 'o', own_m)} AS outside_cm, CASE WHEN error IS NULL THEN 'ok' ELSE 'rejected' END AS status, error FROM y""",
     }
+    out["conversation_documents"] = f"""WITH t AS (SELECT conv_id, turn, role, list_filter(list_transform(
+    string_split(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10) || chr(10)), lambda x: {O.strip('x')}), lambda y: y <> '') AS ps FROM conversations),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM t WHERE len(ps) > 0)
+SELECT DISTINCT conv_id::VARCHAR AS book_id, -1::BIGINT AS part_no, CASE WHEN conv_id % 3 = 2 THEN '# Unknown Title' || chr(10) || chr(10) || '_By Unknown Author_'
+  ELSE '# Talk' || chr(92) || '_' || conv_id || CASE WHEN conv_id % 2 = 0 THEN '' ELSE chr(10) || chr(10) || '_By Two ' || chr(92) || '*people' || chr(92) || '*_' END END
+  || chr(10) AS markdown FROM t
+UNION ALL SELECT conv_id::VARCHAR, turn, repeat(chr(10), CASE WHEN rn = 1 THEN 1 ELSE 2 END) || '## ' || {md_escape('role')} || chr(10) || chr(10) ||
+  array_to_string(list_transform(ps, lambda p: CASE WHEN {O.scene('p')} THEN '***' ELSE {md_escape('p')} END), chr(10) || chr(10)) || chr(10) FROM f"""
     out["layout_stylesheets"] = f"SELECT layout_id, {sheet} AS css FROM ({out['layout_resolution']}) WHERE status = 'ok'"
     out["page_setup"] = f"""SELECT layout_id, width_cm, height_cm, top_cm, bottom_cm, inside_cm AS left_cm, outside_cm AS right_cm,
   0.8::DOUBLE AS footer_distance_cm FROM ({out['layout_resolution']}) WHERE status = 'ok'"""

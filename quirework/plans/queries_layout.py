@@ -99,7 +99,7 @@ QUERIES = {
     "baseline_comparison": lambda s, d: _metrics(s, d).drop("input_bytes", "text_bytes"),
     "size_metrics": lambda s, d: V.size_metrics(_measures(s, d, "app"), ["book_id", "variant"]),
     "preview_samples": lambda s, d: V.preview_samples(X.book_sections(s, d)),
-    "changed_sections": lambda s, d: V.changed_sections(X.book_sections(s, d)),
+    "changed_sections": lambda s, d: V.changed_sections(X.book_sections(s, d), S.variant_groups(s)),
     "run_report": lambda s, d: V.run_report(_app_metrics(s, d), _books(s, d), L.resolve_layouts(X.book_layouts(s)), X.book_imposition(s, d)),
 }
 
@@ -233,7 +233,16 @@ FROM ct JOIN sl USING (book_id)""",
   sum(text_bytes)::DOUBLE / 1048576 AS text_mb FROM mm WHERE profile = 'app' GROUP BY book_id, variant""",
         "preview_samples": f"""WITH {before}, r AS (SELECT *, (row_number() OVER (PARTITION BY book_id ORDER BY section_idx))::INT AS sample_no FROM ba)
 SELECT book_id, sample_no, heading, {trim('before')} AS before, {trim('after')} AS after FROM r WHERE sample_no <= 3""",
-        "changed_sections": f"""WITH {before} SELECT book_id, count(*) AS n_sections, count(*) FILTER (before <> after) AS n_changed FROM ba GROUP BY book_id""",
+        "changed_sections": f"""WITH {vi(S.VARIANTS)},
+bt AS (SELECT book_id, section_idx, pos, text FROM hleaf UNION ALL
+       SELECT book_id, section_idx, pos, '***' FROM hkept WHERE {O.matches('t', r'(?i)^<hr[\s/>]')}),
+bf AS (SELECT book_id, section_idx, {O.strip("string_agg(text, chr(10)||chr(10) ORDER BY pos)")} AS before FROM bt GROUP BY book_id, section_idx),
+av AS (SELECT book_id, section_idx, profile, variant, {O.strip("string_agg(text, chr(10)||chr(10) ORDER BY item_idx)")} AS after FROM hvi
+       GROUP BY book_id, section_idx, profile, variant),
+ba AS (SELECT b.book_id, v.profile, v.variant, coalesce(before, '') AS before, coalesce(after, '') AS after FROM (book b CROSS JOIN variants v)
+       LEFT JOIN bf ON bf.book_id = b.book_id AND bf.section_idx = b.section_idx
+       LEFT JOIN av ON av.book_id = b.book_id AND av.section_idx = b.section_idx AND av.profile = v.profile AND av.variant = v.variant)
+SELECT book_id, profile, variant, count(*) AS n_sections, count(*) FILTER (before <> after) AS n_changed FROM ba GROUP BY book_id, profile, variant""",
         "run_report": f"""WITH {BOOKS_SQL}, {metrics},
 im AS (SELECT book_id, CASE WHEN n % 4 IN (0, 2) THEN 'none' ELSE 'also' END AS mode, CASE WHEN n % 5 = 1 THEN 10 WHEN n % 2 = 0 THEN 16 ELSE 24 END AS pg,
   CASE n % 3 WHEN 1 THEN 8 WHEN 2 THEN 12 END AS pad, CASE WHEN n % 2 = 0 THEN 'Right-to-left' ELSE 'Left-to-right' END AS dir FROM used),
