@@ -65,12 +65,15 @@ TOKEN = re.compile(
     r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:"[^"]*+"|'[^']*+'|[^>"'])*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORDS = re.compile(r"[a-z]+")
+#: Names that say what a page has around its article ("with-sidebar") mark nothing.
+AROUND = re.compile(r"(?:has|with|without|no|is)[-_]")
 
 ROOT = 0
 
 
-def attributes(rest: str) -> tuple[str, bool]:
-    """(label, marked) from what stands in a tag after its name."""
+def attributes(rest: str, article: bool) -> tuple[str, bool]:
+    """(label, marked) from what stands in a tag after its name. Inside an article a header
+    is the article's own."""
     label, marked = "", False
     for name, *values in ATTRIBUTE.findall(rest):
         name, value = name.lower(), "".join(values).lower()
@@ -78,7 +81,9 @@ def attributes(rest: str) -> tuple[str, bool]:
             marked |= value == "true"
             continue
         words = WORDS.findall(value)
-        marked |= any(w in MARKS for w in words)
+        marked |= any(
+            w in MARKS and not (article and w == "header")
+            for part in value.split() if not AROUND.match(part) for w in WORDS.findall(part))
         if name != "role":
             label += f".{' '.join(sorted(words))}"
     return label, marked
@@ -151,12 +156,14 @@ class Page:
         if tag in VOID:
             return
         _, above, dropped, article, link = self.stack[-1]
-        label, marked = attributes(rest) if rest else ("", False)
+        label, marked = attributes(rest, article) if rest else ("", False)
         path = path_token(above, tag + label)
         self.elements[path, above] += 1
         if tag in ("html", "body"):
             marked = False
         inside = article or tag in ("article", "main")
+        if tag == "main":
+            dropped = False  # whatever its wrapper is called
         dropped |= tag in DROPPED or marked or (tag == "header" and not article)
         self.stack.append((tag, path, dropped, inside, link or tag == "a"))
 

@@ -95,6 +95,13 @@ def test_marked_parts_and_markup(spark):
     assert extract(spark, [page(1, body)]) == {1: "Head & more\nOne two three four\nFive <six>\na\nb"}
 
 
+def test_wrappers_and_headers_of_the_article(spark):
+    body = """<body class="has-sidebar"><div class="layout with-sidebar"><div class="header">Site</div><div class="sidebar-left">Menu</div>
+    <article class="post"><div class="post-header"><h1>Title</h1></div><p>Text</p><div class="share-bar">Share</div></article></div></body>"""
+    wrapped = '<div class="banner"><main><p>Kept</p></main><p>Gone</p></div>'
+    assert extract(spark, [page(1, body), page(2, wrapped)]) == {1: "Title\nText", 2: "Kept"}
+
+
 def test_hard_pages(spark):
     rows = [(1, None, None), (2, "https://a.b/", None), (2, "https://a.b/", ""), (3, None, "<p>x</p>"), (None, "not a url", "y < z & t"),
             (4, "http://u@h:8/", "<p>" * 3000 + "deep"), (5, "http://q/", "<a" * 5000), (6, "http://q/", "<script>never closed <p>x"),
