@@ -153,8 +153,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: i
     if not sizes:
         return None
     share = max(2, sample // len(sizes))
-    # a draw by hash of about 1.2 shares, so that the sort below has a bounded input
-    odds = F.create_map(*[F.lit(v) for s, n in sizes.items() for v in (s, min(1.0, (1.2 * share + 20) / n))])
+    # a draw by hash of somewhat more than a share (five deviations), which bounds what is collected
+    odds = F.create_map(*[F.lit(v) for s, n in sizes.items() for v in (s, min(1.0, (share + 5 * share**0.5) / n))])
     drawn = rows.filter(F.pmod("h", F.lit(1 << 30)) < F.element_at(odds, F.col("lang")) * (1 << 30))
     drawn = drawn.withColumn("x", training_rows("text")).select("lang", "h", "x")
     by: dict[str, int] = defaultdict(int)

@@ -144,7 +144,6 @@ def search(reps: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES,
            scale: float = SCALE, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """(a, b, links) from rows (uid, label, dim, embedding, times): ``links`` to add to ``a``
     where b is null, else a link of the spanning forest."""
-    reps = staged(reps, "lattice")
     entry = reps.select("uid", "label", "dim", "embedding")
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,8 +8,9 @@ keys behind it. When counts change, ``change_shards`` inserts the keys that have
 duplicates and deletes those that no longer are, without building the filter anew.
 
 Use. The keys of all documents are dealt to the shards; the filter answers "no" for nearly
-all of them, and the exact keys confirm the rest. Copies of a shard go to several salts, so
-a line that a third of all documents share is probed in many tasks.
+all of them, and the exact keys confirm the rest. Copies of a shard go to as many salts as
+keep a group at about ``GROUP_ROWS`` occurrences, so a line that a third of all documents
+share is probed in many tasks, and few duplicate keys do not mean few tasks.
 
 Defined results: a null text is one empty line; a line of white space alone is never a
 duplicate; each row is a document of its own, also with a null or repeated id.
@@ -27,7 +28,10 @@ from pyspark.sql.types import ArrayType, StringType
 from .common import SPACE_BYTES, longs, staged
 
 MIN_DOCS = 10
-SALTS = 32
+#: Occurrences that are probed together, about.
+GROUP_ROWS = 50_000
+#: Salts at least, so that a single hot line is spread even where there are few rows.
+SALTS = 16
 #: Duplicate keys that one shard should hold, about.
 SHARD_KEYS = 50_000
 SLOTS = 4
@@ -169,6 +173,12 @@ def shard_count(counts: DataFrame, min_docs: int = MIN_DOCS) -> int:
     return 1 << max(0, int(np.ceil(np.log2(max(1, n) / SHARD_KEYS))))
 
 
+def salt_count(counts: DataFrame, n_shards: int, rows: int = GROUP_ROWS) -> int:
+    """Salts per shard, from the occurrences of all keys."""
+    n = counts.agg(F.sum("n_docs")).first()[0] or 0
+    return max(SALTS, -(-int(n) // (rows * n_shards)))
+
+
 def _shard(n_shards: int):
     return F.pmod(F.col("h1"), F.lit(n_shards)).cast("int")
 
@@ -225,7 +235,7 @@ def change_shards(shards: DataFrame, before: DataFrame, after: DataFrame, n_shar
 # ---------------------------------------------------------------- use
 
 def duplicate_occurrences(occ: DataFrame, shards: DataFrame, n_shards: int,
-                          salts: int = SALTS) -> DataFrame:
+                          salts: int) -> DataFrame:
     """The occurrences whose key is a duplicate."""
     def one(_: tuple, rows: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(shard):
@@ -271,6 +281,7 @@ def drop_lines(docs: DataFrame, duplicates: DataFrame, key: str = "doc_id",
 def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(``_d``: the document's columns, ``_lines``: n_lines, n_dropped, kept text)."""
     occ = occurrences(docs, key, text)
-    many = staged(reference_counts(occ).filter(F.col("n_docs") >= min_docs), "line-counts")
-    n = shard_count(many, min_docs)
-    return drop_lines(docs, duplicate_occurrences(occ, build_shards(many, n, min_docs), n), key, text)
+    counts = staged(reference_counts(occ), "line-counts")
+    n = shard_count(counts, min_docs)
+    found = duplicate_occurrences(occ, build_shards(counts, n, min_docs), n, salt_count(counts, n))
+    return drop_lines(docs, found, key, text)
