@@ -14,6 +14,8 @@ from pyspark.sql.types import LongType, StructType
 #: The white space of all word and line rules: space and \x09-\x0D.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_BYTES = SPACES.encode()
+#: Texts in one batch for a Python worker.
+BATCH_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +33,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bounded_batches(df: DataFrame, rows: int = BATCH_ROWS) -> None:
+    """Let at most ``rows`` rows go to a Python worker at once: texts are long, and a worker
+    holds a batch several times over. A smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key))
+    if now <= 0 or now > rows:
+        df.sparkSession.conf.set(key, str(rows))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later passes do not repeat its
     work, and a lost executor takes none of it away."""

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BinaryType, DoubleType, StringType, StructType
 
+from .common import bounded_batches
+
 SAMPLE = 1600
 FOLDS = 5
 BITS = 12
@@ -187,5 +189,6 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Learn from the rows outside fold 0, predict all."""
+    bounded_batches(docs)
     model = train(docs.filter(fold(F.col(key)) != 0), text, lang)
     return predict(docs, model, key, text).withColumn("held_out", fold(F.col("doc_id")) == 0)

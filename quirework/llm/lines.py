@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from .common import SPACE_BYTES, longs, staged
+from .common import SPACE_BYTES, bounded_batches, longs, staged
 
 MIN_DOCS = 10
 #: Occurrences that are probed together, about.
@@ -280,6 +280,7 @@ def drop_lines(docs: DataFrame, duplicates: DataFrame, key: str = "doc_id",
 
 def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(``_d``: the document's columns, ``_lines``: n_lines, n_dropped, kept text)."""
+    bounded_batches(docs)
     occ = occurrences(docs, key, text)
     counts = staged(reference_counts(occ), "line-counts")
     n = shard_count(counts, min_docs)

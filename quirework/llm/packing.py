@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from .common import bounded_batches
+
 CAPACITY = 1024
 SPLIT = 8
 END_ID = 0
@@ -128,6 +130,7 @@ class Packer:
 def pack(docs: DataFrame, path: str, ranks: str | None = None, pattern: str | None = None,
          key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    bounded_batches(docs)
     kind = dict(docs.dtypes)[key]
     names = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
     schema = f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names)

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE_BYTES, longs
+from .common import SPACE_BYTES, bounded_batches, longs
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
             "n_lines", "n_upper", "n_ascii_letters", "n_shouts")
@@ -112,6 +112,7 @@ def mask(rules: tuple[str, ...]) -> int:
 
 def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, measurements, ``failures`` (one bit per failed rule)."""
+    bounded_batches(docs)
     measured = docs.select(F.col(key), measurements(F.col(text)).alias("_m"))
     return measured.select(key, "_m.*", rule_bits(F.col("_m")).alias("failures"))
 
@@ -155,6 +156,7 @@ def ablations(rows: DataFrame, policies: dict[str, tuple[str, ...]] = POLICIES)
 
 def keep_good(docs: DataFrame, policy: str = CURRENT, text: str = "text") -> DataFrame:
     """The documents that pass the policy, with all their columns."""
+    bounded_batches(docs)
     names = docs.columns
     scored = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_d"),
                          measurements(F.col(text)).alias("_m"))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType
 
-from .common import meetings, staged, whole_groups
+from .common import bounded_batches, meetings, staged, whole_groups
 from .forest import Forest
 from .graph import components
 
@@ -153,6 +153,7 @@ def fingerprint_components(marked: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, fp, component_id) for each row."""
+    bounded_batches(docs)
     marked = staged(docs.select(F.col(key).alias("id"), fingerprints(F.col(text)).alias("fp")), "simhash")
     comp = fingerprint_components(marked).select("fp", "component_id")
     return marked.join(comp, "fp").select("id", "fp", "component_id")
@@ -160,6 +161,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component (its smallest id), with all its columns."""
+    bounded_batches(docs)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d"), F.col(key).alias("_id"),
                          F.xxhash64(key).alias("_h"), fingerprints(F.col(text)).alias("_fp"))
     comp = fingerprint_components(packed.select(F.col("_id").alias("id"), F.col("_fp").alias("fp")))

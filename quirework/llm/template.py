@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructType
 
-from .common import staged
+from .common import bounded_batches, staged
 
 #: Pages a host needs, and a class.
 MIN_PAGES = 5
@@ -278,6 +278,7 @@ def templates(classes: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text) for each page."""
+    bounded_batches(pages)
     found = staged(templates(equivalence_classes(pages.select(key, url, html), url, html)), "templates")
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"),
                         host_of(F.col(url)).alias("_host"))
