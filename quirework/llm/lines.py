@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from .common import SPACE_BYTES, bounded_batches, longs, staged
@@ -146,10 +146,18 @@ def distinct_keys(text: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+def row_key(id: Column, text: Column) -> Column:
+    """Stands for a document while its lines are looked up. Rows with one id and one text share
+    it, and rarely others do; each then gets the lines of all, which does no harm, since all
+    of them are duplicates. So a null or repeated id makes no large group."""
+    return F.xxhash64(id, text)
+
+
 def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, h1, h2): one row per document and different line key."""
-    return docs.select(F.col(key).alias("id"), F.explode(distinct_keys(F.col(text))).alias("k")).select(
-        "id", "k.h1", "k.h2"
+    """(row, h1, h2): one row per document and different line key."""
+    row = row_key(F.col(key), F.col(text))
+    return docs.select(row.alias("row"), F.explode(distinct_keys(F.col(text))).alias("k")).select(
+        "row", "k.h1", "k.h2"
     )
 
 
@@ -239,19 +247,18 @@ def duplicate_occurrences(occ: DataFrame, shards: DataFrame, n_shards: int,
     """The occurrences whose key is a duplicate."""
     def one(_: tuple, rows: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(shard):
-            return rows.iloc[:0][["id", "h1", "h2"]]
+            return rows.iloc[:0][["row", "h1", "h2"]]
         h = rows[["h1", "h2"]].to_numpy("<i8")
         maybe = np.flatnonzero(CuckooFilter.from_row(shard.buckets[0], shard.stash[0]).contains(h))
         exact = set(map(tuple, np.frombuffer(shard["keys"][0], dtype="<i8").reshape(-1, 2).tolist()))
         sure = [i for i, k in zip(maybe, map(tuple, h[maybe].tolist()), strict=True) if k in exact]
-        return rows.iloc[sure][["id", "h1", "h2"]]
+        return rows.iloc[sure][["row", "h1", "h2"]]
 
-    left = occ.select("id", "h1", "h2", _shard(n_shards).alias("shard"),
-                      F.pmod(F.xxhash64("id", "h2"), F.lit(salts)).cast("int").alias("salt"))
+    left = occ.select("row", "h1", "h2", _shard(n_shards).alias("shard"),
+                      F.pmod(F.xxhash64("row", "h2"), F.lit(salts)).cast("int").alias("salt"))
     right = shards.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    kind = dict(occ.dtypes)["id"]
     return left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt")).applyInPandas(
-        one, f"id {kind}, h1 long, h2 long")
+        one, "row long, h1 long, h2 long")
 
 
 @F.pandas_udf(longs("n_lines", "n_dropped").add("kept", StringType()))
@@ -272,9 +279,10 @@ def without(text: pd.Series, drop: pd.Series) -> pd.DataFrame:
 def drop_lines(docs: DataFrame, duplicates: DataFrame, key: str = "doc_id",
                text: str = "text") -> DataFrame:
     """``docs`` with a struct column ``_lines`` (n_lines, n_dropped, kept)."""
-    lists = duplicates.groupBy("id").agg(F.collect_list(F.struct("h1", "h2")).alias("_drop"))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d"))
-    joined = packed.join(lists, F.col(f"_d.`{key}`").eqNullSafe(F.col("id")), "left")
+    lists = duplicates.groupBy("row").agg(F.collect_set(F.struct("h1", "h2")).alias("_drop"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d"),
+                         row_key(F.col(key), F.col(text)).alias("row"))
+    joined = packed.join(lists, "row", "left")
     return joined.select("_d", without(F.col(f"_d.`{text}`"), F.col("_drop")).alias("_lines"))
 
 

@@ -78,6 +78,13 @@ def test_line_dedup_on_hard_rows(hard, empty):
     assert lines.dedup(empty).count() == 0
 
 
+def test_line_dedup_with_one_id_for_many_rows(make_docs):
+    rows = [(None, f"shared\nother {i % 3}\nown {i}") for i in range(40)] + [(7, "shared\nsame")] * 12 + [(7, "own 1")]
+    got = Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in lines.dedup(make_docs(rows)).select(
+        "_d.doc_id", "_lines.*").collect())
+    assert got == plain_dedup(rows, 10)
+
+
 def test_registered_query_matches_plain_rules(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     want = Counter((i, n, d, hashlib.sha256(t.encode()).hexdigest()) for (i, n, d, t), c in plain_dedup(docs, 10).items() for _ in range(c))
