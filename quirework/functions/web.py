@@ -18,26 +18,22 @@ def _elements(t: Column, tag: str, wanted) -> Column:
     return F.transform(at, lambda i: after_tag(t, i, tag))
 
 
-def page_title(html_col: Column) -> Column:
-    def build(t):
-        heading = F.coalesce(F.get(_elements(t, "h2", lambda x: has_class(x, "title", "heading")), F.lit(0)),
-                             F.array().cast("array<string>"))
-        meta = F.filter(t, lambda x: x.rlike(r"(?i)^<meta[\s/>]") & (attribute(x, "property") == "og:title"))
-        content = F.coalesce(attribute(F.get(meta, F.lit(0)), "content"), F.lit(""))
-        return or_default(tokens_text(heading), or_default(py_strip(content), P.DEFAULT_WORK_TITLE))
-
-    return let(tokens(html_col), build)
-
-
-def page_author(html_col: Column) -> Column:
-    def build(t):
-        bylines = F.flatten(_elements(t, "h3", lambda x: has_class(x, "byline", "heading")))
-        author = lambda x: F.array_contains(F.split(attribute(x, "rel"), r"\s+"), "author")
-        link = let(bylines, lambda b: F.coalesce(
-            F.get(_elements(b, "a", author), F.lit(0)), F.array().cast("array<string>")))
-        return or_default(tokens_text(link), P.UNKNOWN_AUTHOR)
-
-    return let(tokens(html_col), build)
+def page_title(t: Column) -> Column:
+    """Title from a page's tokens, which must be cheap to evaluate repeatedly."""
+    heading = F.coalesce(F.get(_elements(t, "h2", lambda x: has_class(x, "title", "heading")), F.lit(0)),
+                         F.array().cast("array<string>"))
+    meta = F.filter(t, lambda x: x.rlike(r"(?i)^<meta[\s/>]") & (attribute(x, "property") == "og:title"))
+    content = F.coalesce(attribute(F.get(meta, F.lit(0)), "content"), F.lit(""))
+    return or_default(tokens_text(heading), or_default(py_strip(content), P.DEFAULT_WORK_TITLE))
+
+
+def page_author(t: Column) -> Column:
+    """Author from a page's tokens, which must be cheap to evaluate repeatedly."""
+    bylines = F.flatten(_elements(t, "h3", lambda x: has_class(x, "byline", "heading")))
+    author = lambda x: F.array_contains(F.split(attribute(x, "rel"), r"\s+"), "author")
+    link = let(bylines, lambda b: F.coalesce(
+        F.get(_elements(b, "a", author), F.lit(0)), F.array().cast("array<string>")))
+    return or_default(tokens_text(link), P.UNKNOWN_AUTHOR)
 
 
 # --- URLs -------------------------------------------------------------------------

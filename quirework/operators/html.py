@@ -14,10 +14,14 @@ def page_bodies(df: DataFrame, keys, html: str = "html") -> DataFrame:
     return bodies.select(*keys, "body").filter(F.col("body") != "")
 
 
+def heading_of(html: str) -> Column:
+    return reuse(("first_heading", html), lambda: H.first_heading(F.col(html)))
+
+
 def sections_from_html(df: DataFrame, keys, html: str = "html") -> DataFrame:
     """``(keys, heading, html)``: the heading is looked up before anything is dropped."""
     bodies = page_bodies(df, keys, html)
-    return bodies.select(*keys, H.first_heading(F.col("body")).alias("heading"), F.col("body").alias("html"))
+    return bodies.select(*keys, heading_of("body").alias("heading"), F.col("body").alias("html"))
 
 
 def with_tokens(df: DataFrame, html: str = "html", drop_notes: bool = False) -> DataFrame:

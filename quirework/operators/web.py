@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import patterns as P
 from ..functions import web as W
-from ..functions.expr import compute
+from ..functions.expr import compute, reuse
+from ..functions.html import tokens
 from ..functions.naming import safe_download_name
 
 
 def page_metadata(df: DataFrame, keys, html: str = "html") -> DataFrame:
-    named = df.select(
-        *keys, W.page_title(F.col(html)).alias("title"), W.page_author(F.col(html)).alias("author")
+    read = compute(df.select(*keys, html), "_tokens", tokens(F.col(html)))
+    named = read.select(
+        *keys,
+        reuse(("page_title",), lambda: W.page_title(F.col("_tokens"))).alias("title"),
+        reuse(("page_author",), lambda: W.page_author(F.col("_tokens"))).alias("author"),
     )
     return named.withColumn(
         "file_stem", safe_download_name(F.concat("author", F.lit(" - "), "title"))

@@ -58,7 +58,7 @@ def _sections(s, d):
     """Rich pages as one-section books."""
     return X.rich_pages(s, d).select(
         F.col("page_id").alias("book_id"), F.lit(0).alias("section_idx"),
-        H.first_heading(F.col("html")).alias("heading"), "html",
+        OH.heading_of("html").alias("heading"), "html",
     )
 
 

@@ -12,6 +12,7 @@ from ..functions import html as H
 from ..functions import patterns as P
 from ..functions.expr import compute
 from ..functions.text import py_strip
+from ..operators.html import heading_of
 
 ENTRY_SCHEMA = (
     "path string, section_idx int, xhtml string, title string, creator string, error string"
@@ -123,5 +124,5 @@ def epub_sections(entries: DataFrame) -> DataFrame:
     )
     bodies = compute(bodies, "html", H.body_content(F.col("xhtml")))
     return bodies.filter(F.col("html") != "").select(
-        "path", "section_idx", "title", "author", H.first_heading(F.col("html")).alias("heading"), "html"
+        "path", "section_idx", "title", "author", heading_of("html").alias("heading"), "html"
     )
