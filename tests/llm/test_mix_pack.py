@@ -62,6 +62,30 @@ def test_mixed_documents_keep_their_shares(spark, make_docs):
     assert last > 0
 
 
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 1, "c": 1}, {"a": 1, "b": 1, "c": 1, "tiny": 0.001}])
+def test_long_runs_stay_at_the_unrounded_targets(make_docs, weights):
+    rows = [(i, "x" * 10, "en", "abc"[i % 3]) for i in range(9000)] + [(9000, "x" * 10, "en", "tiny")] * ("tiny" in weights)
+    out = mixing.mix(make_docs(rows), weights, block_chars=10).collect()
+    assert {r._d.doc_id for r in out} == {r[0] for r in rows}
+    turn = {r._slot: r._s for r in out}
+    total, given_ = sum(weights.values()), Counter()
+    for t in range(max(turn) + 1):
+        given_[turn.get(t)] += 1  # the block after the last document of a source is empty
+        assert all(abs(given_[s] + given_[None] * (s in given_) - (t + 1) * w / total) < 1.05 + given_[None] for s, w in weights.items())
+    assert given_[None] <= len(weights) * 3
+
+
+def test_tiny_source_is_not_repeated_beyond_its_target():
+    sizes = dict.fromkeys("abc", 10**8) | {"tiny": 200}
+    targets = {s: n**mixing.TEMPER for s, n in sizes.items()}
+    n_blocks = {s: n // 20_000 + 1 for s, n in sizes.items()}
+    total, given_ = sum(targets.values()), Counter()
+    for s, _, t in mixing.run_of(mixing.shares_for(targets, n_blocks), n_blocks):
+        given_[s] += 1
+        assert all(abs(given_[x] - (t + 1) * w / total) < 1.05 for x, w in targets.items())
+    assert given_["tiny"] <= 2 and all(given_[s] >= n for s, n in n_blocks.items())
+
+
 def test_mixing_hard_rows(hard, empty):
     out = mixing.mix(hard).collect()
     firsts = [r for r in out if r._epoch == 0]
