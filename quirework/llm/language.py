@@ -4,8 +4,8 @@ Texts become hashed byte n-grams of their lower-cased letters. Linear support ve
 machines tell the families apart (one against the rest); within a family, one machine for
 each pair of languages votes. The score is the product of both steps' confidences.
 
-The machines are fitted on a bounded sample of labelled rows (``SAMPLE`` documents over all
-languages, drawn by a hash); every text is then read as a whole. A language without an
+The machines are fitted on a bounded sample of labelled texts (``SAMPLE`` documents over all
+languages, drawn by a hash of the text; copies count once); every text is then read as a whole. A language without an
 entry in ``FAMILIES`` is a family of its own.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is
@@ -16,14 +16,15 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import BinaryType, DoubleType, StringType, StructType
 
-from .common import bounded_batches
+from .common import bounded_batches, staged
 
 SAMPLE = 1600
 FOLDS = 5
@@ -147,28 +148,46 @@ def training_rows(text: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def first_copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of the rows with one ``lang`` and ``h``, the first that this task meets."""
+    seen: set[tuple[str, int]] = set()
+    for batch in batches:
+        new = []
+        for pair in zip(batch["lang"], batch["h"], strict=True):
+            new.append(pair not in seen)
+            seen.add(pair)
+        yield batch[new]
+
+
+def draw(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(lang, h): of the different texts of each language those with the smallest hashes, up
+    to its share. Cut within tasks first, so no language's texts go to one task."""
+    texts = staged(rows.select("lang", "h").distinct(), "language-texts")
+    share = max(2, sample // max(1, texts.select("lang").distinct().count()))
+    parts = texts.withColumn("_part", F.spark_partition_id())
+    for by in (["lang", "_part"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("h"))
+        parts = parts.withColumn("_rank", rank).filter(F.col("_rank") <= share)
+    return staged(parts.select("lang", "h"), "language-sample")
+
+
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """Fit on at most ``sample`` rows, as many from each language as there are, up to its share."""
+    """Fit on at most ``sample`` different texts, as many from each language as there are, up
+    to its share."""
     rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not sizes:
+    # at most ``sample`` rows, or two a language
+    drawn = rows.join(F.broadcast(draw(rows, sample)), ["lang", "h"]).select("lang", "h", "text")
+    once = drawn.mapInPandas(first_copies, drawn.schema).dropDuplicates(["lang", "h"])
+    langs, rows = [], once.select("lang", "h", training_rows("text").alias("x")).collect()
+    if not rows:
         return None
-    share = max(2, sample // len(sizes))
-    # a draw by hash of somewhat more than a share (five deviations), which bounds what is collected
-    odds = F.create_map(*[F.lit(v) for s, n in sizes.items() for v in (s, min(1.0, (share + 5 * share**0.5) / n))])
-    drawn = rows.filter(F.pmod("h", F.lit(1 << 30)) < F.element_at(odds, F.col("lang")) * (1 << 30))
-    drawn = drawn.withColumn("x", training_rows("text")).select("lang", "h", "x")
-    by: dict[str, int] = defaultdict(int)
-    langs, rows = [], drawn.collect()
     x = np.empty((2 * len(rows), 1 << BITS), dtype=np.float32)
     for r in sorted(rows, key=lambda r: (r["h"], r["lang"])):
-        if by[r["lang"]] < share:
-            by[r["lang"]] += 1
-            x[len(langs): len(langs) + 2] = np.frombuffer(r["x"], dtype="<f2").reshape(2, -1)
-            langs += [r["lang"]] * 2
+        x[len(langs): len(langs) + 2] = np.frombuffer(r["x"], dtype="<f2").reshape(2, -1)
+        langs += [r["lang"]] * 2
     del rows
-    return Model(x[: len(langs)], langs)
+    return Model(x, langs)
 
 
 def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -54,6 +54,33 @@ def test_sample_is_bounded(make_docs):
     assert model is not None and sorted(model.languages["germanic"]) == ["de", "en"]
 
 
+def test_copies_of_a_text_are_drawn_once(make_docs):
+    """A small language most of whose rows are copies of one text, whatever its hash."""
+    for copied in range(4):
+        rows = [(i, f"der und die das wort{i}", "de") for i in range(20)]
+        rows += [(100 + i, f"der und die kopie{copied}", "de") for i in range(3000)]
+        rows += [(9000 + i, f"the and of this word{i}", "en") for i in range(300)]
+        docs = make_docs(rows)
+        keyed = docs.select("lang", F.xxhash64("text").alias("h"))
+        drawn = language.draw(keyed, 60).collect()
+        for lang, n in (("de", 21), ("en", 30)):
+            every = sorted({r.h for r in keyed.filter(F.col("lang") == lang).distinct().collect()})
+            assert sorted(r.h for r in drawn if r.lang == lang) == every[:n]
+        model = language.train(docs, sample=60)
+        assert model.languages["germanic"] == ["de", "en"]
+        out = language.predict(make_docs(rows[:25] + rows[-25:]), model).collect()
+        assert all((r.lang_pred == "de") == (r.doc_id < 9000) for r in out)
+
+
+def test_a_small_language_of_copies_is_predicted(make_docs):
+    rows = [(i, f"der und die das wort{i}", "de") for i in range(2)] + [(100 + i, "der und die kopie", "de") for i in range(3000)]
+    rows += [(9000 + i, f"the and of this word{i}", "en") for i in range(300)]
+    model = language.train(make_docs(rows), sample=6)
+    assert model.languages["germanic"] == ["de", "en"]
+    out = language.predict(make_docs(rows[:3] + rows[-3:]), model).collect()
+    assert all((r.lang_pred == "de") == (r.doc_id < 9000) for r in out)
+
+
 def page(i, body, host="h.example.org"):
     return (i, f"https://{host}/p/{i}", body)
 
