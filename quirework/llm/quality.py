@@ -11,6 +11,8 @@ and the text are read, so other columns, whatever their names, do not matter.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import SPACE_BYTES, bounded_batches, longs
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-            "n_lines", "n_upper", "n_ascii_letters", "n_shouts")
+            "n_lines", "n_upper", "n_ascii_letters", "n_shouts", "n_other_letters")
 
 #: Rules in bit order. Never reorder: stored ledgers hold these bits.
 RULES = ("few_words", "repeats", "symbols", "dup_lines", "capitals", "shouts", "word_length")
@@ -32,6 +34,7 @@ POLICIES = {
 CURRENT = "v2"
 
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ASCII = re.compile(r"[\x00-\x7f]+")
 
 
 def repeated_words(words: list[bytes], width: int = 3) -> int:
@@ -81,6 +84,7 @@ def measure(text: str | None) -> tuple[int, ...]:
         upper,
         upper + size - len(raw.translate(None, UPPER.lower())),
         raw.count(b"!!"),
+        0 if len(text) == size else sum(map(str.isalpha, ASCII.sub("", text))),
     )
 
 
@@ -96,7 +100,8 @@ def rule_bits(m: Column) -> Column:
         m["n_repeat_words"] * 100 > m["n_words"] * 50,
         m["n_symbols"] * 100 > m["n_words"] * 25,
         m["n_dup_lines"] * 100 > m["n_lines"] * 50,
-        m["n_upper"] * 100 > m["n_ascii_letters"] * 50,
+        # of the letters of all scripts: an acronym in a Cyrillic text is no shouting
+        m["n_upper"] * 100 > (m["n_ascii_letters"] + m["n_other_letters"]) * 50,
         m["n_shouts"] * 100 > m["n_words"] * 25,
         (m["word_chars"] < m["n_words"] * 2) | (m["word_chars"] > m["n_words"] * 20),
     )

@@ -54,6 +54,16 @@ def test_policies_and_ablations_come_from_the_bits(spark, make_docs):
         assert r.n_rejected == sum(b & whole != 0 for b in bits.values())
 
 
+def test_capitals_are_a_share_of_the_letters_of_all_scripts(make_docs):
+    words = {"ru": "слово", "ar": "كلمة", "hi": "शब्द", "el": "λέξη", "zh": "文字"}
+    rows = [(i, " ".join(f"{w}{n}" for n in range(80)) + " NATO EU", lang) for i, (lang, w) in enumerate(words.items())]
+    rows += [(10, "СЛОВО " + " ".join(f"SHOUT{n}" for n in range(80)), "en"), (11, " ".join(f"ÉCOUTE{n}" for n in range(80)), "fr")]
+    docs = make_docs(rows)
+    bit = quality.mask(("capitals",))
+    assert {r.doc_id for r in quality.ledger(docs).collect() if r.failures & bit} == {10, 11}
+    assert {r.doc_id for r in quality.keep_good(docs).collect()} == set(range(len(words)))
+
+
 def test_keep_good_keeps_columns(hard):
     assert quality.keep_good(hard).columns == hard.columns
 
