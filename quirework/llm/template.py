@@ -11,7 +11,9 @@ class is part of the template and goes; what fills the remaining slots is kept.
 
 Which slots hold the article: those inside an ``article`` or ``main`` element, if there is
 one, else all that are not marked as something else by their element, class, id or role
-(menus, adverts, comments and so on) and do not consist of links. Inside an article a text
+(menus, adverts, comments and so on) and do not consist of links. Any word of a wrapper's
+names can mark it, but an article in it is read unless the page has another that is not so
+marked; inside an article only names that say nothing else count (``names_part``). Inside an article a text
 must be on every page of the host to count as template, elsewhere on half of them, so
 passages that many articles quote stay. If nothing is left of a page, its host's template
 does not apply to it.
@@ -55,6 +57,14 @@ MARKS = set("""nav navbar navigation menu menubar breadcrumb breadcrumbs header
     cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe signup login
     comment comments commentlist discussion replies reply respond disqus related recommended share sharing social
     toolbar pagination pager search skip complementary contentinfo dialog alert banners""".split())
+#: What stands beside a mark in the name of a part of an article ("ad-slot", "post-comments").
+BESIDE = set("""area article bar block body bottom box button buttons card center col column container div dfp entry form
+    google gpt group icon icons in inline inner item items js left link links list page panel post posts right section
+    site slot top unit wp wrap wrapper""".split())
+#: Ids of one word that are no slug of a heading.
+IDS = set("""ad ads advert adverts advertisement breadcrumb breadcrumbs comment comments commentlist disqus nav navbar
+    newsletter pagination respond sidebar sidenav toolbar topbar""".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
              "th": {"td", "th"}, "option": {"option"}}
 #: A start of these ends what ``CLOSED_BY`` says, but not across the list or table around it.
@@ -69,9 +79,23 @@ WORDS = re.compile(r"[a-z]+")
 AROUND = re.compile(r"(?:has|with|without|no|is)[-_]")
 
 ROOT = 0
+#: Why an element is dropped: by its names or those of one around it, or by what it is.
+MARKED, ELEMENT = 1, 2
 
 
-def attributes(rest: str, article: bool) -> tuple[str, bool]:
+def names_part(name: str, part: str, tag: str) -> bool:
+    """Does a name inside an article mark what is not article? All its words are marks or
+    stand beside them. Ids are also slugs of headings, so those on headings say nothing."""
+    words = [w for w in WORDS.findall(part) if w != "header"]
+    marks = [w for w in words if w in MARKS]
+    if not marks or any(w not in MARKS and w not in BESIDE for w in words):
+        return False
+    if name != "id":
+        return True
+    return tag not in HEADINGS and (len(words) > len(marks) or (len(words) == 1 and words[0] in IDS))
+
+
+def attributes(rest: str, article: bool, tag: str = "") -> tuple[str, bool]:
     """(label, marked) from what stands in a tag after its name. Inside an article a header
     is the article's own."""
     label, marked = "", False
@@ -82,8 +106,8 @@ def attributes(rest: str, article: bool) -> tuple[str, bool]:
             continue
         words = WORDS.findall(value)
         marked |= any(
-            w in MARKS and not (article and w == "header")
-            for part in value.split() if not AROUND.match(part) for w in WORDS.findall(part))
+            names_part(name, part, tag) if article else any(w in MARKS for w in WORDS.findall(part))
+            for part in value.split() if not AROUND.match(part))
         if name != "role":
             label += f".{' '.join(sorted(words))}"
     return label, marked
@@ -99,13 +123,14 @@ def text_token(path: int, text: str) -> int:
 
 class Page:
     """One pass over a page's tags: ``elements`` counts (token, parent token); ``blocks`` are
-    (path token, text, in article, link characters) in page order."""
+    (path token, text, in article, link characters) in page order. ``in article`` is 2 inside
+    one, 1 if a wrapper around it is marked, else 0."""
 
     def __init__(self, source: str):
         self.elements: Counter = Counter()
-        self.blocks: list[tuple[int, str, bool, int]] = []
-        # open elements: tag, path token, dropped, in article, in link
-        self.stack: list[tuple[str, int, bool, bool, bool]] = [("", ROOT, False, False, False)]
+        self.blocks: list[tuple[int, str, int, int]] = []
+        # open elements: tag, path token, why dropped, in article, in link
+        self.stack: list[tuple[str, int, int, int, bool]] = [("", ROOT, 0, 0, False)]
         self.parts: list[str] = []
         self.links, self.where = 0, self.stack[0]
         at = 0
@@ -156,15 +181,21 @@ class Page:
         if tag in VOID:
             return
         _, above, dropped, article, link = self.stack[-1]
-        label, marked = attributes(rest, article) if rest else ("", False)
+        label, marked = attributes(rest, bool(article) or tag == "article", tag) if rest else ("", False)
         path = path_token(above, tag + label)
         self.elements[path, above] += 1
-        if tag in ("html", "body"):
+        if tag in ("html", "body", "main"):
             marked = False
-        inside = article or tag in ("article", "main")
-        if tag == "main":
-            dropped = False  # whatever its wrapper is called
-        dropped |= tag in DROPPED or marked or (tag == "header" and not article)
+        inside = article
+        if tag in ("article", "main") and not article:
+            inside = 1 if tag == "article" and dropped == MARKED else 2
+        if tag == "main" or inside != article:
+            # whatever wrappers are called; an element like a footer keeps its articles
+            dropped = 0 if tag == "main" or dropped == MARKED else dropped
+        if tag in DROPPED or (tag == "header" and not article):
+            dropped = ELEMENT
+        elif marked:
+            dropped = dropped or MARKED
         self.stack.append((tag, path, dropped, inside, link or tag == "a"))
 
     def close(self, tags: set[str], stop: set[str]) -> None:
@@ -197,12 +228,12 @@ class Page:
 
 def main_text(page: Page, everywhere: set[int], often: set[int]) -> str:
     """What is left in the slots of the template."""
-    article = any(inside for _, _, inside, _ in page.blocks)
+    article = max((inside for _, _, inside, _ in page.blocks), default=0)
 
     def kept(common: bool) -> list[str]:
         out = []
         for path, text, inside, links in page.blocks:
-            if article and not inside:
+            if inside < article:
                 continue
             if not inside and links > LINKS * len(text):
                 continue

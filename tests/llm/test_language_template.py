@@ -129,6 +129,21 @@ def test_wrappers_and_headers_of_the_article(spark):
     assert extract(spark, [page(1, body), page(2, wrapped)]) == {1: "Title\nText", 2: "Kept"}
 
 
+def test_marks_of_wrappers_and_slugs_in_articles(spark):
+    wrapped = '<div class="content-sidebar-wrap"><article><h1>T</h1><p>Kept</p></article><aside>Gone</aside></div>'
+    slugs = """<article><section id="discussion"><h2 id="search-and-share">A</h2><p>B</p></section><h2 id="ad-hoc-networks">C</h2>
+    <h3 id="comments">D</h3><section id="related-work"><p class="notice-period">E</p></section><div class="ad-slot">Buy</div>
+    <div id="comments">First</div><div id="post-comments">Second</div><div class="x share">Gone</div></article>"""
+    cards = """<article><p>Main</p></article><div class="related-posts"><article><p>Card</p></article></div>
+    <footer><article><p>Foot</p></article></footer>"""
+    own = '<div class="sidebar-wrap"><article class="sponsored"><p>Gone</p></article><article><div class="ads">Buy</div>Kept</article></div>'
+    outer = '<main><div class="content-sidebar-wrap"><article><p>Kept</p></article></div></main>'
+    classes = '<article class="post comments-open category-banner"><p>Kept</p></article>'
+    named = '<main class="sidebar-layout"><p>Kept</p></main>'
+    assert extract(spark, [page(i, x) for i, x in enumerate((wrapped, slugs, cards, own, outer, classes, named))]) == {
+        0: "T\nKept", 1: "A\nB\nC\nD\nE", 2: "Main", 3: "Kept", 4: "Kept", 5: "Kept", 6: "Kept"}
+
+
 def test_hard_pages(spark):
     rows = [(1, None, None), (2, "https://a.b/", None), (2, "https://a.b/", ""), (3, None, "<p>x</p>"), (None, "not a url", "y < z & t"),
             (4, "http://u@h:8/", "<p>" * 3000 + "deep"), (5, "http://q/", "<a" * 5000), (6, "http://q/", "<script>never closed <p>x"),
