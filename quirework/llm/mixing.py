@@ -38,6 +38,8 @@ BLOCK_CHARS = 20_000
 PERIOD = 1000
 #: Documents of one slice when positions within a source are counted.
 SLICE = 2_000
+#: Sources at most: their totals and weights are held by the driver and the scheduling task.
+MAX_SOURCES = 100_000
 #: Without given weights: shares in proportion to characters to this power.
 TEMPER = 0.7
 
@@ -128,10 +130,13 @@ def mix(docs: DataFrame, weights: Mapping | None = None, source: str = "source",
     """(``_d``, ``_s``, ``_block``, ``_epoch``, ``_slot``): documents at their slots.
 
     ``weights`` has the target of every source (any scale, above 0); without it, the characters
-    of a source to the power ``temper``. A source that ``weights`` doesn't name is an error.
+    of a source to the power ``temper``. A source that ``weights`` doesn't name is an error, and
+    so are more than ``MAX_SOURCES`` sources.
     """
     placed, starts, totals = blocks_of(docs, source, key, text, block_chars)
-    sizes = {r["_g"]["s"]: r["_chars"] for r in totals.collect()}
+    sizes = {r["_g"]["s"]: r["_chars"] for r in totals.limit(MAX_SOURCES + 1).collect()}
+    if len(sizes) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources; group them first")
     if weights is not None and (unknown := set(sizes) - set(weights)):
         raise ValueError(f"no target weight for {sorted(map(str, unknown))[:5]}")
     targets = {s: max(1.0, float(n)) ** temper if weights is None else weights[s] for s, n in sizes.items()}

@@ -86,6 +86,15 @@ def test_tiny_source_is_not_repeated_beyond_its_target():
     assert given_["tiny"] <= 2 and all(given_[s] >= n for s, n in n_blocks.items())
 
 
+def test_more_sources_than_the_driver_may_hold_are_an_error(make_docs, monkeypatch):
+    docs = make_docs([(i, "text", "en", f"s{i}") for i in range(4)])
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 4)
+    assert mixing.mix(docs).count() >= 4
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
+    with pytest.raises(ValueError, match="more than 3 sources"):
+        mixing.mix(docs)
+
+
 def test_mixing_hard_rows(hard, empty):
     out = mixing.mix(hard).collect()
     firsts = [r for r in out if r._epoch == 0]
