@@ -32,6 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType
 
+from quirework.operators.skew import salted_join
+
 from .common import bounded_batches, meetings, staged, whole_groups
 from .forest import Forest
 from .graph import components
@@ -156,7 +158,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     bounded_batches(docs)
     marked = staged(docs.select(F.col(key).alias("id"), fingerprints(F.col(text)).alias("fp")), "simhash")
     comp = fingerprint_components(marked).select("fp", "component_id")
-    return marked.join(comp, "fp").select("id", "fp", "component_id")
+    return salted_join(marked, comp, ["fp"], ["id"]).select("id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

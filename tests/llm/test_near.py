@@ -167,3 +167,11 @@ def test_hidden_hot_group_is_split(spark):
     assert met.groupBy("key", "low", "high").count().agg(F.max("count")).first()[0] < 150
     pairs = met.alias("a").join(met.alias("b"), ["key", "low", "high"]).filter("a.v < b.v").select("a.v", "b.v").distinct()
     assert pairs.count() == 300 * 299 // 2
+
+
+def test_rows_of_one_fingerprint_go_to_many_tasks(make_docs):
+    docs = make_docs([(i, "the same text in every row of this table") for i in range(300)])
+    found = simhash.near_duplicates(docs)
+    assert "_salt" in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = found.collect()
+    assert sorted(r.id for r in rows) == list(range(300)) and {r.component_id for r in rows} == {0}
