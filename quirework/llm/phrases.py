@@ -16,7 +16,8 @@ nothing is looked up in a hash table. A stream is cut into ranges of keys; a phr
 extensions reach into further ranges is copied to these, so walks need nothing from each other.
 
 **Scores.** A phrase of count a cut into parts of counts l and r scores
-floor(1000 * a * n / (l * r)), in decimals of 38 digits; its lowest cut counts. A phrase inside
+floor(1000 * a * n / (l * r)), in decimals of 38 digits (more would be an error; that takes
+10^17 words of one language); its lowest cut counts. A phrase inside
 a longer one of the same count is dropped: counts can't grow with a phrase, so it is enough to
 look at extensions by one word.
 

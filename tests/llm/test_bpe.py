@@ -66,7 +66,7 @@ def test_a_join_reads_little_of_a_long_word(monkeypatch):
 
 def test_both_splitters_agree_on_every_plain_character():
     characters = [c for c in map(chr, range(0x20C0)) if not PLAIN.search(c)]
-    assert len(characters) > 700
+    assert len(characters) > 690
     for c in characters:
         for text in (f"a{c}b", f" {c} x", f"{c}{c}7", f"'{c}s  {c}", f"1{c} {c}\n"):
             assert CODER.find(text) == [text[a:b] for _, (a, b) in LIBRARY.pre_tokenizer.pre_tokenize_str(text)]

