@@ -95,6 +95,7 @@ def counted(source: DataFrame, phrases) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, c in found.items():
+                c.pop(BREAK, None)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.binary()).cast(pa.string()),
                      pa.array(c.values(), pa.int64())], names=["lang", "phrase", "f"])
@@ -123,16 +124,21 @@ def longer(h: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 class Codes(dict):
-    """Hash of each word of a language; 0 for a break and for words that are not in the table."""
+    """Hash of each word of a language, below 2 ** 63; 0 for a break and for words that are not
+    in the table. Only words of the table are remembered: the others are mostly met once."""
 
     def __init__(self, lang: str, table: np.ndarray | None = None):
         super().__init__({BREAK: 0})
-        self.seed, self.table = xxhash.xxh32_intdigest(lang.encode()), table
+        self.seed = xxhash.xxh32_intdigest(lang.encode())
+        self.bits = None if table is None else table.astype("<u8").tobytes()
+        self.mask = 0 if table is None else len(table) * 64 - 1
 
     def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word, self.seed) or 1
-        if self.table is not None and not held(self.table, np.array([h], dtype=np.uint64))[0]:
-            h = 0
+        h = xxhash.xxh3_64_intdigest(word, self.seed) >> 1 or 1
+        if self.bits is not None:
+            bit = h & self.mask
+            if not self.bits[bit >> 3] >> (bit & 7) & 1:
+                return 0
         if len(self) < HELD:
             self[word] = h
         return h
@@ -171,7 +177,7 @@ def bit_table(frequent: DataFrame, words: int) -> np.ndarray:
 
 
 def unigrams():
-    return lambda lang, words: [w for w in words if w != BREAK]
+    return lambda lang, words: words
 
 
 def of_length(m: int, known: np.ndarray, shorter: np.ndarray | None):
@@ -183,7 +189,7 @@ def of_length(m: int, known: np.ndarray, shorter: np.ndarray | None):
         def find(lang: str, words: list[bytes]) -> list[bytes]:
             if lang not in codes:
                 codes[lang] = Codes(lang, known)
-            code = np.fromiter(map(codes[lang].__getitem__, words), dtype=np.uint64, count=len(words))
+            code = np.fromiter(map(codes[lang].__getitem__, words), dtype=np.int64, count=len(words)).view(np.uint64)
             n = len(words) - m + 1
             if n <= 0:
                 return []
