@@ -76,13 +76,13 @@ def reuse(key: tuple, build: Callable[[], Column]) -> Column:
 FOLD_BLOCK = 1024
 
 
-def fold_flags(size: Column, zero: dict[str, Column],
-               step: Callable[[Column, Column], tuple[dict[str, Column], Column]]) -> Column:
-    """Walk over positions ``0 .. size-1`` with a small state; collect a flag for each.
+def fold_text(size: Column, zero: dict[str, Column],
+              step: Callable[[dict[str, Column], Column], tuple[dict[str, Column], Column]]) -> Column:
+    """Walk over positions ``0 .. size-1`` with a small state; add a piece of text for each.
 
-    ``step(state, i)`` returns the next state and a one-letter flag; the result is the
-    array of flags. A fold copies its accumulator at every step, so the flags are kept as
-    text and built block by block: the cost stays close to linear in the array's length.
+    ``step(state, i)`` returns the next state and a piece. A fold copies its accumulator at
+    every step, so the text is built block by block: the cost stays close to linear in the
+    array's length.
     """
     names = list(zero)
 
@@ -104,8 +104,13 @@ def fold_flags(size: Column, zero: dict[str, Column],
     firsts = F.when(size > 0, F.sequence(F.lit(0), size - 1, F.lit(FOLD_BLOCK))).otherwise(
         F.array().cast("array<int>")
     )
-    flags = F.aggregate(firsts, pack(zero, F.lit("")), block, lambda acc: acc["flags"])
-    return F.regexp_extract_all(flags, F.lit("."), F.lit(0))
+    return F.aggregate(firsts, pack(zero, F.lit("")), block, lambda acc: acc["flags"])
+
+
+def fold_flags(size: Column, zero: dict[str, Column],
+               step: Callable[[Column, Column], tuple[dict[str, Column], Column]]) -> Column:
+    """``fold_text`` with one letter for each position: an array of the letters."""
+    return F.regexp_extract_all(fold_text(size, zero, step), F.lit("."), F.lit(0))
 
 
 def compute(df: DataFrame, name: str, expr: Column) -> DataFrame:

@@ -17,7 +17,7 @@ from ..functions import patterns as P
 from ..functions.expr import compute, explode_rows, reuse
 from ..functions.text import is_scene_break, py_strip
 from .html import items_of_tokens, with_tokens
-from .skew import salted_join
+from .skew import salted_join, spread_ranks
 
 # --- metadata and names -----------------------------------------------------------
 
@@ -59,6 +59,17 @@ def slug_collisions(slugs: DataFrame, keys) -> DataFrame:
     return joined.withColumn("n_books", F.coalesce("n_books", F.lit(1).cast("bigint")))
 
 
+def unique_slugs(slugs: DataFrame, keys, mark: str = "~") -> DataFrame:
+    """A slug of its own for each book: books that share a slug are numbered, and all but the
+    first have ``mark`` and their number behind it. No slug holds ``mark``, so a numbered slug
+    is never that of another book. The numbers follow a digest of ``keys`` alone, so they don't
+    depend on the partitions or on books with other slugs; a slug may be very frequent.
+    """
+    ranked = spread_ranks(slugs, ["slug"], list(keys), "_rank")
+    number = F.when(F.col("_rank") > 1, F.concat(F.lit(mark), F.col("_rank").cast("string"))).otherwise("")
+    return ranked.select(*keys, "slug", F.concat("slug", number).alias("unique_slug"))
+
+
 def output_names(df: DataFrame, keys, slug="slug", sheets="sheets", pages="pages",
                  direction="direction", title="title") -> DataFrame:
     s = F.col(slug)

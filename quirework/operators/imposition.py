@@ -45,7 +45,7 @@ def signature_spec(requests: DataFrame) -> DataFrame:
 
 def signature_padding(specs: DataFrame) -> DataFrame:
     """Adds padded size, blanks and signatures to specs with ``total_pages``; may reject."""
-    total, per = F.col("total_pages"), F.col("pages")
+    total, per = F.col("total_pages").cast("bigint"), F.col("pages").cast("bigint")
     padded = F.floor((total + per - 1) / per) * per
     error = (
         F.when(F.col("error").isNotNull(), F.col("error"))

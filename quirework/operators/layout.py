@@ -104,25 +104,25 @@ def section_pages(text_lengths: Column) -> Column:
 CAPACITY = ("chars_per_line", "lines_per_page", "gap_hundredths")
 
 
-def wanted_capacities(wanted: DataFrame, layouts: DataFrame) -> DataFrame:
+def wanted_capacities(wanted: DataFrame, layouts: DataFrame, columns=CAPACITY) -> DataFrame:
     """``(book_id, layout_id)`` pairs with the capacity of each accepted layout."""
-    own = layouts.filter(F.col("status") == "ok").select("layout_id", *CAPACITY)
+    own = layouts.filter(F.col("status") == "ok").select("layout_id", *columns)
     return wanted.select("book_id", "layout_id").join(own, "layout_id")
 
 
-def with_capacities(sections: DataFrame, pairs: DataFrame) -> DataFrame:
+def with_capacities(sections: DataFrame, pairs: DataFrame, columns=CAPACITY) -> DataFrame:
     """Every section once per different capacity that its book is wanted in.
 
     Layouts of one capacity give the same pages, so the work follows the capacities, not the
     layouts. The lists are joined by book, with the sections of a large book spread."""
-    lists = pairs.groupBy("book_id").agg(F.collect_set(F.struct(*CAPACITY)).alias("_caps"))
+    lists = pairs.groupBy("book_id").agg(F.collect_set(F.struct(*columns)).alias("_caps"))
     joined = salted_join(sections, lists, ["book_id"], ["section_idx"])
     return joined.withColumn("_cap", F.explode("_caps")).select(*sections.columns, "_cap.*")
 
 
-def by_layout(pages: DataFrame, pairs: DataFrame) -> DataFrame:
+def by_layout(pages: DataFrame, pairs: DataFrame, columns=CAPACITY) -> DataFrame:
     """Rows per book and capacity -> rows per book and wanted layout."""
-    return pages.join(pairs, ["book_id", *CAPACITY]).drop(*CAPACITY)
+    return pages.join(pairs, ["book_id", *columns]).drop(*columns)
 
 
 def page_estimate(sections: DataFrame, wanted: DataFrame, layouts: DataFrame) -> DataFrame:

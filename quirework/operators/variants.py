@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import settings as S
 from ..functions import html as H
 from ..functions import merge as M
 from ..functions import naming as N
+from ..functions import patterns as P
 from ..functions.expr import compute, let
 from ..functions.text import py_rstrip, py_strip
 from . import books as B
@@ -35,6 +36,14 @@ def variant_paths(df: DataFrame, slug: str = "slug") -> DataFrame:
     )
 
 
+def texts_digest(number: Column, text: Column) -> Column:
+    """Aggregate: a digest of numbered texts, as a string. It is a sum of SHA-256 prefixes (60
+    bits) of ``number:text``, so it depends on every text and its place, and tasks add it up
+    without gathering the texts of a book."""
+    prefix = F.substring(F.sha2(F.concat(number.cast("string"), F.lit(":"), text), 256), 1, 15)
+    return F.sum(F.conv(prefix, 16, 10).cast("decimal(20,0)")).cast("string")
+
+
 def run_status(jobs: DataFrame, books: DataFrame, variants: DataFrame, layouts: DataFrame) -> DataFrame:
     """Jobs ``(book_id, variant, layout_id)`` -> ``ok`` or ``failed`` with the reason.
 
@@ -133,31 +142,33 @@ def trim_preview(c, limit: int = S.PREVIEW_CHARS):
     )
 
 
-def raw_text(tokens):
-    """The text of a section before cleaning: leaves and scene marks as they stand."""
+def raw_blocks(tokens):
+    """Leaves and scene marks of a section as they stand, in order."""
     return let(
         tokens,
-        lambda t: F.array_join(
-            F.transform(
-                F.array_sort(
-                    F.concat(
-                        F.transform(
-                            H.leaf_blocks(t),
-                            lambda b: F.struct(b["pos"].alias("pos"), H.block_text(t, b).alias("text")),
-                        ),
-                        F.transform(
-                            H.rule_positions(t),
-                            lambda i: F.struct(i.alias("pos"), F.lit("***").alias("text")),
-                        ),
-                    )
-                ),
-                lambda x: x["text"],
+        lambda t: F.transform(
+            F.array_sort(
+                F.concat(
+                    F.transform(
+                        H.leaf_blocks(t),
+                        lambda b: F.struct(b["pos"].alias("pos"), H.block_text(t, b).alias("text")),
+                    ),
+                    F.transform(
+                        H.rule_positions(t),
+                        lambda i: F.struct(i.alias("pos"), F.lit("***").alias("text")),
+                    ),
+                )
             ),
-            "\n\n",
+            lambda x: x["text"],
         ),
     )
 
 
+def raw_text(tokens):
+    """The text of a section before cleaning."""
+    return F.array_join(raw_blocks(tokens), "\n\n")
+
+
 def before_after(sections: DataFrame, keys, merge: bool = False) -> DataFrame:
     """Section text before and after the standard cleanup."""
     both = with_tokens(sections).select(
@@ -204,6 +215,82 @@ def changed_sections(sections: DataFrame, groups: DataFrame, drop_notes: bool =
         F.count(F.lit(1)).alias("n_sections"), F.sum(F.col("changed").cast("int")).alias("n_changed"))
 
 
+CHANGE_SCHEMA = ("book_id {book}, section_idx {section}, names array<struct<profile:string,variant:string>>, "
+                 "change string, before_first int, before_last int, after_idx int")
+#: Bytes of paragraphs that go to a Python worker at once, about, and changes that come back.
+CHANGE_BYTES, CHANGE_ROWS = 4 << 20, 50_000
+
+
+def raw_paragraphs(tokens):
+    """Leaves and scene marks of a section as they stand, white space squeezed, without empty ones."""
+    squeezed = F.transform(raw_blocks(tokens), squeeze)
+    return F.filter(squeezed, lambda x: x != "")
+
+
+def squeeze(c):
+    return py_strip(F.regexp_replace(c, f"[{P.SPACE}]+", " "))
+
+
+def paragraph_changes(sections: DataFrame, groups: DataFrame, drop_notes: bool = False) -> DataFrame:
+    """``(book_id, section_idx, profile, variant, change, before_first, before_last, after_idx)``:
+    the shortest edit script from the paragraphs of a section as they stand to those that a
+    variant makes of them. White space within a paragraph is no change.
+
+    A paragraph is kept, removed, inserted, or joined from two or more (``before_first`` to
+    ``before_last``); every paragraph of both sides is in one row. Variants with equal switches
+    are compared once. The comparison needs a table of lengths, so it runs on Arrow batches
+    in Python, a section at a time; sections that agree are told apart at once.
+    """
+    conf, key = sections.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key).removesuffix("b")) > CHANGE_BYTES:
+        conf.set(key, str(CHANGE_BYTES))
+    kinds = dict(sections.dtypes)
+    schema = CHANGE_SCHEMA.format(book=kinds["book_id"], section=kinds["section_idx"])
+    tokens = with_tokens(sections.select("book_id", "section_idx", "html"), "html", drop_notes)
+    before = compute(tokens, "before", raw_paragraphs(F.col("tokens")))
+    items = compute(before, "items", items_of_tokens()).drop("tokens", "html")
+
+    def compared(df):
+        after = compute(df, "after", F.filter(F.transform("items", lambda x: squeeze(x["text"])), lambda x: x != ""))
+        return after.select("book_id", "section_idx", "names", "before", "after").mapInArrow(_changes(), schema)
+
+    return B.fan_out(items, groups, compared).select(
+        "book_id", "section_idx", "profile", "variant", "change", "before_first", "before_last", "after_idx")
+
+
+def _changes():
+    def run(batches):
+        import pyarrow as pa
+
+        from quirework.functions.edits import script
+
+        def packed(batch, rows):
+            at, found = zip(*rows, strict=True) if rows else ((), ())
+            change, first, last, after = zip(*found, strict=True) if found else ((),) * 4
+            keys = batch.take(pa.array(at, pa.int32())).select(["book_id", "section_idx", "names"])
+            columns = [pa.array(change, pa.string()), *[pa.array(c, pa.int32()) for c in (first, last, after)]]
+            return pa.RecordBatch.from_arrays(
+                [*keys.columns, *columns],
+                names=["book_id", "section_idx", "names", "change", "before_first", "before_last", "after_idx"])
+
+        for batch in batches:
+            rows = []
+            for at, (before, after) in enumerate(zip(batch.column("before"), batch.column("after"), strict=True)):
+                rows += [(at, change) for change in script(before.as_py(), after.as_py())]
+                if len(rows) > CHANGE_ROWS:
+                    yield packed(batch, rows)
+                    rows = []
+            yield packed(batch, rows)
+
+    return run
+
+
+def change_counts(changes: DataFrame) -> DataFrame:
+    """Paragraphs kept, joined, removed and inserted per section and variant."""
+    counts = [F.count(F.when(F.col("change") == c, 1)).alias(c) for c in ("kept", "joined", "removed", "inserted")]
+    return changes.groupBy("book_id", "section_idx", "profile", "variant").agg(*counts)
+
+
 # --- report -----------------------------------------------------------------------
 
 

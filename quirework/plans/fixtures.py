@@ -234,15 +234,16 @@ def overrides(spark, folder) -> DataFrame:
 
 
 def signature_requests(spark, folder) -> DataFrame:
-    """A signature request and a page count per document, good and bad ones."""
+    """A signature request and a page count per document, good and bad ones, and some with the
+    largest signature there is."""
     k = F.col("doc_id") % 8
     return documents(spark, folder).select(
         "doc_id",
-        F.floor(F.col("n_chars") / 200).alias("total_pages"),
-        F.when(F.col("doc_id") % 40 == 9, 600_000_000).when(F.col("doc_id") % 40 == 17, 0).when(F.col("doc_id") % 40 == 25, -3)
+        F.floor(F.col("n_chars") / 200).cast("int").alias("total_pages"),
+        F.when(F.col("doc_id") % 40 == 9, 600_000_000).when(F.col("doc_id") % 40 == 0, 536_870_911).when(F.col("doc_id") % 40 == 17, 0).when(F.col("doc_id") % 40 == 25, -3)
         .when(k == 1, 4).when(k == 4, 5).when(k == 5, 2).cast("int").alias("sheets"),
         F.when(k == 1, 20).when(k == 2, 24).when(k == 3, 10).when(k == 7, 8).cast("int").alias("pages"),
-        F.when(k == 4, -(F.col("doc_id") % 3)).when(k == 5, 3).when(k == 7, 4).cast("int").alias("max_end_padding"),
+        F.when(F.col("doc_id") % 40 == 0, 12).when(k == 4, -(F.col("doc_id") % 3)).when(k == 5, 3).when(k == 7, 4).cast("int").alias("max_end_padding"),
         F.when(k == 2, "rtl").when(k == 5, " RTL ").when(k == 6, "up").alias("direction"),
     )
 

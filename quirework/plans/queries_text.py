@@ -76,7 +76,7 @@ def clean_text_query(spark, sf) -> DataFrame:
 
 def clean_text_strict(spark, sf) -> DataFrame:
     """The second dialect: strict joins, no-break spaces kept; with and without soft wraps.
-    Every third text begins with a paragraph that holds no-break spaces and no line end."""
+    Every third text is one paragraph with no-break spaces: its line ends are commas."""
     c = _nbsp_mixed(spark, sf)
     return c.select(
         "doc_id", *[T.clean_text(F.col("text"), soft, strict=True, nbsp=False).alias(name)
@@ -85,10 +85,10 @@ def clean_text_strict(spark, sf) -> DataFrame:
 
 def _nbsp_mixed(spark, sf) -> DataFrame:
     kept = F.replace("text", F.lit(", "), F.lit(",\u00a0 "))
-    short = F.substring_index(kept, "\n", 1)
+    joined = F.replace(kept, F.lit("\n"), F.lit(", "))
     mixed = X.mixed(spark, sf).withColumnRenamed("text", "mixed")
     return X.documents(spark, sf).join(mixed, "doc_id").select(
-        "doc_id", F.when(F.col("doc_id") % 3 == 0, short).when(F.col("doc_id") % 3 == 1, kept)
+        "doc_id", F.when(F.col("doc_id") % 3 == 0, joined).when(F.col("doc_id") % 3 == 1, kept)
         .otherwise(F.replace("mixed", F.lit(" "), F.lit(" \u00a0"))).alias("text"))
 
 
@@ -188,7 +188,7 @@ SELECT doc_id, {O.strip("regexp_replace(text, '\\n{3,}', chr(10)||chr(10), 'g')"
 x AS (SELECT * FROM src, settings),{O.clean_chain('a', 'x', 'doc_id, setting, soft, dia, coll, keep', 'text', 'soft', 'dia', 'coll', 'keep')}
 SELECT doc_id, setting, cleaned AS text FROM aclean""",
         "clean_text_strict": f"""WITH {MIXED.replace("src AS (", "mx AS (")},
-src AS (SELECT d.doc_id, CASE d.doc_id % 3 WHEN 0 THEN string_split(replace(d.text, ', ', ',' || chr(160) || ' '), chr(10))[1]
+src AS (SELECT d.doc_id, CASE d.doc_id % 3 WHEN 0 THEN replace(replace(d.text, ', ', ',' || chr(160) || ' '), chr(10), ', ')
   WHEN 1 THEN replace(d.text, ', ', ',' || chr(160) || ' ') ELSE replace(mx.text, ' ', ' ' || chr(160)) END AS text
   FROM documents d JOIN mx ON mx.doc_id = d.doc_id),
 {O.clean_chain('w', 'src', k, strict=True, nbsp=False)}, {O.clean_chain('p', 'src', k, soft='false', strict=True, nbsp=False)}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_books, queries_html, queries_layout, queries_text
+from . import queries_books, queries_html, queries_layout, queries_pages, queries_text
 
-MODULES = (queries_text, queries_html, queries_books, queries_layout)
+MODULES = (queries_text, queries_html, queries_books, queries_layout, queries_pages)
 
 
 def queries() -> dict:

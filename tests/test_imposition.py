@@ -37,6 +37,15 @@ def test_padding(spark):
         (None, None, None, "no_pages"), (32, 15, 2, None), (None, None, None, "too_much_padding"), (16, 0, 1, None)]
 
 
+def test_the_largest_signature_with_int_columns(spark):
+    top = I.MAX_SHEETS
+    df = spark.createDataFrame([(0, 100, top, None, None, None), (1, 2**31 - 1, top, None, None, None)],
+                               REQ.replace("total_pages bigint", "total_pages int"))
+    got = I.signature_padding(I.signature_spec(df)).orderBy("job").collect()
+    assert [(r.padded_pages, r.blank_pages, r.signatures, r.error) for r in got] == [
+        (top * 4, top * 4 - 100, 1, None), (top * 8, top * 8 - (2**31 - 1), 2, None)]
+
+
 def test_sixteen_page_pairs(spark):
     sizes = spark.createDataFrame([(1, 16), (2, 10), (3, 0), (4, -4), (5, None)], "job int, pages int")
     rows = I.sheet_pairs(sizes, ["job"]).collect()
