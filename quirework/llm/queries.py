@@ -123,7 +123,7 @@ m AS (SELECT doc_id, len(w) AS n_words,
              length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
              n_dup_lines, n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
              length(regexp_replace(t, '[^A-Z]', '', 'g')) AS up,
-             length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS letters,
+             length(regexp_replace(t, '[^\pL]', '', 'g')) AS letters,
              (length(t) - length(replace(t, '!!', ''))) // 2 AS shouts
       FROM docs JOIN dup USING (r) LEFT JOIN rep USING (r)),
 f AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END)
