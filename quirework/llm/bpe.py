@@ -42,7 +42,9 @@ from .packing import PLAIN
 #: Characters of a leaf, and nodes that one task joins.
 LEAF, FAN = 16_384, 64
 #: Words whose ids a worker remembers, and characters of such a word.
-REMEMBERED, REMEMBERED_CHARS = 500_000, 64
+REMEMBERED, REMEMBERED_CHARS = 300_000, 64
+#: Bytes of texts or ids that go to a Python worker at once, about.
+BATCH_BYTES = 4 << 20
 #: Ids on either side of a cut that are encoded again at first.
 REACH = 8
 
@@ -84,9 +86,7 @@ class Coder:
 
         self.file = Tokenizer.from_file(path)
         self.find = regex.compile(pattern).findall if pattern else None
-        characters = byte_characters()
-        self.shown = {b: c for b, c in enumerate(characters)}
-        byte_of = {c: b for b, c in enumerate(characters)}
+        self.shown = dict(enumerate(byte_characters()))
         added = self.file.get_added_tokens_decoder()
         if any(t.lstrip or t.rstrip or t.single_word for t in added.values()) or json.loads(self.file.to_str())["normalizer"]:
             raise ValueError("only added tokens that are taken as they stand, and no normalizer")
@@ -95,11 +95,7 @@ class Coder:
         #: Characters before a cut whose words may change.
         self.margin = self.longest + 2
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        vocabulary = self.file.get_vocab(with_added_tokens=True)
-        self.bytes_of = [b""] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
-            known = i not in added and all(c in byte_of for c in token)
-            self.bytes_of[i] = bytes(byte_of[c] for c in token) if known else token.encode()
+        self.bytes_of = bytes_of_ids(path)
         self.packed = Words(self.bpe)
 
     def bpe(self, data: bytes) -> np.ndarray:
@@ -129,9 +125,7 @@ class Coder:
         return b"".join(self.ids_of(self.words(text)))
 
     def text_bytes(self, ids: np.ndarray) -> bytes:
-        if len(ids) and int(ids.max()) >= len(self.bytes_of):
-            ids = ids[ids < len(self.bytes_of)]
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+        return bytes_of_packed(self.bytes_of, ids)
 
     def decode(self, ids: np.ndarray) -> str:
         return self.text_bytes(ids).decode(errors="replace")
@@ -243,6 +237,22 @@ def join_all(coder: Coder, nodes: list[Node]) -> Node:
     return nodes[0]
 
 
+def bytes_of_ids(path: str) -> list[bytes]:
+    """The bytes that each id of a byte-level tokenizer file stands for."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    byte_of = {c: b for b, c in enumerate(byte_characters())}
+    added = {t["id"]: t["content"].encode() for t in file["added_tokens"]}
+    tokens = {i: bytes(byte_of[c] for c in t) for t, i in file["model"]["vocab"].items() if i not in added} | added
+    return [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+
+
+def bytes_of_packed(table: list[bytes], ids: np.ndarray) -> bytes:
+    if len(ids) and int(ids.max()) >= len(table):
+        ids = ids[ids < len(table)]
+    return b"".join(map(table.__getitem__, ids.tolist()))
+
+
 def coder(path: str, pattern: str | None) -> Coder:
     key = (path, pattern)
     if key not in _loaded:
@@ -256,7 +266,7 @@ def coder(path: str, pattern: str | None) -> Coder:
 def encode(docs: DataFrame, path: str, pattern: str | None = None, key: str = "doc_id", text: str = "text",
            leaf: int = LEAF, fan: int = FAN) -> DataFrame:
     """(doc_id, ids): the ids of each row's text, packed as little-endian unsigned 32-bit numbers."""
-    bounded_batches(docs)
+    bounded_batches(docs, size=BATCH_BYTES)
     kind = dict(docs.dtypes)[key]
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
@@ -313,12 +323,14 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "text")
     """The rows with packed ids replaced by the text that they stand for."""
     rest = [c for c in encoded.columns if c != ids]
     kinds = dict(encoded.dtypes)
+    bounded_batches(encoded, size=BATCH_BYTES)
     source = encoded.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(ids), F.unhex(F.lit(""))).alias("_ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(path, None)
+        found = bytes_of_ids(path)
         for batch in batches:
-            texts = [c.decode(np.frombuffer(x.as_py(), dtype="<u4")) for x in batch.column("_ids")]
+            texts = [bytes_of_packed(found, np.frombuffer(x.as_py(), dtype="<u4")).decode(errors="replace")
+                     for x in batch.column("_ids")]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(i) for i in range(len(rest))], pa.array(texts, pa.string())], names=[*rest, text])
 

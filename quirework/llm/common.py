@@ -33,13 +33,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def bounded_batches(df: DataFrame, rows: int = BATCH_ROWS) -> None:
-    """Let at most ``rows`` rows go to a Python worker at once: texts are long, and a worker
-    holds a batch several times over. A smaller setting of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(key))
-    if now <= 0 or now > rows:
-        df.sparkSession.conf.set(key, str(rows))
+def bounded_batches(df: DataFrame, rows: int = BATCH_ROWS, size: int | None = None) -> None:
+    """Let at most ``rows`` rows (and about ``size`` bytes) go to a Python worker at once: texts
+    are long, and a worker holds a batch several times over. A smaller setting of the session
+    stays."""
+    conf = df.sparkSession.conf
+    for name, most in (("Records", rows), ("Bytes", size)):
+        key = f"spark.sql.execution.arrow.max{name}PerBatch"
+        if most is not None and not 0 < int(conf.get(key).removesuffix("b")) <= most:
+            conf.set(key, str(most))
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
