@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from .book_files import write_book_files
+
+__all__ = ["write_book_files", "write_by_variant", "write_document_files", "write_documents", "write_styled_paragraphs"]
+
 
 def write_documents(docs: DataFrame, path: str) -> None:
     """Documents as a parquet table."""
