@@ -374,6 +374,28 @@ def legacy_paragraphs(ts: Column) -> Column:
     return let(ts, build)
 
 
+def has_content(ts: Column) -> Column:
+    """Whether the tokens hold a leaf with a visible character, or a rule. This is so exactly when
+    they have items, but it stops at the first one and cleans nothing."""
+    def visible(t):
+        return F.exists(leaf_blocks(t), lambda b: block_text(t, b).rlike(rf"[^{P.SPACE}]"))
+
+    return let(ts, lambda t: F.exists(t, lambda x: x.rlike(r"(?i)^<hr[\s/>]")) | visible(t))
+
+
+def has_more_than(ts: Column, heading: Column) -> Column:
+    """Whether the tokens hold a rule, or a leaf with characters that the heading lacks: without
+    it, their items may be nothing but the heading."""
+    def squeezed(c):
+        return F.regexp_replace(_fold_for_compare(c), rf"[{P.SPACE}]+", "")
+
+    def more(v):
+        return F.exists(v["t"], lambda x: x.rlike(r"(?i)^<hr[\s/>]")) | F.exists(
+            leaf_blocks(v["t"]), lambda b: ~F.contains(v["h"], squeezed(block_text(v["t"], b))))
+
+    return let_all({"t": ts, "h": squeezed(F.coalesce(heading, F.lit("")))}, more)
+
+
 # --- rendering --------------------------------------------------------------------
 
 

@@ -14,7 +14,7 @@ from ..functions import html as H
 from ..functions import merge as M
 from ..functions import naming as N
 from ..functions import patterns as P
-from ..functions.expr import compute, explode_rows, reuse
+from ..functions.expr import compute, explode_rows, let, let_all, reuse
 from ..functions.text import is_scene_break, py_strip
 from .html import items_of_tokens, with_tokens
 from .skew import salted_join, spread_ranks
@@ -201,14 +201,48 @@ def clean_section_html(items: DataFrame, drop_duplicate_heading: bool = False) -
 FRONT, END = -1, 2**63 - 1
 
 
-def _filled(sections: DataFrame, content: str) -> DataFrame:
+def section_marks(sections: DataFrame, drop_notes: bool = False, drop_duplicate_heading: bool = False) -> DataFrame:
+    """``(book_id, section_idx, filled)`` of raw sections: whether anything is left of a section
+    after cleaning, told from its tokens without cleaning it.
+
+    With ``drop_duplicate_heading`` a section may hold nothing but its heading. Only sections
+    whose whole text lies within the heading are cleaned to see that.
+    """
+    filled = reuse(("section_mark", drop_notes, drop_duplicate_heading),
+                   lambda: _filled_mark(drop_notes, drop_duplicate_heading))
+    return sections.select("book_id", "section_idx", filled.alias("filled"))
+
+
+def _filled_mark(drop_notes: bool, drop_duplicate_heading: bool) -> Column:
+    """One expression over ``html`` and ``heading``, each read once, so that it goes where only the
+    books of the sections are wanted."""
+    def of_tokens(t: Column, heading: Column) -> Column:
+        if not drop_duplicate_heading:
+            return H.has_content(t)
+        html = H.strip_duplicate_heading(H.items_html(H.raw_items(t)), heading)
+        return F.when(H.has_more_than(t, heading), True).otherwise(_visible(html))
+
+    row = {"html": F.col("html"), "heading": F.coalesce("heading", F.lit(""))}
+    return let_all(row, lambda v: let(
+        H.drop_boilerplate(H.tokens(v["html"]), drop_notes), lambda t: of_tokens(t, v["heading"])))
+
+
+def _visible(content: Column) -> Column:
+    return content.rlike(rf"[^{P.SPACE}]")
+
+
+def _marks_of(sections: DataFrame, content: str) -> DataFrame:
+    return sections.select("book_id", "section_idx", _visible(F.col(content)).alias("filled"))
+
+
+def _filled(sections: DataFrame, content: str, marks: DataFrame) -> DataFrame:
     """Sections with content, and whether they are the first such one of their book.
 
-    The first index of each book is a narrow aggregate, joined on the unique
+    The first index of each book is a narrow aggregate of the marks, joined on the unique
     ``(book_id, section_idx)``: a book with a third of all sections is no hot key.
     """
-    filled = sections.filter(F.col(content).rlike(rf"[^{P.SPACE}]"))
-    firsts = filled.groupBy("book_id").agg(F.min("section_idx").alias("section_idx"))
+    filled = sections.filter(_visible(F.col(content)))
+    firsts = marks.filter("filled").groupBy("book_id").agg(F.min("section_idx").alias("section_idx"))
     marked = filled.join(firsts.withColumn("_first", F.lit(True)), ["book_id", "section_idx"], "left")
     return marked.withColumn("_first", F.coalesce("_first", F.lit(False)))
 
@@ -229,9 +263,13 @@ def _part(rows: DataFrame, part_no, content: Column, name: str) -> DataFrame:
     return rows.select("book_id", number.cast("bigint").alias("part_no"), content.alias(name))
 
 
-def section_blocks(cleaned: DataFrame) -> DataFrame:
-    """Section elements; the first one of a book that is not empty is marked."""
-    return _filled(cleaned, "html").select(
+def section_blocks(cleaned: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+    """Section elements; the first one of a book that is not empty is marked.
+
+    ``marks`` are the ``section_marks`` of the raw sections: with them sections are cleaned
+    once. Without them they are derived from ``cleaned``, which is then worked out twice.
+    """
+    return _filled(cleaned, "html", _marks_of(cleaned, "html") if marks is None else marks).select(
         "book_id", "section_idx", "heading", _section_element().alias("block"))
 
 
@@ -320,8 +358,9 @@ def layout_stylesheets(layouts: DataFrame, font_pt: float = S.FONT_SIZE_PT, line
     return layouts.filter(F.col("status") == "ok").select("layout_id", css.alias("css"))
 
 
-def html_documents(cleaned: DataFrame, books: DataFrame, css: str) -> DataFrame:
-    """HTML of each book in ordered parts ``(book_id, part_no, html)``.
+def html_documents(cleaned: DataFrame, books: DataFrame, css: str, marks: DataFrame | None = None) -> DataFrame:
+    """HTML of each book in ordered parts ``(book_id, part_no, html)``. ``marks`` as for
+    ``section_blocks``; they have every section of ``cleaned``.
 
     Part ``FRONT`` is the title page and the blank page, a section's part has the number of
     the section, and part ``END`` closes the document; read in order they are one file. A
@@ -338,12 +377,12 @@ def html_documents(cleaned: DataFrame, books: DataFrame, css: str) -> DataFrame:
         author,
         F.lit('</p></div></section>\n<div class="blank-page"></div>\n'),
     )
-    titled = _titled(cleaned, books)
-    return (
-        _part(titled, FRONT, head, "html")
-        .unionByName(_part(_filled(cleaned, "html"), F.col("section_idx"), _section_element(), "html"))
-        .unionByName(_part(titled, END, F.lit("\n</body>\n</html>\n"), "html"))
-    )
+    marks = _marks_of(cleaned, "html") if marks is None else marks
+    sides = F.array(*[
+        F.struct(F.lit(number).cast("bigint").alias("part_no"), content.alias("html"))
+        for number, content in ((FRONT, head), (END, F.lit("\n</body>\n</html>\n")))])
+    return _titled(marks, books).select("book_id", F.inline(sides)).unionByName(
+        _part(_filled(cleaned, "html", marks), F.col("section_idx"), _section_element(), "html"))
 
 
 def escape_markdown(c: Column) -> Column:
@@ -356,10 +395,11 @@ def paragraphs_of(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n\n"), py_strip), lambda p: p != "")
 
 
-def markdown_documents(texts: DataFrame, books: DataFrame) -> DataFrame:
+def markdown_documents(texts: DataFrame, books: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     """Markdown of each book in ordered parts ``(book_id, part_no, markdown)``: the title as
     part ``FRONT``, then the sections. Read in order they are one file, which ends with
-    exactly one line end."""
+    exactly one line end. ``marks`` as for ``section_blocks``."""
+    marks = _marks_of(texts, "text") if marks is None else marks
     author = F.when(
         py_strip(F.col("used_author")) != "",
         F.concat(F.lit("\n\n_By "), escape_markdown(F.col("used_author")), F.lit("_")),
@@ -376,8 +416,8 @@ def markdown_documents(texts: DataFrame, books: DataFrame) -> DataFrame:
         F.array_join(paragraphs, "\n\n"),
         F.lit("\n"),
     )
-    return _part(_titled(texts, books), FRONT, head, "markdown").unionByName(
-        _part(_filled(texts, "text"), F.col("section_idx"), part, "markdown"))
+    return _part(_titled(marks, books), FRONT, head, "markdown").unionByName(
+        _part(_filled(texts, "text", marks), F.col("section_idx"), part, "markdown"))
 
 
 # --- styled paragraphs ------------------------------------------------------------

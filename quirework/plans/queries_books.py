@@ -78,6 +78,10 @@ def _section_html(s, d):
     return B.clean_section_html(B.section_items(X.book_sections(s, d)), drop_duplicate_heading=True)
 
 
+def _marks(s, d, as_text):
+    return B.section_marks(X.book_sections(s, d), drop_notes=as_text, drop_duplicate_heading=not as_text)
+
+
 def _texts(s, d):
     return B.clean_section_text(B.section_items(X.book_sections(s, d), drop_notes=True))
 
@@ -91,9 +95,9 @@ QUERIES = {
     "slug_from_path": lambda s, d: _paths(s, d).select("doc_id", N.slug_from_path(F.col("path")).alias("slug")),
     "safe_filenames": _names,
     "file_stems": _stems,
-    "section_blocks": lambda s, d: B.section_blocks(_section_html(s, d)),
-    "html_documents": lambda s, d: B.html_documents(_section_html(s, d), _books(s, d), B.stylesheet()),
-    "markdown_documents": lambda s, d: B.markdown_documents(_texts(s, d), _books(s, d)),
+    "section_blocks": lambda s, d: B.section_blocks(_section_html(s, d), _marks(s, d, False)),
+    "html_documents": lambda s, d: B.html_documents(_section_html(s, d), _books(s, d), B.stylesheet(), _marks(s, d, False)),
+    "markdown_documents": lambda s, d: B.markdown_documents(_texts(s, d), _books(s, d), _marks(s, d, True)),
     "conversation_documents": lambda s, d: B.markdown_documents(X.conversation_texts(s, d), X.conversation_books(s, d)),
     "styled_paragraphs": lambda s, d: B.styled_paragraphs(_texts(s, d), _books(s, d), S.spacing_modes(s)),
     "layout_resolution": lambda s, d: L.resolve_layouts(X.layout_requests(s, d)),

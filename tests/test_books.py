@@ -222,3 +222,22 @@ def test_stylesheets_of_all_modes_and_custom_boxes(spark):
         box = dict(zip(B.BOX, (10.0, 20.0, 1.0, 2.0, 3.0, 4.0), strict=True)) if i == sorted(css)[4] else None
         assert css[i] == B.stylesheet(mode, "a5", "standard", box)
     assert "$" not in "".join(css.values())
+
+
+def test_marks_agree_with_the_cleaned_sections(spark):
+    html = ["", " ", "<p></p>", "<p> &nbsp;\n</p>", "<p>&#32;</p><hr/>", "<p>Title</p>", "<p>Tit</p><p>le</p>", "<p> title</p><hr>", "<p>TITLE</p><p>x</p>",
+            "<nav><p>a</p></nav>", "<nav><hr/></nav><p> </p>", "<div class='notes'><p>n</p></div>", "text only", "<li>Title</li>", "<p>***</p>", "<p>Strasse</p>",
+            "<p>\u200b</p>", "<div>Ti<b>tle</b></div>", "<p>Tit,</p><p>le</p>"]
+    rows = [(f"b{h}", i, h, x) for h in ("", "Title", "Stra\u00dfe", "Tit, le") for i, x in enumerate(html)]
+    df = spark.createDataFrame(rows, "book_id string, section_idx int, heading string, html string")
+    for notes in (False, True):
+        for repeat in (False, True):
+            cleaned = B.clean_section_html(B.section_items(df, notes), repeat)
+            want = {(r.book_id, r.section_idx): bool(r.html.strip()) for r in cleaned.collect()}
+            marks = B.section_marks(df, notes, repeat).collect()
+            assert {(r.book_id, r.section_idx): r.filled for r in marks} == want
+    names = books(spark, [("bTitle", "T", "A")])
+    cleaned, marks = B.clean_section_html(B.section_items(df), True), B.section_marks(df, False, True)
+    for with_marks, without in ((B.html_documents(cleaned, names, "css", marks), B.html_documents(cleaned, names, "css")),
+                                (B.section_blocks(cleaned, marks), B.section_blocks(cleaned))):
+        assert sorted(map(tuple, with_marks.collect())) == sorted(map(tuple, without.collect()))

@@ -110,3 +110,19 @@ def test_building_a_query_runs_no_job(spark):
             assert len(tracker.getJobInfo(job).stageIds) == 1
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_documents_clean_their_sections_once(spark):
+    """The cleaning of a section stands in the plan once, and once more behind a condition for
+    sections that may hold nothing but their heading."""
+    from quirework.plans import queries_books as Q
+
+    def work(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
+
+    once, text = work(Q._section_html(spark, SMALL)), work(Q._texts(spark, SMALL))
+    tokens = work(Q._marks(spark, SMALL, True).filter("filled").select("book_id", "section_idx"))
+    assert tokens < text and work(Q._marks(spark, SMALL, True).select("book_id")) == 0
+    for name in ("section_blocks", "html_documents"):
+        assert work(QUERIES[name](spark, SMALL)) <= 2 * once + 3, name
+    assert work(QUERIES["markdown_documents"](spark, SMALL)) <= text + tokens
