@@ -6,11 +6,10 @@ block tags: a block is a leaf when the next block tag after its opening is its c
 
 from __future__ import annotations
 
-import html.entities
-
 from pyspark.sql import Column, functions as F
 
 from . import patterns as P
+from .entities import decode
 from .expr import fold_flags, indices, let, let_all
 from .merge import ITEMS_TYPE, paragraph_items, scene_item, dedupe_scene_breaks
 from .text import py_strip
@@ -43,7 +42,7 @@ def attribute(tag: Column, name: str) -> Column:
         values = F.regexp_extract_all(t, F.lit(_ATTRIBUTE), F.lit(2))
         pairs = F.filter(F.arrays_zip(names.alias("n"), values.alias("v")), lambda x: F.lower(x["n"]) == name)
         raw = F.coalesce(F.get(pairs, F.lit(0))["v"], F.lit(""))
-        return decode_entities(F.regexp_replace(raw, r"(?s)^([\"'])(.*)\1$", "$2"))
+        return decode(F.regexp_replace(raw, r"(?s)^([\"'])(.*)\1$", "$2"), attribute=True)
 
     return F.when(tag.rlike(rf"(?i)\s{name}\s*="), let(tag, find)).otherwise("")
 
@@ -121,47 +120,9 @@ def first_heading(body: Column) -> Column:
 # --- character references ---------------------------------------------------------
 
 
-def _named_entities() -> Column:
-    """The named references of HTML 4 and XML, the frequent ones first (the map is searched
-    from its beginning)."""
-    points = dict.fromkeys(("amp", "lt", "gt", "quot", "apos", "nbsp"))
-    points.update(html.entities.name2codepoint, apos=ord("'"))
-    pairs = "\x01".join(f"{name}\x02{chr(p)}" for name, p in points.items())
-    return F.str_to_map(F.lit(pairs), F.lit("\x01"), F.lit("\x02"))  # folded to a constant
-
-
-def _code_point(n: Column) -> Column:
-    valid = ((n > 0) & (n < 0xD800)) | ((n > 0xDFFF) & (n <= 0x10FFFF))
-    return F.when(
-        valid, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-    ).otherwise("�")
-
-
-def _decode_one(ref: Column, names: Column) -> Column:
-    digits = F.regexp_extract(ref, r"^&#0*([0-9]{1,9});$", 1)
-    hexes = F.regexp_extract(ref, r"^&#[xX]0*([0-9a-fA-F]{1,7});$", 1)
-    return (
-        F.when(digits != "", _code_point(digits.cast("bigint")))
-        .when(hexes != "", _code_point(F.conv(hexes, 16, 10).cast("bigint")))
-        .when(F.substring(ref, 2, 1) == "#", F.lit("�"))
-        .otherwise(F.coalesce(F.try_element_at(names, F.substring_index(F.substring(ref, 2, 99), ";", 1)), ref))
-    )
-
-
 def decode_entities(c: Column) -> Column:
-    """Named and numeric character references, each decoded once, left to right."""
-    part = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);|[^&]++|&"
-    names = _named_entities()
-    decoded = F.array_join(
-        F.transform(
-            F.regexp_extract_all(c, F.lit(part), F.lit(0)),
-            lambda t: F.when(
-                t.startswith("&") & (F.length(t) > 2), _decode_one(t, names)
-            ).otherwise(t),
-        ),
-        "",
-    )
-    return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
+    """Named and numeric character references of a text, each decoded once, left to right."""
+    return decode(c)
 
 
 def escape_html(c: Column) -> Column:

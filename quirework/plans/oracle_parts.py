@@ -185,18 +185,25 @@ def body_content(x: str) -> str:
 
 
 def entity_cte() -> str:
-    names = dict(html.entities.name2codepoint, apos=39)
-    pairs = ", ".join(f"{lit('&' + n + ';')}: chr({c})" for n, c in sorted(names.items()))
+    names = html.entities.html5
+    pairs = ", ".join(f"{lit('&' + n)}: " + " || ".join(f"chr({ord(c)})" for c in names[n]) for n in sorted(names))
     return f"ent AS (SELECT MAP {{{pairs}}} AS m)"
 
 
 def decode(x: str) -> str:
-    """Needs ``ent`` in FROM."""
-    part = lit(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);|[^&]+|&")
+    """Needs ``ent`` in FROM. A name that is not known is tried from its longest beginning down;
+    names that need no semicolon have six letters at most."""
+    part = lit(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)|[^&]+|&")
+    shorter = ", ".join(f"m[substr(t, 1, {k + 1})] || substr(t, {k + 2})" for k in (6, 5, 4, 3, 2))
+
+    def char(n: str) -> str:
+        controls = ", ".join(f"chr({ord(bytes([k]).decode('cp1252', 'ignore') or chr(k))})" for k in range(128, 160))
+        return f"CASE WHEN {n} BETWEEN 128 AND 159 THEN [{controls}][{n} - 127] ELSE chr({n}) END"
+
     one = (
-        "CASE WHEN regexp_matches(t, '^&#[0-9]+;$') THEN chr(regexp_extract(t, '[0-9]+')::INT) "
-        "WHEN regexp_matches(t, '^&#[xX]') THEN chr(('0x' || regexp_extract(t, '^&#[xX]([0-9a-fA-F]+)', 1))::INT) "
-        "WHEN regexp_matches(t, '^&.+;$') THEN coalesce(m[t], t) ELSE t END"
+        f"CASE WHEN regexp_matches(t, '^&#[0-9]+') THEN {char("regexp_extract(t, '[0-9]+')::INT")} "
+        f"WHEN regexp_matches(t, '^&#[xX]') THEN {char("('0x' || regexp_extract(t, '^&#[xX]([0-9a-fA-F]+)', 1))::INT")} "
+        f"WHEN regexp_matches(t, '^&.') THEN coalesce(m[t], {shorter}, t) ELSE t END"
     )
     return (
         f"CASE WHEN contains({x}, '&') THEN array_to_string(list_transform(regexp_extract_all({x}, {part}, 0), "

@@ -39,17 +39,22 @@ def _rich(s, d, drop_notes=False):
     return OH.with_tokens(X.rich_pages(s, d), "html", drop_notes)
 
 
+ENCODED = (("e", "&#101;"), ("t", "&#x74;"), ("- ", "&mdash;&bogus; & "), ("***", "&#8220;&eacute;&#x1F600;"),
+           ("a", "&#97"), ("w", "&notit;&copy w"), ("z", "&NotEqualTilde;&amp&ltz&CounterClockwiseContourIntegral;"), ("v", "&#150;&#x80"))
+
+
 def _encoded(s, d):
-    """Page text with some letters written as numeric references."""
+    """Page text with letters written as references: numeric, named, without semicolon, unknown, of
+    two characters, and names that begin with a shorter one."""
     html = F.col("html")
-    for letter, ref in (("e", "&#101;"), ("t", "&#x74;"), ("- ", "&mdash;&bogus; & "), ("***", "&#8220;&eacute;&#x1F600;")):
+    for letter, ref in ENCODED:
         html = F.replace(html, F.lit(letter), F.lit(ref))
     return X.pages(s, d).select("page_id", H.decode_entities(html).alias("decoded"))
 
 
 def _encoded_sql() -> str:
     html = "html"
-    for letter, ref in (("e", "&#101;"), ("t", "&#x74;"), ("- ", "&mdash;&bogus; & "), ("***", "&#8220;&eacute;&#x1F600;")):
+    for letter, ref in ENCODED:
         html = f"replace({html}, {O.lit(letter)}, {O.lit(ref)})"
     return f"WITH {O.entity_cte()}, src AS (SELECT page_id, {html} AS h FROM pages) SELECT page_id, {O.decode('h')} AS decoded FROM src, ent"
 

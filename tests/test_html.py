@@ -110,6 +110,23 @@ def test_entities(evaluate):
     assert evaluate(lambda c: H.decode_entities(H.escape_html(c)), raw) == raw
 
 
+def test_references_of_html_5(evaluate):
+    from html.entities import html5
+
+    every = [f"x&{n}" for n in html5] + [f"&{n}z" for n in html5]
+    rng = random.Random(1)
+    names = [n.strip(";") for n in html5 if not n.endswith(";")] + ["notin", "amplt", "Aacut", "x"]
+    mixed = ["".join(rng.choice(["&", ";", "#", "x", "1", "8", "0", " ", "=", rng.choice(names), "&" + rng.choice(names), "&#" + str(rng.randrange(200)),
+                                 "&#x" + "%x" % rng.randrange(0x110100)]) for _ in range(8)) for _ in range(800)]
+    assert evaluate(H.decode_entities, every + mixed) == [pyhtml.unescape(v) for v in every + mixed]
+
+
+def test_references_in_attributes(evaluate):
+    values = {"?a=1&copy=2&amp;b&lt;c": "?a=1&copy=2&b<c", "&copy": "\u00a9", "&copy x": "\u00a9 x", "&notit;": "&notit;", "&copyx": "&copyx", "&#65&#x42=": "AB="}
+    got = evaluate(lambda c: H.attribute(F.concat(F.lit('<a href="'), c, F.lit('">')), "href"), list(values))
+    assert got == list(values.values())
+
+
 def test_script_style_and_body(evaluate):
     values = [
         '<html><head><script>var a="</p><body>";</script><style>p{}</style></head><body class="x"> <p>A</p> </body></html>',
