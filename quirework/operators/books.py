@@ -7,7 +7,7 @@ A whole document is a set of ordered parts, one per section, whatever its size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from .. import settings as S
 from ..functions import html as H
@@ -17,6 +17,7 @@ from ..functions import patterns as P
 from ..functions.expr import compute, explode_rows, let, let_all, reuse
 from ..functions.text import is_scene_break, py_strip
 from .html import items_of_tokens, with_tokens
+from .observe import counted
 from .skew import salted_join, spread_ranks
 
 # --- metadata and names -----------------------------------------------------------
@@ -183,9 +184,14 @@ def fan_out(base: DataFrame, groups: DataFrame, then=None) -> DataFrame:
     return done.select(*rest, F.inline_outer("names"))
 
 
-def clean_section_text(items: DataFrame) -> DataFrame:
-    texts = compute(items, "text", M.items_text(F.col("items")))
-    return texts.drop("items").filter(F.col("text") != "")
+def clean_section_text(items: DataFrame, observation: Observation | None = None) -> DataFrame:
+    """Text of each section; sections without any are dropped. An ``observation`` counts
+    ``sections_cleaned`` and ``sections_dropped`` on the way."""
+    texts = compute(items, "text", M.items_text(F.col("items"))).drop("items")
+    if observation is not None:
+        texts = counted(texts, observation, {
+            "sections_cleaned": F.lit(True), "sections_dropped": F.col("text") == ""})
+    return texts.filter(F.col("text") != "")
 
 
 def clean_section_html(items: DataFrame, drop_duplicate_heading: bool = False) -> DataFrame:

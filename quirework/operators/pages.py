@@ -81,9 +81,9 @@ def section_starts(sections: DataFrame, wanted: DataFrame, layouts: DataFrame) -
 def numbered_starts(starts: DataFrame) -> DataFrame:
     """Adds ``before``: the pages of the book before each section, front pages included. Sections
     begin on a new page. No group holds more of a book than a block of its sections."""
-    counted = starts.withColumn("pages", F.size("starts").cast("bigint"))
-    totals = running_totals(counted, ["book_id", *BOX], "section_idx", "pages", "before")
-    return totals.withColumn("before", F.col("before") + FRONT_PAGES)
+    pages = F.size("starts").cast("bigint")
+    totals = running_totals(starts, ["book_id", *BOX], "section_idx", pages, "before")
+    return totals.withColumns({"before": F.col("before") + FRONT_PAGES, "pages": pages})
 
 
 def page_breaks(sections: DataFrame, wanted: DataFrame, layouts: DataFrame) -> DataFrame:

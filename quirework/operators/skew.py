@@ -24,23 +24,28 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread_by: li
 BLOCK_BITS = 16
 
 
-def running_totals(df: DataFrame, keys: list[str], index: str, value: str, name: str,
+def running_totals(df: DataFrame, keys: list[str], index: str, value: Column, name: str,
                    bits: int = BLOCK_BITS) -> DataFrame:
     """Adds ``name``: the sum of ``value`` over the rows of the same key with a smaller ``index``, a
     whole number that is unique within its key.
 
     A key is cut into blocks by the high bits of the index. Sums run within a block and over
     the totals of the blocks, so with 32-bit numbers no window holds more than 65,536 rows of a
-    key, whatever its size.
+    key, whatever its size. Rows and totals come from one exchange, so ``df`` is worked out
+    once if both need the same columns: all of ``df`` should be in ``keys``, ``index`` and ``value``.
     """
-    cut = df.withColumn("_block", F.shiftright(F.col(index).cast("bigint"), bits))
-    blocks = cut.groupBy(*keys, "_block").agg(F.sum(value).alias("_sum"))
+    # never null, and with the largest index among the totals, so that rows and totals need the
+    # same columns of the same rows
+    block = F.coalesce(F.shiftright(F.col(index).cast("bigint"), bits), F.lit(0))
+    cut = df.withColumn("_block", block).repartition(*keys, "_block")
+    blocks = cut.groupBy(*keys, "_block").agg(F.sum(value).alias("_sum"), F.max(index).alias("_last"))
     earlier = _before(Window.partitionBy(*keys).orderBy("_block"))
-    starts = blocks.select(*keys, "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    starts = blocks.select(*keys, "_block", "_last", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
     within = _before(Window.partitionBy(*keys, "_block").orderBy(index))
     placed = cut.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0)))
-    joined = placed.join(starts, [*keys, "_block"])
-    return joined.withColumn(name, F.col("_start") + F.col("_within")).drop("_block", "_start", "_within")
+    # always true, but no condition that the optimizer could carry to one side only
+    joined = placed.join(starts, [*keys, "_block"]).filter(F.coalesce(F.col(index) <= F.col("_last"), F.lit(True)))
+    return joined.withColumn(name, F.col("_start") + F.col("_within")).drop("_block", "_last", "_start", "_within")
 
 
 def _before(window):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from .. import settings as S
 from ..functions import html as H
@@ -14,6 +14,7 @@ from ..functions.text import py_rstrip, py_strip
 from . import books as B
 from . import imposition as I
 from .html import items_of_tokens, with_tokens
+from .observe import counted
 from .layout import CAPACITY, by_layout, section_pages, wanted_capacities, with_capacities
 from .skew import salted_join
 
@@ -44,10 +45,12 @@ def texts_digest(number: Column, text: Column) -> Column:
     return F.sum(F.conv(prefix, 16, 10).cast("decimal(20,0)")).cast("string")
 
 
-def run_status(jobs: DataFrame, books: DataFrame, variants: DataFrame, layouts: DataFrame) -> DataFrame:
+def run_status(jobs: DataFrame, books: DataFrame, variants: DataFrame, layouts: DataFrame,
+               observation: Observation | None = None) -> DataFrame:
     """Jobs ``(book_id, variant, layout_id)`` -> ``ok`` or ``failed`` with the reason.
 
-    One failing job does not touch the others. ``books`` has ``(book_id, n_sections)``.
+    One failing job does not touch the others. ``books`` has ``(book_id, n_sections)``. An
+    ``observation`` counts ``jobs_ok`` and ``jobs_failed`` while the rows are used.
     """
     known = variants.select("variant").distinct().withColumn("_known", F.lit(True))
     layout = layouts.select("layout_id", F.col("error").alias("_layout_error"), F.lit(True).alias("_layout"))
@@ -58,11 +61,15 @@ def run_status(jobs: DataFrame, books: DataFrame, variants: DataFrame, layouts:
         .when(F.coalesce(F.col("n_sections"), F.lit(0)) == 0, "no_readable_sections")
     )
     checked = jobs.join(known, "variant", "left").join(layout, "layout_id", "left")
-    return (
+    done = (
         salted_join(checked, books, ["book_id"], ["variant", "layout_id"], "left")
         .select("book_id", "variant", "layout_id", error.alias("error"))
         .withColumn("status", F.when(F.col("error").isNull(), "ok").otherwise("failed"))
     )
+    if observation is None:
+        return done
+    ok = F.col("status") == "ok"
+    return counted(done, observation, {"jobs_ok": ok, "jobs_failed": ~ok})
 
 
 def book_outcomes(statuses: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import html.entities
 
-from ..functions import patterns as P
+from . import oracle_values as P
 
 WS = P.SPACE
 NL = "chr(10)"
@@ -27,7 +27,7 @@ def matches(x: str, pattern: str) -> str:
 
 
 def scene(x: str) -> str:
-    return matches(x, f"^(?:{P.scene_pattern(P.SPACE)})$")
+    return matches(x, f"^(?:{P.SCENE})$")
 
 
 def lower_start(x: str, strict=False) -> str:
@@ -35,7 +35,7 @@ def lower_start(x: str, strict=False) -> str:
 
 
 def tag_start(x: str, words=P.DIALOGUE_TAG_WORDS) -> str:
-    return matches(x, rf"^(?i:{P.any_of(words)})(?:[^{P.WORD}]|$)")
+    return matches(x, rf"^(?i:{words})(?:[^{P.WORD}]|$)")
 
 
 def quote_end(x: str) -> str:
@@ -218,25 +218,24 @@ def escape_html(x: str) -> str:
 
 
 def hit(t: str, drop_notes: bool) -> str:
-    classes = P.any_of(P.DROP_CLASSES + (P.NOTE_CLASSES if drop_notes else ()))
+    classes = f"{P.DROP_CLASSES}|{P.NOTE_CLASSES}" if drop_notes else P.DROP_CLASSES
     tests = [
         matches(t, r"(?i)^<nav[\s/>]"),
         matches(t, rf'\sclass="(?:[^"]*\s)?(?:{classes})(?:\s[^"]*)?"'),
     ]
     if drop_notes:
-        tests.append(matches(t, rf'\sid="(?:{P.any_of(P.NOTE_IDS)})"'))
+        tests.append(matches(t, rf'\sid="(?:{P.NOTE_IDS})"'))
     return f"({matches(t, '^<[A-Za-z]')} AND ({' OR '.join(tests)}))"
 
 
 def token_chain(p: str, src: str, keys: str, html_col="html", drop_notes=False) -> str:
     """CTE ``{p}kept(keys, pos, t)``: tokens without boilerplate."""
-    void = ", ".join(lit(v) for v in P.VOID_TAGS)
     ex = f"regexp_extract_all({html_col}, {lit(TOKEN)}, 0)"
     return f"""
 {p}tok AS (SELECT {keys}, unnest({ex}) AS t, unnest(range(len({ex})))::INT AS pos FROM {src}),
 {p}tag AS (SELECT *, lower(regexp_extract(t, '^</?([A-Za-z][A-Za-z0-9:_.\\-]*)', 1)) AS name FROM {p}tok
            WHERE {matches('t', '^</?[A-Za-z]')}),
-{p}del AS (SELECT *, CASE WHEN starts_with(t, '</') THEN -1 WHEN ends_with(t, '/>') OR name IN ({void}) THEN 0 ELSE 1 END AS d
+{p}del AS (SELECT *, CASE WHEN starts_with(t, '</') THEN -1 WHEN ends_with(t, '/>') OR name IN ({P.VOID_TAGS}) THEN 0 ELSE 1 END AS d
            FROM {p}tag),
 {p}cum AS (SELECT *, sum(d) OVER (PARTITION BY {keys}, name ORDER BY pos) AS depth FROM {p}del),
 {p}cand AS (SELECT * FROM {p}cum WHERE d >= 0 AND {hit('t', drop_notes)}),
@@ -251,7 +250,7 @@ def token_chain(p: str, src: str, keys: str, html_col="html", drop_notes=False)
 
 def leaf_chain(p: str, keys: str) -> str:
     """CTE ``{p}leaf(keys, pos, tag, text)`` with raw decoded text. Needs ``ent``."""
-    tags = P.any_of(P.BLOCK_TAGS)
+    tags = P.BLOCK_TAGS
     same = " AND ".join(f"l.{k.strip()} = k.{k.strip()}" for k in keys.split(","))
     lk = ", ".join("l." + k.strip() for k in keys.split(","))
     return f"""
@@ -280,12 +279,10 @@ def html_items_chain(p: str, src: str, keys: str, drop_notes=False) -> str:
 
 
 def variants_cte(rows) -> str:
-    from ..settings import VARIANT_COLUMNS
-
     values = ", ".join(
         "(" + ", ".join(lit(v) if isinstance(v, str) else str(v).lower() for v in r) + ")" for r in rows
     )
-    return f"variants({', '.join(VARIANT_COLUMNS)}) AS (VALUES {values})"
+    return f"variants({P.VARIANT_COLUMNS}) AS (VALUES {values})"
 
 
 def variant_items_chain(p: str, keys: str) -> str:

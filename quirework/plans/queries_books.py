@@ -107,7 +107,7 @@ QUERIES = {
 
 # --- oracles ----------------------------------------------------------------------
 
-# the style as plain text, written down here again
+# fixed values: the style as plain text, written down here again
 CSS = """@page { size: $w $h; margin-top: $t; margin-bottom: $b; @bottom-center { content: counter(page); font-size: 9pt } }
 @page :right { margin-left: $i; margin-right: $o }
 @page :left { margin-left: $o; margin-right: $i }
@@ -126,6 +126,7 @@ h1, h2, h3, h4 { page-break-after: avoid }
 em { font-style: italic }
 strong { font-weight: bold }
 hr, .scene-break { margin: 1.2em auto; width: 25%; border: 0; border-top: 1px solid #666 }"""
+# end of fixed values
 
 BOOK_NO = "regexp_extract({0}, '([0-9]+)$', 1)::INT"
 
@@ -157,8 +158,8 @@ LAYOUT_SQL = """lr AS (SELECT doc_id AS layout_id,
 
 
 def dims_sql() -> str:
-    sizes = ", ".join(f"({O.lit(k)}, {O.lit(l)}, {w}::DOUBLE, {h}::DOUBLE)" for k, l, w, h in S.PAGE_SIZES)
-    margins = ", ".join(f"({O.lit(m[0])}, {O.lit(m[1])}, " + ", ".join(f"{x}::DOUBLE" for x in m[2:]) + ")" for m in S.MARGINS)
+    sizes = ", ".join(f"({O.lit(k)}, {O.lit(l)}, {w}::DOUBLE, {h}::DOUBLE)" for k, l, w, h in O.P.PAGE_SIZES)
+    margins = ", ".join(f"({O.lit(m[0])}, {O.lit(m[1])}, " + ", ".join(f"{x}::DOUBLE" for x in m[2:]) + ")" for m in O.P.MARGINS)
     return (
         f"sizes(k, label, w, h) AS (VALUES {sizes}), "
         f"margins(k, label, t, b, i, o) AS (VALUES {margins})"
@@ -178,10 +179,10 @@ def key_sql(x: str) -> str:
     return f"lower({O.strip(x)})"
 
 
-SPACING_LABEL = case_sql(key_sql("spacing"), [(m[0], m[1]) for m in S.SPACING_MODES], O.lit(S.SPACING_MODES[0][1]))
-MARGIN_LABEL = case_sql(key_sql("margin"), [(m[0], m[1]) for m in S.MARGINS] + [("custom", "Custom margins")], "margin")
-SIZE_LABEL = case_sql(key_sql("size"), [(p[0], p[1]) for p in S.PAGE_SIZES] + [("custom", "Custom size")], "size")
-VARIANT_LABEL = case_sql("variant", S.VARIANT_LABELS, "variant")
+SPACING_LABEL = case_sql(key_sql("spacing"), [(m[0], m[1]) for m in O.P.SPACING_MODES], O.lit(O.P.SPACING_MODES[0][1]))
+MARGIN_LABEL = case_sql(key_sql("margin"), [(m[0], m[1]) for m in O.P.MARGINS] + [("custom", "Custom margins")], "margin")
+SIZE_LABEL = case_sql(key_sql("size"), [(p[0], p[1]) for p in O.P.PAGE_SIZES] + [("custom", "Custom size")], "size")
+VARIANT_LABEL = case_sql("variant", O.P.VARIANT_LABELS, "variant")
 
 
 def file_stem_sql() -> str:
@@ -230,12 +231,12 @@ def _oracles() -> dict[str, str]:
     ):
         sheet = f"replace({sheet}, '{name}', {value})"
     esc_t, esc_a = O.escape_html("used_title"), O.escape_html("used_author")
-    modes = ", ".join(f"({O.lit(m[0])}, {m[2]}::DOUBLE, {m[3]}::DOUBLE)" for m in S.SPACING_MODES)
+    modes = ", ".join(f"({O.lit(m[0])}, {m[2]}::DOUBLE, {m[3]}::DOUBLE)" for m in O.P.SPACING_MODES)
     illegal = "'[<>:\"/\\\\|?*\\x00-\\x1f]'"
     t = "CASE WHEN doc_id % 10 = 0 THEN ' ?.\"' ELSE t END"
     u = "CASE WHEN doc_id % 10 = 1 THEN '  ' ELSE t END"
     ws = O.lit(f"[{O.WS}]+")
-    font = S.FONT_SIZE_PT
+    font = O.P.FONT_SIZE_PT
 
     def pt(x):
         return f"round({font}::DOUBLE * {x}, 3)"

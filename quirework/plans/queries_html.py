@@ -177,7 +177,7 @@ def _oracles() -> dict[str, str]:
         runs = f"list_filter(regexp_extract_all({x}, {O.lit(O.TOKEN)}, 0), lambda y: NOT starts_with(y, '<'))"
         return f"array_to_string(list_filter(list_transform({runs}, lambda z: {O.strip(O.decode('z'))}), lambda v: v <> ''), ' ')"
 
-    variants = O.variants_cte(S.VARIANTS)
+    variants = O.variants_cte(O.P.VARIANTS)
     vi = f"{RICH}, {variants}, {html_items('src', k)},{O.variant_items_chain('h', k)}"
     vi_notes = f"{RICH}, {variants}, {html_items('src', k, True)},{O.variant_items_chain('h', k)}"
     seg = "regexp_extract(url, '^[A-Za-z]+://[^/?#]*', 0)"

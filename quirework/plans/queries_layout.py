@@ -138,13 +138,13 @@ def _capacity_sql() -> str:
     """CTE ``lc(layout_id, spacing, margin, size, cpl, lpp, gap)``."""
     rows = []
     for layout_id, spacing, margin, size in X.BOOK_LAYOUTS:
-        _, _, w, h = next(p for p in S.PAGE_SIZES if p[0] == size)
-        _, _, t, b, i, o = next(m for m in S.MARGINS if m[0] == margin)
+        _, _, w, h = next(p for p in O.P.PAGE_SIZES if p[0] == size)
+        _, _, t, b, i, o = next(m for m in O.P.MARGINS if m[0] == margin)
         gap = 0 if spacing in ("uniform", "indented-compact") else 65
         rows.append(f"({layout_id}, '{spacing}', '{margin}', '{size}', {w}::DOUBLE, {h}::DOUBLE, {t}::DOUBLE, {b}::DOUBLE, {i}::DOUBLE, {o}::DOUBLE, {gap})")
     return f"""l0(layout_id, spacing, margin, size, w, h, t, b, i, o, gap) AS (VALUES {', '.join(rows)}),
-lc AS (SELECT *, floor((w - i - o) * {S.POINTS_PER_CM}::DOUBLE / (0.5 * {S.FONT_SIZE_PT}::DOUBLE))::BIGINT AS cpl,
-       floor((h - t - b) * {S.POINTS_PER_CM}::DOUBLE / ({S.FONT_SIZE_PT}::DOUBLE * {S.LINE_HEIGHT}::DOUBLE))::BIGINT AS lpp FROM l0)"""
+lc AS (SELECT *, floor((w - i - o) * {O.P.POINTS_PER_CM}::DOUBLE / (0.5 * {O.P.FONT_SIZE_PT}::DOUBLE))::BIGINT AS cpl,
+       floor((h - t - b) * {O.P.POINTS_PER_CM}::DOUBLE / ({O.P.FONT_SIZE_PT}::DOUBLE * {O.P.LINE_HEIGHT}::DOUBLE))::BIGINT AS lpp FROM l0)"""
 
 
 def _pages_sql(items: str, keys: str) -> str:
@@ -162,9 +162,9 @@ def _oracles() -> dict[str, str]:
         return f"{O.variants_cte(rows)}, {base},{O.variant_items_chain('h', keys)}"
 
     def profile(name):
-        return [v for v in S.VARIANTS if v[0] == name]
+        return [v for v in O.P.VARIANTS if v[0] == name]
 
-    everything = f"""{vi(S.VARIANTS)},
+    everything = f"""{vi(O.P.VARIANTS)},
 ms AS (SELECT book_id, section_idx, profile, variant, count(*)::INT AS n_items, strlen({items_html_agg()})::INT AS html_bytes,
        strlen({O.strip("string_agg(text, chr(10)||chr(10) ORDER BY item_idx)")})::INT AS text_bytes FROM hvi GROUP BY book_id, section_idx, profile, variant),
 mm AS (SELECT b.book_id, b.section_idx, v.profile, v.variant, coalesce(n_items, 0)::INT AS n_items, coalesce(html_bytes, 0)::INT AS html_bytes,
@@ -219,7 +219,7 @@ SELECT doc_id, total_pages AS input_pages, count(*) FILTER (page_no > total_page
   count(DISTINCT signature_no) AS total_signatures FROM sl GROUP BY doc_id, total_pages""",
         "variant_fanout": f"WITH {everything} SELECT book_id, section_idx, profile, variant, n_items, html_bytes, text_bytes FROM mm",
         "unknown_variants": f"""SELECT DISTINCT v AS variant FROM (SELECT ({names})[doc_id % 5 + 1] AS v FROM documents)
-WHERE v NOT IN ({', '.join(sorted({O.lit(v[1]) for v in S.VARIANTS}))})""",
+WHERE v NOT IN ({', '.join(sorted({O.lit(v[1]) for v in O.P.VARIANTS}))})""",
         "variant_outputs": f"""WITH {BOOKS_SQL}, {vi(profile('script'))},
 tx AS (SELECT book_id, section_idx, variant, {O.strip("string_agg(text, chr(10)||chr(10) ORDER BY item_idx)")} AS t FROM hvi GROUP BY book_id, section_idx, variant),
 ct AS (SELECT book_id, variant, count(*) AS n_sections, sum(length(t))::BIGINT AS n_chars,
@@ -236,7 +236,7 @@ FROM ct JOIN sl USING (book_id)""",
   sum(text_bytes)::DOUBLE / 1048576 AS text_mb FROM mm WHERE profile = 'app' GROUP BY book_id, variant""",
         "preview_samples": f"""WITH {before}, r AS (SELECT *, (row_number() OVER (PARTITION BY book_id ORDER BY section_idx))::INT AS sample_no FROM ba)
 SELECT book_id, sample_no, heading, {trim('before')} AS before, {trim('after')} AS after FROM r WHERE sample_no <= 3""",
-        "changed_sections": f"""WITH {vi(S.VARIANTS)},
+        "changed_sections": f"""WITH {vi(O.P.VARIANTS)},
 bt AS (SELECT book_id, section_idx, pos, text FROM hleaf UNION ALL
        SELECT book_id, section_idx, pos, '***' FROM hkept WHERE {O.matches('t', r'(?i)^<hr[\s/>]')}),
 bf AS (SELECT book_id, section_idx, {O.strip("string_agg(text, chr(10)||chr(10) ORDER BY pos)")} AS before FROM bt GROUP BY book_id, section_idx),

@@ -1,10 +1,14 @@
-"""Registered queries: page breaks, sections on sheets, unique slugs, changed paragraphs, with oracles."""
+"""Registered queries: page breaks, sections on sheets, unique slugs, changed paragraphs and books,
+with oracles."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .. import settings as S
 from ..operators import books as B
 from ..operators import imposition as I
+from ..operators import incremental as C
 from ..operators import layout as L
 from ..operators import pages as P
 from ..operators import variants as V
@@ -38,7 +42,19 @@ def _changes(s, d):
     return V.paragraph_changes(X.book_sections(s, d), S.variant_groups(s))
 
 
+def _edited(s, d):
+    """The sections of every book with some edited, moved, left out, and one book under another name."""
+    i = F.col("section_idx")
+    sections = X.book_sections(s, d).filter((F.col("book_id") != "src5") & (i % 400 != 3))
+    return sections.select(
+        F.when(F.col("book_id") == "src6", "late").otherwise(F.col("book_id")).alias("book_id"),
+        F.when(i % 400 == 7, i + 1_000_000).otherwise(i).alias("section_idx"), "heading",
+        F.when(i % 400 == 8, F.concat("html", F.lit("<p>more</p>"))).otherwise(F.col("html")).alias("html"))
+
+
 QUERIES = {
+    "book_contents": lambda s, d: C.book_contents(X.book_sections(s, d)),
+    "changed_books": lambda s, d: C.compare_contents(C.book_contents(X.book_sections(s, d)), C.book_contents(_edited(s, d))),
     "page_breaks": lambda s, d: P.page_breaks(_items(s, d), X.wanted_layouts(s, d), _boxes(s)),
     "section_pages": _ranges,
     "section_sheets": _sheets,
@@ -179,12 +195,24 @@ ch AS (SELECT book_id, section_idx, profile, variant, change, (f - 1)::INT AS be
        FROM al2 JOIN pr ON pr.a = al2.a AND pr.b = al2.b JOIN ed USING (id))"""
 
 
+def _contents_sql(src: str) -> str:
+    return (f"SELECT book_id, count(*) || ':' || sum(('0x' || substr(sha256(section_idx || ':' || heading || chr(31) || html), 1, 15))"
+            f"::BIGINT::HUGEINT) AS content FROM {src} GROUP BY book_id")
+
+
 def _oracles() -> dict[str, str]:
-    changes = _change_sql(O.variants_cte(S.VARIANTS))
+    changes = _change_sql(O.variants_cte(O.P.VARIANTS))
     from .queries_books import ORACLES as books
 
     slugs = books["book_slugs"]
     return {
+        "book_contents": f"WITH {book_sections_sql()} {_contents_sql('book')}",
+        "changed_books": f"""WITH {book_sections_sql()}, ed AS (SELECT CASE book_id WHEN 'src6' THEN 'late' ELSE book_id END AS book_id,
+  CASE WHEN section_idx % 400 = 7 THEN section_idx + 1000000 ELSE section_idx END AS section_idx, heading,
+  CASE WHEN section_idx % 400 = 8 THEN html || '<p>more</p>' ELSE html END AS html FROM book WHERE book_id <> 'src5' AND section_idx % 400 <> 3),
+a AS ({_contents_sql('book')}), b AS ({_contents_sql('ed')})
+SELECT book_id, CASE WHEN a.content IS NULL THEN 'new' WHEN b.content IS NULL THEN 'removed' WHEN a.content = b.content THEN 'unchanged' ELSE 'changed' END AS status
+FROM a FULL JOIN b USING (book_id)""",
         "page_breaks": f"""{_page_sql()} SELECT br.book_id, br.layout_id, br.section_idx, before + page AS page, first_paragraph, first_line
 FROM br JOIN numbered USING (book_id, layout_id, section_idx)""",
         "section_pages": f"{_page_sql()} SELECT * FROM rng",

@@ -6,13 +6,14 @@ heading, cleaning) is done on the resulting rows by Spark.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..functions import html as H
 from ..functions import patterns as P
 from ..functions.expr import compute
 from ..functions.text import py_strip
 from ..operators.html import heading_of
+from ..operators.observe import counted
 
 ENTRY_SCHEMA = (
     "path string, section_idx int, xhtml string, title string, creator string, error string"
@@ -110,19 +111,28 @@ def rejected_archives(entries: DataFrame) -> DataFrame:
     return entries.filter(F.col("error").isNotNull()).select("path", "error")
 
 
-def epub_sections(entries: DataFrame) -> DataFrame:
-    """``(path, section_idx, title, author, heading, html)``; empty bodies are dropped."""
+def epub_sections(entries: DataFrame, observation: Observation | None = None) -> DataFrame:
+    """``(path, section_idx, title, author, heading, html)``; empty bodies are dropped.
+
+    An ``observation`` counts what goes by while the sections are written or collected:
+    ``sections_read``, ``sections_dropped`` (empty bodies) and ``archives_rejected``.
+    """
 
     def named(c, default):
         return F.when(F.coalesce(F.col(c), F.lit("")) != "", py_strip(F.col(c))).otherwise(default)
 
-    bodies = entries.filter(F.col("error").isNull()).select(
+    good = F.col("error").isNull()
+    read = entries if observation is not None else entries.filter(good)
+    bodies = read.select(
         "path", "section_idx",
         named("title", P.UNKNOWN_TITLE).alias("title"),
         named("creator", P.UNKNOWN_AUTHOR).alias("author"),
-        "xhtml",
+        "xhtml", "error",
     )
-    bodies = compute(bodies, "html", H.body_content(F.col("xhtml")))
+    bodies = compute(bodies, "html", F.when(good, H.body_content(F.col("xhtml"))))
+    if observation is not None:
+        bodies = counted(bodies, observation, {
+            "sections_read": good, "sections_dropped": good & (F.col("html") == ""), "archives_rejected": ~good})
     return bodies.filter(F.col("html") != "").select(
         "path", "section_idx", "title", "author", heading_of("html").alias("heading"), "html"
     )

@@ -164,10 +164,18 @@ def test_running_totals(spark, bits):
     rng = random.Random(bits)
     rows = [("hot" if i % 3 else f"k{i % 50}", i * 7 % 1000, rng.randint(0, 9)) for i in range(1000)]
     df = spark.createDataFrame(rows, "k string, i int, v long")
-    got = {(r.k, r.i): r.t for r in running_totals(df, ["k"], "i", "v", "t", bits).collect()}
+    got = {(r.k, r.i): r.t for r in running_totals(df, ["k"], "i", F.col("v"), "t", bits).collect()}
     assert got == {(k, i): sum(v2 for k2, i2, v2 in rows if k2 == k and i2 < i) for k, i, _ in rows}
 
 
+def test_lines_are_filled_once(spark):
+    df = registry.queries()["page_breaks"](spark, SMALL)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+    assert "ReusedExchange" in final
+
+
 def test_ranks_of_a_hot_key_meet_in_no_group(spark):
     n = 60_000
     df = spark.range(n).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
