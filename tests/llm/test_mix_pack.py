@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import islice
 
 import corpus_pipeline
 import numpy as np
@@ -33,6 +34,50 @@ def test_schedule_deviates_by_less_than_one_block(weights, slots):
     assert given_ == Counter(shares)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.integers(1, 6), st.integers(1, 500)), min_size=1, max_size=9), st.integers(1, 60), st.integers(1, 500))
+def test_pieces_are_the_one_schedule(shares, length, end):
+    period = sum(shares)
+    names = {f"{i:03d}": p for i, p in enumerate(shares)}
+    want = [(int(s), k, t) for s, k, t in islice(mixing.turns(names), end)]
+    got, waiting = [], set()
+    for first, last in mixing.pieces_of(shares, period, end, length):
+        got += mixing.Piece(shares, period, first, last, waiting).turns()
+        tried = mixing.Piece(shares, period, first, last)
+        list(tried.turns())
+        left = set(mixing.ones(mixing.bits(tried.left, len(shares))))
+        waiting = mixing.Piece(shares, period, first, last, waiting).wait_on(tried.idle, left)
+    assert got == want
+    given_ = Counter()
+    for i, _, t in got:  # less than one block from its due, for every source at every slot
+        given_[i] += 1
+        assert all(abs(given_[s] * period - (t + 1) * p) < period for s, p in enumerate(shares))
+
+
+def test_the_run_is_spelled_in_many_tasks(spark):
+    shares, end = [700, 250, 49, 1], 5000
+    rows = mixing.spelled(spark, shares, end, 300)
+    assert rows.rdd.getNumPartitions() == 17
+    want = [(int(s), k, t) for s, k, t in islice(mixing.turns({str(i): p for i, p in enumerate(shares)}), end)]
+    assert sorted(map(tuple, rows.collect()), key=lambda r: r[2]) == want
+
+
+def test_a_tiny_source_beside_a_large_one(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(mixing, "PIECE", 500)
+    rows = [(i, "x" * 10, "en", "big") for i in range(6000)] + [(10_000 + i, "y", "en", "tiny") for i in range(3)]
+    out = mixing.mix(make_docs(rows), {"big": 1, "tiny": 1}, block_chars=10)
+    found = out.select("_d.doc_id", "_s", "_block", "_epoch", "_slot").collect()
+    turns = Counter(r._s for r in found)
+    blocks = 6000 + 1  # the last block begins where the last document ends
+    assert turns["big"] == 6000 and abs(turns["tiny"] / 3 - blocks) <= 1
+    # every slot has the block that the schedule gives it
+    plan = {(s, k): t for s, k, t in islice(mixing.turns({"big": 1, "tiny": 1}), 2 * blocks)}
+    assert all(r._slot == plan[r._s, r._epoch + r._block if r._s == "tiny" else r._block] for r in found)
+    # no cell holds more than a chunk of a block's turns
+    plan_text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_chunk" in plan_text
+
+
 def test_mixed_documents_keep_their_shares(spark, make_docs):
     rng = random.Random(2)
     rows = [(i, "x" * rng.randint(0, 300), "en", "abc"[min(2, i % 5)]) for i in range(900)]
