@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import re
 import zlib
+from collections import Counter
 
 from cases import HARD, SMALL
 from pyspark.sql import functions as F
@@ -166,6 +168,66 @@ def test_registered_pages_match_their_articles(spark):
         assert r.n_chars == len(r.text)
 
 
+def article_blocks(source):
+    import html
+    import re
+
+    inside = re.search(r"(?s)<article>(.*?)</article>", source)[1]
+    blocks = (" ".join(html.unescape(re.sub(r"</?b>|<br>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", inside))
+    return "\n".join(b for b in blocks if b)
+
+
+def test_given_pages_without_names(spark):
+    """No article, nav, footer or telling class is left: the pages' articles are told by what varies."""
+    source = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()
+    swaps = (("<article>", "<div class=x2>"), ("</article>", "</div>"), ("<nav>", "<div class=x0>"), ("</nav>", "</div>"),
+             ('class="ad"', "class=x1"), ("<footer>", "<div class=x3>"), ("</footer>", "</div>"))
+
+    def plain(x):
+        for a, b in swaps:
+            x = x.replace(a, b)
+        return x
+
+    host = lambda u: re.match(r"\w+://([^/?#]+)", u)[1]
+    many = Counter(host(r.url) for r in source)
+    out = extract(spark, [(r.page_id, r.url, plain(r.html)) for r in source])
+    rows = [r for r in source if many[host(r.url)] >= template.MIN_PAGES]
+    right = sum(out[r.page_id] == article_blocks(r.html) for r in rows)
+    assert len(rows) > 100 and right >= 0.98 * len(rows)
+    # without the template the same pages come out wrong
+    alone = sum(template.main_text(template.Page(plain(r.html)), set(), set(), set()) == article_blocks(r.html) for r in rows)
+    assert alone == 0
+
+
+def test_an_advert_that_varies_goes(spark):
+    rows = [page(i, f"<body><div>Buy thing {i * 7} now</div><div><h1>Topic {i}</h1><div><p>Story number {i} is told here, at some length.</p>"
+                    f"<p>It goes on {i}.</p></div></div><div>Seen by {i * 3} readers</div></body>") for i in range(12)]
+    assert extract(spark, rows) == {i: f"Topic {i}\nStory number {i} is told here, at some length.\nIt goes on {i}." for i in range(12)}
+
+
+def test_a_page_of_another_layout_is_read_by_names(spark):
+    rows = [page(i, f"<body><div>Ad {i}</div><div><p>Story {i} with quite a few more words.</p></div></body>") for i in range(12)]
+    rows.append(page(99, "<body><main><p>Other</p></main><footer>F</footer></body>"))
+    out = extract(spark, rows)
+    assert out[99] == "Other" and out[3] == "Story 3 with quite a few more words."
+
+
+def test_stray_quotes_lose_nothing(spark):
+    rows = [page(1, "<article><p title=it's>Hello one</p><p>do not</p><p>don't stop</p></article>"), page(2, '<p><a href="x"">link</a> "text"</p>'),
+            page(3, '<div class="search-results-article"><p>Kept</p></div>'), page(4, "<p a='x>y' b=\"'>\">z</p>")]
+    assert extract(spark, rows) == {1: "Hello one\ndo not\ndon't stop", 2: 'link "text"', 3: "Kept", 4: "z"}
+
+
+def test_deep_pages_take_time_with_their_length():
+    import time
+
+    for source in ("<div>" * 20_000 + "</b>" * 20_000 + "x", "<p><table>" + "<div>" * 20_000 + "<b>" * 20_000 + "x" + "</i>" * 20_000,
+                   "<a" * 30_000, "<div a='" * 20_000 + ">", "<!--" * 20_000):
+        start = time.perf_counter()
+        template.Page(source)
+        assert time.perf_counter() - start < 1
+
+
 def test_classes_nest(spark):
     rows = [page(i, "<body><div class=top><p>A</p></div>" + (f"<div class=mid><p>M</p><b>{i}</b></div>" if i % 2 else "") + "</body>")
             for i in range(12)]
