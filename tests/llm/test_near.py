@@ -90,6 +90,45 @@ def test_links_connect_what_pairs_connect(spark, bands, block):
     assert all(near(r.a % 2**64, r.b % 2**64) for r in links.collect())
 
 
+def clusters(rng, n, size):
+    out = []
+    for _ in range(n):
+        centre = rng.getrandbits(64)
+        for _ in range(size):
+            m = centre
+            for _ in range(rng.randint(0, 3)):
+                m ^= 1 << rng.randrange(64)
+            out.append(m)
+    return np.array(out, dtype="<u8")
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_a_tree_prunes_and_loses_no_pair(seed):
+    rng = random.Random(seed)
+    fp = np.unique(clusters(rng, 40, 60))
+    leaves = simhash.tree_leaves(fp)
+    assert len(leaves) > 20 and sum(len(x) ** 2 for x in leaves) < 0.25 * len(fp) ** 2  # comparisons that are left
+    together = {(a, b) for x in leaves for a in x.tolist() for b in x.tolist()}
+    distance = np.bitwise_count(fp[:, None] ^ fp[None])
+    assert all((a, b) in together for a, b in np.argwhere(distance <= simhash.RADIUS).tolist())
+
+
+def test_pairs_across_a_boundary_are_found(monkeypatch):
+    """Two linked points on either side of the root's boundary."""
+    monkeypatch.setattr(simhash, "SPLIT", 4)
+    monkeypatch.setattr(simhash, "SAVED", 1)
+    monkeypatch.setattr(simhash, "VANTAGES", 1)
+    fp = np.array([(1 << k) - 1 for k in range(0, 64, 2)], dtype="<u8")  # distances 0, 2, 4 ... from the first
+    leaves = simhash.tree_leaves(fp)
+    assert len(leaves) > 2 and sum(map(len, leaves)) > len(fp)  # points near a boundary are on both sides
+    links = simhash.search_leaves(np.zeros(len(fp), dtype=int), fp, np.zeros(len(fp), dtype=int)).view("<u8")
+    roots = {int(x): int(x) for x in fp}
+    for a, b in links.tolist():
+        old, new = roots[a], roots[b]
+        roots = {k: new if v == old else v for k, v in roots.items()}
+    assert len(set(roots.values())) == 1  # a chain of steps of two bits, over every boundary
+
+
 def test_more_bands_for_more_fingerprints():
     assert simhash.bands_for(10**6) == 5
     counts = [simhash.bands_for(10**k) for k in range(3, 13)]
