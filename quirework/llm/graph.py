@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import staged
 
+#: Rounds at most. Labels reach twice as far in each round, so a chain of 2 ** 59 nodes settles.
 MAX_ROUNDS = 60
 
 

@@ -9,7 +9,9 @@ languages, drawn by a hash of the text; copies count once); every text is then r
 entry in ``FAMILIES`` is a family of its own.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is
-every text if nothing is labelled; with a single label every other text gets it.
+every text if nothing is labelled; with a single label every other text gets it. Very long texts
+are read as a whole; rows with equal ids stay separate; an empty table gives no rows; columns
+other than the ones named are not read, whatever they are called.
 """
 
 from __future__ import annotations

@@ -199,7 +199,10 @@ def search(reps: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES,
 def near_classes(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", label: str = "label",
                  threshold: float = THRESHOLD, **options) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row."""
-    rows = vectors.select(F.col(key).alias("id"), F.col(label).cast("long").alias("label"), F.col(embedding).alias("embedding"))
+    whole = dict(vectors.dtypes)[label] in ("tinyint", "smallint", "int", "bigint")
+    # labels of other types are told apart by a hash
+    marked = F.col(label).cast("long") if whole else F.when(F.col(label).isNotNull(), F.xxhash64(label))
+    rows = vectors.select(F.col(key).alias("id"), marked.alias("label"), F.col(embedding).alias("embedding"))
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     valid = (F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", fine)
              & F.exists("embedding", lambda x: x != 0))

@@ -5,7 +5,8 @@ key is kept as a 128-bit digest (h1, h2). The counts are sums, so documents can
 and removed at any time (``change_counts``). Keys in ``min_docs`` documents or more are
 duplicates; each shard (by h1) has a cuckoo filter of its duplicate keys, and the exact
 keys behind it. When counts change, ``change_shards`` inserts the keys that have become
-duplicates and deletes those that no longer are, without building the filter anew.
+duplicates and deletes those that no longer are. A filter that would be more than ``LOAD`` full
+grows: it is built again, with more buckets, from the exact keys behind it.
 
 Use. The keys of all documents are dealt to the shards; the filter answers "no" for nearly
 all of them, and the exact keys confirm the rest. Copies of a shard go to as many salts as
@@ -13,7 +14,8 @@ keep a group at about ``GROUP_ROWS`` occurrences, so a line that a third of all
 share is probed in many tasks, and few duplicate keys do not mean few tasks.
 
 Defined results: a null text is one empty line; a line of white space alone is never a
-duplicate; each row is a document of its own, also with a null or repeated id.
+duplicate; each row is a document of its own, also with a null or repeated id; an empty table
+gives an empty result; other columns of a document are kept in ``_d``, whatever they are called.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ SALTS = 16
 SHARD_KEYS = 50_000
 SLOTS = 4
 MAX_KICKS = 500
+#: Share of a filter's slots that may be taken.
+LOAD = 0.85
 
 
 def line_key(line: bytes) -> bytes:
@@ -57,13 +61,16 @@ class CuckooFilter:
     the keys are. ``delete`` takes away one copy of a key that was inserted before.
     """
 
-    def __init__(self, buckets: np.ndarray, stash: list[tuple[int, int]]):
+    def __init__(self, buckets: np.ndarray, stash: set[tuple[int, int]]):
         self.buckets, self.stash = buckets, stash
 
     @classmethod
     def sized(cls, keys: int) -> CuckooFilter:
-        n = 1 << max(4, int(np.ceil(np.log2(max(1, keys) / (SLOTS * 0.85)))))
-        return cls(np.zeros((n, SLOTS), dtype="<u2"), [])
+        n = 1 << max(4, int(np.ceil(np.log2(max(1, keys) / (SLOTS * LOAD)))))
+        return cls(np.zeros((n, SLOTS), dtype="<u2"), set())
+
+    def has_room(self, keys: int) -> bool:
+        return keys <= LOAD * self.buckets.size
 
     def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Fingerprint and the two buckets of (n, 2) digests."""
@@ -82,20 +89,26 @@ class CuckooFilter:
         mark, one, two = self.places(h)
         found = (self.buckets[one] == mark[:, None]).any(1) | (self.buckets[two] == mark[:, None]).any(1)
         if self.stash:
-            stash = set(self.stash)
-            found |= np.fromiter(((int(a), int(b)) in stash for a, b in h), bool, len(h))
+            found |= np.fromiter(((int(a), int(b)) in self.stash for a, b in h), bool, len(h))
         return found
 
     def insert(self, h: np.ndarray) -> None:
-        rng = np.random.default_rng(len(h))
-        for key, mark, one, two in zip(h, *self.places(h), strict=True):
-            for at in (one, two):
-                free = np.flatnonzero(self.buckets[at] == 0)
-                if len(free):
-                    self.buckets[at, free[0]] = mark
+        """Keys go to free slots in rounds, one key a bucket in each; what finds none kicks others out."""
+        mark, *buckets = self.places(h)
+        left = np.arange(len(h))
+        for at in buckets:
+            for _ in range(SLOTS):
+                free = self.buckets[at[left]] == 0
+                able = np.flatnonzero(free.any(1))
+                if not len(able):
                     break
-            else:
-                self.kick(key, mark, one, rng)
+                _, first = np.unique(at[left[able]], return_index=True)
+                chosen = able[first]
+                self.buckets[at[left[chosen]], free[chosen].argmax(1)] = mark[left[chosen]]
+                left = np.delete(left, chosen)
+        rng = np.random.default_rng(len(h))
+        for i in left:
+            self.kick(h[i], mark[i], buckets[0][i], rng)
 
     def kick(self, key: np.ndarray, mark: int, at: int, rng: np.random.Generator) -> None:
         path = []
@@ -109,7 +122,7 @@ class CuckooFilter:
                 return
         for where, slot, old in reversed(path):  # no place: leave all as it was
             self.buckets[where, slot] = old
-        self.stash.append((int(key[0]), int(key[1])))
+        self.stash.add((int(key[0]), int(key[1])))
 
     def delete(self, h: np.ndarray) -> None:
         for key, mark, one, two in zip(h, *self.places(h), strict=True):
@@ -124,13 +137,13 @@ class CuckooFilter:
                     break
 
     def row(self) -> tuple[bytes, bytes]:
-        return self.buckets.tobytes(), np.array(self.stash, dtype="<i8").tobytes()
+        return self.buckets.tobytes(), np.array(sorted(self.stash), dtype="<i8").tobytes()
 
     @classmethod
     def from_row(cls, buckets: bytes, stash: bytes) -> CuckooFilter:
         pairs = np.frombuffer(stash, dtype="<i8").reshape(-1, 2)
         return cls(np.frombuffer(buckets, dtype="<u2").reshape(-1, SLOTS).copy(),
-                   [(int(a), int(b)) for a, b in pairs])
+                   {(int(a), int(b)) for a, b in pairs})
 
 
 # ---------------------------------------------------------------- state
@@ -215,7 +228,7 @@ def build_shards(counts: DataFrame, n_shards: int, min_docs: int = MIN_DOCS) ->
 def change_shards(shards: DataFrame, before: DataFrame, after: DataFrame, n_shards: int,
                   min_docs: int = MIN_DOCS) -> DataFrame:
     """Shards after the counts changed: keys that crossed the bound are inserted into or
-    deleted from the filters as they are; no other key is touched."""
+    deleted from the filters; no other key is touched, unless a filter has to grow."""
     def many(counts: DataFrame, sign: int) -> DataFrame:
         return counts.filter(F.col("n_docs") >= min_docs).select("h1", "h2", F.lit(sign).alias("way"))
 
@@ -231,11 +244,16 @@ def change_shards(shards: DataFrame, before: DataFrame, after: DataFrame, n_shar
             keys = np.frombuffer(old["keys"][0], dtype="<i8").reshape(-1, 2)
         else:
             f, keys = CuckooFilter.sized(len(came)), np.zeros((0, 2), dtype="<i8")
-        f.delete(went)
-        f.insert(came)
         gone = set(map(tuple, went.tolist()))
         keys = np.array([k for k in map(tuple, keys.tolist()) if k not in gone], dtype="<i8").reshape(-1, 2)
-        return _as_row(key[0], f, np.concatenate([keys, came]))
+        keys = np.concatenate([keys, came])
+        if f.has_room(len(keys)):
+            f.delete(went)
+            f.insert(came)
+        else:
+            f = CuckooFilter.sized(len(keys))
+            f.insert(keys)
+        return _as_row(key[0], f, keys)
 
     return shards.groupBy("shard").cogroup(moved.groupBy("shard")).applyInPandas(one, SHARD_ROW)
 

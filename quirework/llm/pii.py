@@ -9,7 +9,9 @@ the threshold become known and lend their score to further patterns in the next
 Only patterns that nearly always announce an identifier get anywhere; common words do not.
 
 Defined results: a null text counts as empty; rows with equal ids stay separate; an empty
-table gives no rows.
+table gives no rows; very long texts are scanned as a whole; columns other than the ones named
+are not read, whatever they are called. Patterns are single words of less than 48 characters
+(``spans.CONTEXT``): what stands farther before a match is not looked at.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ one or two owners looks like a live credential. Matches of the three fixed forms
 access, hex) are always reported; opaque tokens are added where ownership says "live".
 
 Defined results: a null text counts as empty; a null owner or repository counts as one;
-rows with equal ids stay separate; an empty table gives no rows.
+rows with equal ids stay separate; an empty table gives no rows; very long texts are scanned as
+a whole; columns other than the ones named are not read, whatever they are called.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ in one task. Only links that join two groups are emitted (a spanning forest), ne
 
 Defined results: a text without a word (also null) has fingerprint 0 and is linked like any
 other; rows with one text share a fingerprint and collapse before the search; a null id
-never is the smallest id unless its whole component has no other.
+never is the smallest id unless its whole component has no other. Very long texts are hashed as a
+whole; an empty table gives no rows; ``keep_one`` keeps all columns, whatever they are called.
 """
 
 from __future__ import annotations

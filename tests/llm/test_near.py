@@ -196,6 +196,14 @@ def test_vectors_that_cannot_link(spark):
     assert lattice.near_classes(vectors(spark, [])).count() == 0
 
 
+def test_labels_of_any_type(spark):
+    rows = [(1, [1.0, 0.0], "a"), (2, [1.0, 0.0], "a"), (3, [1.0, 0.0], "b"), (4, [1.0, 0.0], None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    assert sorted((r.vec_id, r.component_id) for r in lattice.near_classes(df).collect()) == [(1, 1), (2, 1), (3, 3), (4, 4)]
+    halves = df.withColumn("label", F.when(F.col("vec_id") < 3, 1.5).otherwise(1.0))
+    assert sorted((r.vec_id, r.component_id) for r in lattice.near_classes(halves).collect()) == [(1, 1), (2, 1), (3, 3), (4, 3)]
+
+
 def test_hidden_hot_group_is_split(spark):
     """A third of all vectors at one lattice point meet in blocks, none of them whole."""
     from quirework.llm.common import meetings

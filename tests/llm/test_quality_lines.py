@@ -7,6 +7,8 @@ from collections import Counter, defaultdict
 import numpy as np
 from cases import HARD, LONG, SMALL
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
 from quirework.llm import lines, quality
 from quirework.llm.queries import op1_line_dedup
 
@@ -143,6 +145,26 @@ def test_cuckoo_filter_survives_crowding():
     assert f.contains(keys[:1500]).mean() < 0.01
 
 
+def test_filters_grow_with_their_keys(spark):
+    """From 1,000 to 9,000 duplicate keys: no shard's filter overflows into its stash."""
+    import time
+
+    keys = spark.range(9000).select(F.xxhash64("id").alias("h1"), F.xxhash64("id", F.lit(1)).alias("h2"), "id")
+    before = keys.filter("id < 1000").select("h1", "h2", F.lit(3).alias("n_docs"))
+    after = keys.select("h1", "h2", F.lit(3).alias("n_docs"))
+    shards = lines.build_shards(before, 2, min_docs=3)
+    grown = lines.change_shards(shards, before, after, 2, min_docs=3).collect()
+    every = np.array([(r.h1, r.h2) for r in after.collect()])
+    for r in grown:
+        f = lines.CuckooFilter.from_row(r.buckets, r.stash)
+        assert not f.stash and f.has_room(len(np.frombuffer(r["keys"], dtype="<i8")) // 2)
+        assert f.contains(every[every[:, 0] % 2 == r.shard]).all()
+        assert f.contains(every[every[:, 0] % 2 != r.shard]).mean() < 0.01
+    start = time.perf_counter()
+    lines.CuckooFilter.sized(50_000).insert(np.random.default_rng(2).integers(-2**63, 2**63 - 1, size=(50_000, 2)))
+    assert time.perf_counter() - start < 3
+
+
 def test_a_very_long_text_is_whole(make_docs):
     r = quality.ledger(make_docs([(1, LONG)])).first()
     assert r.n_words == len(WORD.findall(LONG))
