@@ -2,6 +2,11 @@
 
 Each stage takes what its predecessor kept; between stages the documents are written as
 Parquet to the shared folder and read again.
+
+Defined results: null and empty texts fail the word count of the first stage; rows with equal ids
+are documents of their own until one of each near-duplicate group is kept; an empty table gives an
+empty result; very long texts pass all stages whole; further columns stay until documents become
+pieces.
 """
 
 from __future__ import annotations
