@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .expr import fold_text, indices, let
+from .expr import fold_text, indices
 
 #: Width of the characters of a book face; all others have DEFAULT_WIDTH.
 WIDTHS = (
@@ -27,21 +27,25 @@ ORPHANS = WIDOWS = 2
 BLANKS = r"[ \t\n\r\f]+"
 
 
-def word_width(word: Column, widths=WIDTHS, default: int = DEFAULT_WIDTH) -> Column:
-    """Sum of the character widths."""
-    def of(w: Column) -> Column:
-        total = F.length(w) * default
-        for width, characters in widths:
-            total = total + (F.length(w) - F.length(F.translate(w, characters, ""))) * (width - default)
-        return total.cast("bigint")
-
-    return let(word, of)
+def word_widths(text: Column, widths=WIDTHS, default: int = DEFAULT_WIDTH) -> Column:
+    """Widths of the words of a paragraph, in order.
 
+    Each character is first put in place of its width, in one pass over the paragraph; a word is
+    then measured by counting the marks. Marks are characters that no text should hold.
+    """
+    marks = "".join(chr(0xE000 + k) for k in range(len(widths)))
+    other = chr(0xE000 + len(widths))
+    plain = F.translate(
+        text, "".join(characters for _, characters in widths) + marks,
+        "".join(mark * len(characters) for mark, (_, characters) in zip(marks, widths, strict=True)) + other * len(marks))
+
+    def measured(word: Column) -> Column:
+        total = F.length(word) * (default + sum(width - default for width, _ in widths))
+        for mark, (width, _) in zip(marks, widths, strict=True):
+            total = total - F.length(F.replace(word, F.lit(mark), F.lit(""))) * (width - default)
+        return total.cast("bigint")
 
-def word_widths(text: Column, widths=WIDTHS, default: int = DEFAULT_WIDTH) -> Column:
-    """Widths of the words of a paragraph, in order."""
-    words = F.filter(F.split(text, BLANKS), lambda w: w != "")
-    return F.transform(words, lambda w: word_width(w, widths, default))
+    return F.transform(F.filter(F.split(plain, BLANKS), lambda w: w != ""), measured)
 
 
 def line_count(sizes: Column, measure: Column, indent: Column, space: int = SPACE_WIDTH) -> Column:
