@@ -1,7 +1,7 @@
 """Phrase collocations, scored from sorted streams of counts.
 
 **Counting.** Unigrams first, then phrases of two words, three, and so on, one pass over the
-texts each. A phrase can be frequent only if the two phrases one word shorter within it are,
+texts each; the last two lengths share a pass. A phrase can be frequent only if the two phrases one word shorter within it are,
 so a pass counts only occurrences whose two shorter phrases may be frequent. It knows that from
 a bit table of hashes of the frequent shorter phrases, at most ``MAX_BITS`` bits: where hashes
 meet, a few occurrences too many are counted, none is left out, and counts are of the phrases
@@ -180,9 +180,10 @@ def unigrams():
     return lambda lang, words: words
 
 
-def of_length(m: int, known: np.ndarray, shorter: np.ndarray | None):
+def of_length(m: int, known: np.ndarray, shorter: np.ndarray | None, longer_too: bool = False):
     """Phrases of m words all of which ``known`` may hold, and whose two phrases of m - 1 words
-    ``shorter`` may hold."""
+    ``shorter`` may hold; with ``longer_too`` also those of m + 1 words whose two phrases of m words
+    are among these."""
     def make():
         codes: dict[str, Codes] = {}
 
@@ -203,7 +204,10 @@ def of_length(m: int, known: np.ndarray, shorter: np.ndarray | None):
                 for k in range(1, m - 1):
                     first, second = longer(first, code[at + k]), longer(second, code[at + k + 1])
                 at = at[held(shorter, first) & held(shorter, second)]
-            return [b" ".join(words[i: i + m]) for i in at.tolist()]
+            out = [b" ".join(words[i: i + m]) for i in at.tolist()]
+            if longer_too:
+                out += [b" ".join(words[i: i + m + 1]) for i in at[:-1][np.diff(at) == 1].tolist()]
+            return out
 
         return find
 
@@ -220,8 +224,11 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
     found = [single.filter(F.col("f") >= min_count)]
     known, shorter = bit_table(found[0], 1), None
     for m in range(2, max_words + 1):
-        more = counted(texts, of_length(m, known, shorter)).filter(F.col("f") >= min_count)
+        last_two = m == max_words - 1 and m > 2
+        more = counted(texts, of_length(m, known, shorter, last_two)).filter(F.col("f") >= min_count)
         found.append(staged(more, f"phrases-{m}"))
+        if last_two:
+            break
         if m < max_words:
             shorter = bit_table(found[-1], m)
     out = found[0]
