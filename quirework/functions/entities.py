@@ -40,13 +40,7 @@ def named_value(name: Column) -> Column:
             (at + step <= len(names)) & (F.get(table, at + step - 1) <= n), at + step).otherwise(at))
         return let(place, lambda at: F.when((at > 0) & (F.get(table, at - 1) == n), F.get(values, at - 1)))
 
-    def either(n: Column) -> Column:
-        out = F.when(n == FREQUENT[0], html5[f"{FREQUENT[0]};"])
-        for f in FREQUENT[1:]:
-            out = out.when(n == f, html5[f"{f};"])
-        return out.otherwise(found(n))
-
-    return let(name, either)
+    return let(name, found)
 
 
 def _c1(n: int) -> str:
@@ -87,7 +81,7 @@ def _named(ref: Column, attribute: bool) -> Column:
     """A name with its semicolon, or else the longest name at its beginning that needs none. In an
     attribute a name without semicolon must be the whole reference."""
     short = "|".join(_short_names())
-    name = F.regexp_replace(F.substring(ref, 2, 64), ";$", "")
+    name = F.substring_index(F.substring(ref, 2, 64), ";", 1)
     whole = F.when(ref.endswith(";"), named_value(name))
     if attribute:
         rest = F.when(name.rlike(f"^(?:{short})$") & ~ref.endswith(";"), named_value(name))
@@ -102,12 +96,12 @@ def decode(c: Column, attribute: bool = False) -> Column:
     # in an attribute a name before an equals sign is a parameter of a query
     end = "(?:;|(?!=))" if attribute else ";?"
     part = rf"&(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[A-Za-z][A-Za-z0-9]*+{end})|[^&]++|&"
-    decoded = F.array_join(
-        F.transform(
-            F.regexp_extract_all(c, F.lit(part), F.lit(0)),
-            lambda t: F.when(~t.startswith("&") | (F.length(t) < 3), t)
-            .when(F.substring(t, 2, 1) == "#", _numeric(t)).otherwise(_named(t, attribute)),
-        ),
-        "",
-    )
+
+    def one(t: Column) -> Column:
+        out = F.when(~t.startswith("&") | (F.length(t) < 3), t)
+        for name in FREQUENT:
+            out = out.when(t == f"&{name};", html5[f"{name};"])
+        return out.when(F.substring(t, 2, 1) == "#", _numeric(t)).otherwise(_named(t, attribute))
+
+    decoded = F.array_join(F.transform(F.regexp_extract_all(c, F.lit(part), F.lit(0)), one), "")
     return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
