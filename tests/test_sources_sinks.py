@@ -98,3 +98,16 @@ def test_row_local_operators_accept_a_stream(spark, tmp_path):
     query.awaitTermination(120)
     batch = B.clean_section_text(B.fan_out(B.section_items(sections), S.variant_groups(spark, "app")))
     assert spark.read.parquet(str(tmp_path / "out")).count() == batch.count() > 0
+
+
+def test_archives_leave_in_bounded_batches(tmp_path):
+    import pyarrow as pa
+
+    write_epub(tmp_path / "a.epub", "", {"OPS/text/b.xhtml": "x" * 300_000, "OPS/text/a a.xhtml": "y"})
+    content = (tmp_path / "a.epub").read_bytes()
+    batch = pa.RecordBatch.from_pydict({"path": [str(k) for k in range(20)], "content": [content] * 19 + [b"no"]})
+    found = list(epub._entry_reader()([batch]))
+    held = [sum(len(x or "") for x in b.column("xhtml").to_pylist()) for b in found]
+    assert len(found) > 3 and max(held) <= epub.FRAME_CHARS + 300_000 and sum(b.num_rows for b in found) == 39
+    assert found[-1].to_pylist()[-1] == {
+        "path": "19", "section_idx": None, "xhtml": None, "title": None, "creator": None, "error": "BadZipFile"}
