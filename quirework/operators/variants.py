@@ -8,9 +8,9 @@ from .. import settings as S
 from ..functions import html as H
 from ..functions import merge as M
 from ..functions import naming as N
-from ..functions import patterns as P
 from ..functions.expr import compute, let
-from ..functions.text import py_rstrip, py_strip
+from ..functions.text import py_rstrip, py_strip, squeeze_spaces
+from ..sources.tables import bound_batches
 from . import books as B
 from . import imposition as I
 from .html import items_of_tokens, with_tokens
@@ -223,21 +223,17 @@ def changed_sections(sections: DataFrame, groups: DataFrame, drop_notes: bool =
 
 
 CHANGE_SCHEMA = ("book_id {book}, section_idx {section}, names array<struct<profile:string,variant:string>>, "
-                 "change string, before_first int, before_last int, after_idx int")
+                 "changes array<struct<change:string,before_first:int,before_last:int,after_idx:int>>")
 #: Bytes of paragraphs that go to a Python worker at once, about, and changes that come back.
 CHANGE_BYTES, CHANGE_ROWS = 4 << 20, 50_000
 
 
 def raw_paragraphs(tokens):
     """Leaves and scene marks of a section as they stand, white space squeezed, without empty ones."""
-    squeezed = F.transform(raw_blocks(tokens), squeeze)
+    squeezed = F.transform(raw_blocks(tokens), squeeze_spaces)
     return F.filter(squeezed, lambda x: x != "")
 
 
-def squeeze(c):
-    return py_strip(F.regexp_replace(c, f"[{P.SPACE}]+", " "))
-
-
 def paragraph_changes(sections: DataFrame, groups: DataFrame, drop_notes: bool = False) -> DataFrame:
     """``(book_id, section_idx, profile, variant, change, before_first, before_last, after_idx)``:
     the shortest edit script from the paragraphs of a section as they stand to those that a
@@ -245,12 +241,11 @@ def paragraph_changes(sections: DataFrame, groups: DataFrame, drop_notes: bool =
 
     A paragraph is kept, removed, inserted, or joined from two or more (``before_first`` to
     ``before_last``); every paragraph of both sides is in one row. Variants with equal switches
-    are compared once. The comparison needs a table of lengths, so it runs on Arrow batches
-    in Python, a section at a time; sections that agree are told apart at once.
+    are compared once, and so are those that make the same of a section. The comparison needs a
+    table of lengths, so it runs on Arrow batches in Python, a section at a time; sections that
+    agree are told apart at once.
     """
-    conf, key = sections.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(conf.get(key).removesuffix("b")) > CHANGE_BYTES:
-        conf.set(key, str(CHANGE_BYTES))
+    bound_batches(sections.sparkSession, CHANGE_BYTES)
     kinds = dict(sections.dtypes)
     schema = CHANGE_SCHEMA.format(book=kinds["book_id"], section=kinds["section_idx"])
     tokens = with_tokens(sections.select("book_id", "section_idx", "html"), "html", drop_notes)
@@ -258,11 +253,11 @@ def paragraph_changes(sections: DataFrame, groups: DataFrame, drop_notes: bool =
     items = compute(before, "items", items_of_tokens()).drop("tokens", "html")
 
     def compared(df):
-        after = compute(df, "after", F.filter(F.transform("items", lambda x: squeeze(x["text"])), lambda x: x != ""))
+        after = compute(df, "after", F.filter(F.transform("items", lambda x: squeeze_spaces(x["text"])), lambda x: x != ""))
         return after.select("book_id", "section_idx", "names", "before", "after").mapInArrow(_changes(), schema)
 
     return B.fan_out(items, groups, compared).select(
-        "book_id", "section_idx", "profile", "variant", "change", "before_first", "before_last", "after_idx")
+        "book_id", "section_idx", "profile", "variant", F.inline("changes"))
 
 
 def _changes():
@@ -271,23 +266,38 @@ def _changes():
 
         from quirework.functions.edits import script
 
-        def packed(batch, rows):
-            at, found = zip(*rows, strict=True) if rows else ((), ())
-            change, first, last, after = zip(*found, strict=True) if found else ((),) * 4
-            keys = batch.take(pa.array(at, pa.int32())).select(["book_id", "section_idx", "names"])
-            columns = [pa.array(change, pa.string()), *[pa.array(c, pa.int32()) for c in (first, last, after)]]
-            return pa.RecordBatch.from_arrays(
-                [*keys.columns, *columns],
-                names=["book_id", "section_idx", "names", "change", "before_first", "before_last", "after_idx"])
+        kinds = (pa.string(), *[pa.int32()] * 3)
+        names = ("change", "before_first", "before_last", "after_idx")
+
+        def columns(changes):
+            parts = zip(*changes, strict=True) if changes else ((),) * 4
+            return len(changes), [pa.array(p, k) for p, k in zip(parts, kinds, strict=True)]
+
+        def packed(keys, found):
+            sizes = [0]
+            for n, _ in found:
+                sizes.append(sizes[-1] + n)
+            parts = [pa.concat_arrays(p) for p in zip(*[f for _, f in found], strict=True)]
+            changes = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(parts, names))
+            return pa.RecordBatch.from_arrays([*keys.columns, changes], names=["book_id", "section_idx", "names", "changes"])
 
+        before, done = None, []  # the section at hand, and what was found for it
         for batch in batches:
-            rows = []
-            for at, (before, after) in enumerate(zip(batch.column("before"), batch.column("after"), strict=True)):
-                rows += [(at, change) for change in script(before.as_py(), after.as_py())]
-                if len(rows) > CHANGE_ROWS:
-                    yield packed(batch, rows)
-                    rows = []
-            yield packed(batch, rows)
+            keys, start, found, size = batch.select(["book_id", "section_idx", "names"]), 0, [], 0
+            for at, (old, new) in enumerate(zip(batch.column("before"), batch.column("after"), strict=True)):
+                if before is None or not old.equals(before):
+                    before, done, paragraphs = old, [], old.as_py()
+                known = next((f for after, f in done if after.equals(new)), None)
+                if known is None:
+                    known = columns(script(paragraphs, new.as_py()))
+                    done.append((new, known))
+                found.append(known)
+                size += known[0]
+                if size > CHANGE_ROWS:
+                    yield packed(keys.slice(start, at + 1 - start), found)
+                    start, found, size = at + 1, [], 0
+            if found:
+                yield packed(keys.slice(start), found)
 
     return run
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 from functools import lru_cache
 
 from hypothesis import given, settings, strategies as st
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quirework import settings as S
 from quirework.functions import edits
+from quirework.operators import books as B
 from quirework.operators import variants as V
 from quirework.plans import fixtures as X
 
@@ -115,3 +117,22 @@ def test_changes_of_tables(spark):
         ("b", 1, "kept", 0, 0), ("b", 1, "kept", 1, 1), ("c", 1, "kept", 0, 0)]
     counts = V.change_counts(got).collect()
     assert {(r.book_id, r.section_idx): (r.kept, r.joined, r.removed, r.inserted) for r in counts} == {("b", 1): (2, 0, 0, 0), ("c", 1): (1, 0, 0, 0)}
+
+
+def test_variants_that_differ_in_line_switches_share_a_section(spark):
+    sections = spark.createDataFrame(
+        [("b", 1, "", "<p>a,</p><p>b</p>"), ("b", 2, "", "<p>a\n***\nb</p>")], "book_id string, section_idx int, heading string, html string")
+    groups = S.variant_groups(spark)
+    ways = B.fan_out(B.section_items(sections), groups, lambda df: df.withColumn("way", F.monotonically_increasing_id()))
+    counts = {r.section_idx: r.n for r in ways.groupBy("section_idx").agg(F.count_distinct("way").alias("n")).collect()}
+    assert counts == {1: len({v[4:6] + v[7:] for v in S.VARIANTS}), 2: groups.count()}
+    assert ways.filter("section_idx = 1").count() == len(S.VARIANTS)
+
+
+def test_long_tables_are_rows_of_bits():
+    rng = random.Random(2)
+    a, b = ([rng.choice("abcdef") for _ in range(4000)] for _ in range(2))
+    start = time.process_time()
+    pairs = edits.common(a, b)
+    seconds = time.process_time() - start
+    assert all(a[i] == b[j] for i, j in pairs) and len(pairs) > 2000 and seconds < 0.5
