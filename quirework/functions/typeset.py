@@ -6,6 +6,7 @@ order of additions. Heights are hundredths of a line.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from .expr import fold_text, indices
@@ -66,6 +67,62 @@ def line_count(sizes: Column, measure: Column, indent: Column, space: int = SPAC
     return F.aggregate(sizes, state(F.lit(0), measure), add, lambda acc: acc["lines"])
 
 
+def section_lines(widths=WIDTHS, default: int = DEFAULT_WIDTH, space: int = SPACE_WIDTH):
+    """A function of texts (null for a scene break), whether each of them is indented, a heading and
+    boxes ``(measure, heading_measure, indent)``: for each box the lines of every text (-1 for a
+    scene break) and of the heading.
+
+    Widths and lines are those of ``word_widths`` and ``line_count``. A fold of Spark's takes a
+    dozen small steps for each word and box; here it is one addition, on Arrow batches.
+    """
+    kind = "array<struct<counts:array<int>,heading:int>>"
+
+    @F.arrow_udf(kind)
+    def lines(texts: pa.Array, indented: pa.Array, headings: pa.Array, boxes: pa.Array) -> pa.Array:
+        from bisect import bisect_right
+
+        import numpy as np
+        import pyarrow as pa
+
+        table = np.full(1 << 16, default, np.int64)
+        for w, characters in widths:
+            table[[ord(c) for c in characters]] = w
+        blanks = np.zeros(1 << 16, bool)
+        blanks[[ord(c) for c in " \t\n\r\f"]] = True
+
+        def ends(paragraphs: list[str]) -> tuple[list[int], list[int]]:
+            """Places of the ends of all words as if they stood in one line, a space behind each,
+            and how many words there are up to each paragraph's end."""
+            codes = np.frombuffer("\n".join([*paragraphs, ""]).encode("utf-32-le"), np.uint32)
+            codes = np.minimum(codes, len(table) - 1)
+            blank = blanks[codes]
+            last = np.flatnonzero(~blank[:-1] & blank[1:])
+            placed = np.cumsum(np.where(blank, 0, table[codes]))[last] + space * np.arange(1, len(last) + 1)
+            stops = np.cumsum([len(p) + 1 for p in paragraphs]) - 1
+            return placed.tolist(), np.searchsorted(last, stops).tolist()
+
+        def count(of: list[int], first: int, stop: int, measure: int, indent: int) -> int:
+            n, room = 0, measure + space - indent
+            while first < stop:
+                first = max(bisect_right(of, room + (of[first - 1] if first else 0), first, stop), first + 1)
+                n, room = n + 1, measure + space
+            return n
+
+        out = []
+        for paragraphs, flags, heading, wanted in zip(texts, indented, headings, boxes, strict=True):
+            paragraphs, flags = paragraphs.as_py(), flags.as_py()
+            of, stops = ends([*[p or "" for p in paragraphs], heading.as_py()])
+            firsts = [0, *stops]
+            parts = list(zip(paragraphs, flags, firsts, stops))  # without the heading, which is last
+            out.append([{
+                "counts": [-1 if p is None else count(of, first, stop, b["measure"], b["indent"] if f else 0)
+                           for p, f, first, stop in parts],
+                "heading": count(of, firsts[-2], stops[-1], b["heading_measure"], 0)} for b in wanted.as_py()])
+        return pa.array(out, pa.list_(pa.struct([("counts", pa.list_(pa.int32())), ("heading", pa.int32())])))
+
+    return lines
+
+
 def on_empty_page(rest: Column, lines: Column) -> tuple[Column, Column, Column]:
     """(lines on this page, pages begun after it, lines on the last one) when ``rest`` > 0 lines
     start on an empty page of so many ``lines``. No page ends so that one line is left over."""

@@ -114,12 +114,18 @@ def with_capacities(sections: DataFrame, pairs: DataFrame, columns=CAPACITY) ->
     """Every section once per different capacity that its book is wanted in.
 
     Layouts of one capacity give the same pages, so the work follows the capacities, not the
-    layouts. The lists are joined by book, with the sections of a large book spread."""
-    lists = pairs.groupBy("book_id").agg(F.collect_set(F.struct(*columns)).alias("_caps"))
-    joined = salted_join(sections, lists, ["book_id"], ["section_idx"])
+    layouts."""
+    joined = with_capacity_lists(sections, pairs, columns)
     return joined.withColumn("_cap", F.explode("_caps")).select(*sections.columns, "_cap.*")
 
 
+def with_capacity_lists(sections: DataFrame, pairs: DataFrame, columns=CAPACITY) -> DataFrame:
+    """Every section with ``_caps``, the different capacities that its book is wanted in. The lists
+    are joined by book, with the sections of a large book spread."""
+    lists = pairs.groupBy("book_id").agg(F.collect_set(F.struct(*columns)).alias("_caps"))
+    return salted_join(sections, lists, ["book_id"], ["section_idx"])
+
+
 def by_layout(pages: DataFrame, pairs: DataFrame, columns=CAPACITY) -> DataFrame:
     """Rows per book and capacity -> rows per book and wanted layout."""
     return pages.join(pairs, ["book_id", *columns]).drop(*columns)

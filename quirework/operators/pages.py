@@ -9,7 +9,7 @@ from ..functions import typeset as Y
 from ..functions.expr import compute, let
 from ..functions.naming import or_default
 from ..functions.text import py_strip
-from .layout import by_layout, wanted_capacities, with_capacities, with_capacity
+from .layout import by_layout, wanted_capacities, with_capacity, with_capacity_lists
 from .skew import running_totals, salted_join
 
 #: What decides the breaks of a section: thousandths of the font size, lines, hundredths of a line.
@@ -35,27 +35,27 @@ def with_measure(layouts: DataFrame, font_pt: float = S.FONT_SIZE_PT,
     )
 
 
-def _paragraphs() -> Column:
-    """Items as ``(kind, sizes, follows)``: widths of the words, and whether the item before is a
-    paragraph too, which is what indents a paragraph. The same for all layouts."""
-    return let(F.col("items"), lambda items: F.transform(items, lambda x, i: F.struct(
-        x["kind"].alias("kind"), Y.word_widths(x["text"]).alias("sizes"),
-        F.coalesce(F.get(items, i - 1)["kind"] == "p", F.lit(False)).alias("follows"))))
+def _texts() -> Column:
+    """Texts of the paragraphs, null for scene breaks."""
+    return F.transform("items", lambda x: F.when(x["kind"] != "scene", x["text"]))
+
+
+def _follows() -> Column:
+    """Whether the item before is a paragraph too, which is what indents a paragraph."""
+    return let(F.col("items"), lambda items: F.transform(
+        items, lambda x, i: F.coalesce(F.get(items, i - 1)["kind"] == "p", F.lit(False))))
 
 
 def _blocks() -> Column:
-    lines = F.transform("paragraphs", lambda x: F.struct(
-        F.when(x["kind"] == "scene", F.lit(Y.SCENE_HEIGHT)).otherwise(0).alias("height"),
-        F.when(x["kind"] == "scene", F.lit(0)).otherwise(Y.line_count(
-            x["sizes"], F.col("measure"), F.when(x["follows"], F.col("indent")).otherwise(F.lit(0)))).alias("n")))
-    return lines
+    return F.transform("_lines.counts", lambda n: F.struct(
+        F.when(n < 0, F.lit(Y.SCENE_HEIGHT)).otherwise(0).alias("height"), F.greatest(n, F.lit(0)).alias("n")))
 
 
 def _heading_height() -> Column:
     """Hundredths of a line of a heading and the space behind it; 0 without one."""
     scale = S.HEADING_SCALE * 100
-    lines = Y.line_count(F.col("heading_sizes"), F.col("heading_measure"), F.lit(0).cast("bigint"))
-    return F.when(F.size("heading_sizes") > 0, F.round(lines * scale + S.HEADING_SPACE * scale).cast("bigint")).otherwise(
+    lines = F.col("_lines.heading")
+    return F.when(lines > 0, F.round(lines * scale + S.HEADING_SPACE * scale).cast("bigint")).otherwise(
         F.lit(0).cast("bigint"))
 
 
@@ -63,15 +63,19 @@ def section_starts(sections: DataFrame, wanted: DataFrame, layouts: DataFrame) -
     """Sections ``(book_id, section_idx, heading, items)`` -> ``(book_id, *BOX, section_idx, starts)``:
     where the pages of a section begin, once for each different box that its book is wanted in.
 
-    Words are measured before the layouts fan out. Sections without items have no pages.
+    Words are measured once for all boxes of a section, in Arrow batches; lines are then put on
+    pages box by box. Sections without items have no pages.
     """
-    sizes = compute(
-        sections.filter(F.size("items") > 0), "_m",
-        F.struct(_paragraphs().alias("paragraphs"), Y.word_widths(F.coalesce("heading", F.lit(""))).alias("heading_sizes")))
-    measured = sizes.select("book_id", "section_idx", "_m.*")
-    pairs = wanted_capacities(wanted, layouts, BOX)
-    filled = with_capacities(measured, pairs, BOX)
-    lines = compute(filled, "_b", F.struct(_blocks().alias("blocks"), _heading_height().alias("top")))
+    some = sections.filter(F.size("items") > 0)
+    texts = compute(some, "_m", F.struct(_texts().alias("texts"), _follows().alias("follows")))
+    measured = texts.select("book_id", "section_idx", F.coalesce("heading", F.lit("")).alias("heading"), "_m.*")
+    boxed = with_capacity_lists(measured, wanted_capacities(wanted, layouts, BOX), BOX)
+    filled = boxed.select("book_id", "section_idx", "_caps", Y.section_lines()(
+        "texts", "follows", "heading", F.transform("_caps", lambda c: F.struct(
+            *[c[name].cast("bigint").alias(name) for name in ("measure", "heading_measure", "indent")]))).alias("_filled"))
+    each = filled.select("book_id", "section_idx", F.inline(F.arrays_zip(F.col("_caps").alias("_cap"), F.col("_filled").alias("_lines"))))
+    lines = compute(each.select("book_id", "section_idx", "_cap.*", "_lines"), "_b",
+                    F.struct(_blocks().alias("blocks"), _heading_height().alias("top")))
     blocks, page = F.col("_b.blocks"), F.col("lines_per_page").cast("int")
     marks = compute(lines, "marks", Y.page_marks(blocks, page, F.col("gap_hundredths"), F.col("_b.top")))
     starts = compute(marks, "starts", Y.page_starts(blocks, F.col("marks"), page))

@@ -209,3 +209,21 @@ def test_registered_face_is_that_of_the_sql():
     assert [(w, set(c.replace("''", "'"))) for w, c in FACE] == [(w, set(c)) for w, c in Y.WIDTHS]
     letters = "".join(c for _, c in Y.WIDTHS)
     assert len(set(letters)) == len(letters) and S.HEADING_SCALE == 1.45
+
+
+def test_lines_of_sections_are_those_of_the_folds(spark):
+    rng = random.Random(5)
+    words = ["a", "Mmm", "x" * 90, "—", "\u00a0", "\ue000\ue003", "😀é", "it's", "\u2028", "W"]
+    text = lambda: "".join(rng.choice(words) + rng.choice([" ", "  ", "\n", "\t", "\r\f"]) for _ in range(rng.randrange(60)))
+    rows = [(k, [None if rng.random() < 0.2 else text() for _ in range(rng.randrange(6))], text(), rng.choice([1, 700, 20_000]), rng.choice([0, 1200]))
+            for k in range(60)]
+    df = spark.createDataFrame(rows, "k int, texts array<string>, heading string, m bigint, d bigint")
+    box = F.array(F.struct(F.col("m").alias("measure"), (F.col("m") * 2).alias("heading_measure"), F.col("d").alias("indent")))
+    flags = F.transform("texts", lambda t, i: i % 2 == 1)
+    got = df.select("k", F.inline(Y.section_lines()("texts", flags, "heading", box))).select("k", "counts", "heading").collect()
+    one = lambda t, m, d: Y.line_count(Y.word_widths(t), m, d)
+    model = df.select(
+        "k", F.transform("texts", lambda t, i: F.when(t.isNull(), -1).otherwise(
+            one(t, F.col("m"), F.when(i % 2 == 1, F.col("d")).otherwise(F.lit(0))))).alias("counts"),
+        one(F.col("heading"), F.col("m") * 2, F.lit(0).cast("bigint")).alias("heading")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, model))
