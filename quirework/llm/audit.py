@@ -82,8 +82,9 @@ def failures(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     copies = rows.groupBy("digest").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     known = labels.groupBy(F.col("doc_id")).agg(
         F.max(F.col("quality") == 1).alias("_good"), F.max(F.col("toxic") == 1).alias("_toxic")).filter("doc_id IS NOT NULL")
-    found = salted_join(rows, copies.drop("_n"), ["digest"], ["row"], "left")
-    found = salted_join(found, known, ["doc_id"], ["row"], "left")
+    # merged, never broadcast: the planner sees a few MB of packed files, not the rows times salts that the driver would hold
+    found = salted_join(rows, copies.drop("_n").hint("merge"), ["digest"], ["row"], "left")
+    found = salted_join(found, known.hint("merge"), ["doc_id"], ["row"], "left")
     copied = F.coalesce(F.col("doc_id") > F.col("_first"), F.lit(False)).cast("int")
     return found.select(
         "doc_id", "part", (F.col("mask") + F.shiftleft(copied, 4)).alias("mask"),

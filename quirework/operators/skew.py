@@ -12,8 +12,9 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread_by: li
     """Join rows with one row per key.
 
     ``small`` is an aggregate with at most one row per key, copied once per salt; the rows
-    of a hot key go to ``salts`` partitions. When the aggregate turns out to be small, the
-    adaptive planner broadcasts it (it checks the measured size) and nothing is shuffled.
+    of a hot key go to ``salts`` partitions. When the aggregate is small, the planner broadcasts
+    it and nothing is shuffled; it goes by the size before the copies, often that of packed
+    files. A merge hint on ``small`` keeps an aggregate of many short rows off the driver.
     """
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

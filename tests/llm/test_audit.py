@@ -86,6 +86,20 @@ def test_hard_rows(make_docs, hard, labels):
     assert sorted(map(tuple, got.collect()), key=repr) == plain_rows(copies, labels[0])
 
 
+def test_no_table_is_broadcast(spark, make_docs, tmp_path):
+    """Labels and first ids are copied once per salt; files small enough to broadcast hold millions of them."""
+    texts = [(i, f"text {i // 2}", "en", "s") for i in range(60)]
+    given = [(i, i % 2, i % 3) for i in range(0, 90, 2)]
+    spark.createDataFrame(given, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels")
+    got = audit.failures(make_docs(texts), spark.read.parquet(f"{tmp_path}/labels"))
+    assert sorted(map(tuple, got.collect()), key=repr) == plain_rows(texts, given)
+    counted = audit.interactions(audit.counts(got))
+    assert counted.count() == 600
+    for df in (got, counted):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_audit_of_tables(spark, hard, empty, labels):
     rows = audit.interactions(audit.counts(audit.failures(hard, labels[1])))
     assert dict(rows.dtypes) == {"part": "string", "filter_order": "string", "step": "int", **dict.fromkeys(audit.COLUMNS, "bigint")}
