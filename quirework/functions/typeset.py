@@ -7,7 +7,7 @@ order of additions. Heights are hundredths of a line.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .expr import fold_text, indices
 
@@ -67,6 +67,10 @@ def line_count(sizes: Column, measure: Column, indent: Column, space: int = SPAC
     return F.aggregate(sizes, state(F.lit(0), measure), add, lambda acc: acc["lines"])
 
 
+#: For each box of a section the lines of its texts and of its heading.
+LINES_TYPE = "array<struct<counts:array<int>,heading:int>>"
+
+
 def section_lines(widths=WIDTHS, default: int = DEFAULT_WIDTH, space: int = SPACE_WIDTH):
     """A function of texts (null for a scene break), whether each of them is indented, a heading and
     boxes ``(measure, heading_measure, indent)``: for each box the lines of every text (-1 for a
@@ -75,10 +79,35 @@ def section_lines(widths=WIDTHS, default: int = DEFAULT_WIDTH, space: int = SPAC
     Widths and lines are those of ``word_widths`` and ``line_count``. A fold of Spark's takes a
     dozen small steps for each word and box; here it is one addition, on Arrow batches.
     """
-    kind = "array<struct<counts:array<int>,heading:int>>"
+    counted = lines_of_arrays(widths, default, space)
 
-    @F.arrow_udf(kind)
+    @F.arrow_udf(LINES_TYPE)
     def lines(texts: pa.Array, indented: pa.Array, headings: pa.Array, boxes: pa.Array) -> pa.Array:
+        return counted(texts, indented, headings, boxes)
+
+    return lines
+
+
+def with_section_lines(df: DataFrame, keep: list[str], arguments: list[Column], name: str) -> DataFrame:
+    """The columns ``keep``, and ``name``: the ``section_lines`` of the arguments."""
+    given = [f"_{i}" for i in range(len(arguments))]
+    counted = lines_of_arrays()
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            lines = counted(*[batch.column(c) for c in given])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], lines], [*keep, name])
+
+    rows = df.select(*keep, *[a.alias(c) for a, c in zip(arguments, given, strict=True)])
+    schema = T.StructType([*rows.select(*keep).schema.fields, *T.StructType.fromDDL(f"{name} {LINES_TYPE}")])
+    return rows.mapInArrow(run, schema)
+
+
+def lines_of_arrays(widths=WIDTHS, default: int = DEFAULT_WIDTH, space: int = SPACE_WIDTH):
+    """``section_lines`` as a function of Arrow arrays; a closure, so that it travels by value."""
+    def lines(texts, indented, headings, boxes):
         from bisect import bisect_right
 
         import numpy as np

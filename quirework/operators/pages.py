@@ -70,9 +70,10 @@ def section_starts(sections: DataFrame, wanted: DataFrame, layouts: DataFrame) -
     texts = compute(some, "_m", F.struct(_texts().alias("texts"), _follows().alias("follows")))
     measured = texts.select("book_id", "section_idx", F.coalesce("heading", F.lit("")).alias("heading"), "_m.*")
     boxed = with_capacity_lists(measured, wanted_capacities(wanted, layouts, BOX), BOX)
-    filled = boxed.select("book_id", "section_idx", "_caps", Y.section_lines()(
-        "texts", "follows", "heading", F.transform("_caps", lambda c: F.struct(
-            *[c[name].cast("bigint").alias(name) for name in ("measure", "heading_measure", "indent")]))).alias("_filled"))
+    sizes = F.transform("_caps", lambda c: F.struct(
+        *[c[name].cast("bigint").alias(name) for name in ("measure", "heading_measure", "indent")]))
+    filled = Y.with_section_lines(
+        boxed, ["book_id", "section_idx", "_caps"], [F.col("texts"), F.col("follows"), F.col("heading"), sizes], "_filled")
     each = filled.select("book_id", "section_idx", F.inline(F.arrays_zip(F.col("_caps").alias("_cap"), F.col("_filled").alias("_lines"))))
     lines = compute(each.select("book_id", "section_idx", "_cap.*", "_lines"), "_b",
                     F.struct(_blocks().alias("blocks"), _heading_height().alias("top")))
