@@ -121,6 +121,22 @@ def test_references_of_html_5(evaluate):
     assert evaluate(H.decode_entities, every + mixed) == [pyhtml.unescape(v) for v in every + mixed]
 
 
+def test_visible_text_is_told_without_decoding(evaluate):
+    from html.entities import html5
+
+    rng = random.Random(4)
+    names = [f"&{n}" for n in html5]
+    numbers = [f % n for n in [*range(0x3010), *range(0xFDC0, 0xFE00), 0xFFFD, 0x1FFFE, 0x10FFFF, 0x110000]
+               for f in ("&#%d;", "&#00%d", "&#x%x;", "&#X0%X")]
+    parts = ["&nbsp", "&nbsp;", "&Tab;", "&tab;", "&", "&#", ";", " ", "\u3000", "\x85", "&#32", "&#x20", "&#160;", "&#133;", "&#1;", "4", "a", "x;"]
+    mixed = ["".join(rng.choice(parts[: 18 if k % 2 else 9]) for _ in range(rng.randrange(5))) for k in range(2000)]
+    values = names + numbers + mixed + ["&nbsp;" * 100_000, " &#9;" * 100_000 + "."]
+    got = evaluate(lambda c: H.has_content(H.tokens(F.concat(F.lit("<p>"), c, F.lit("</p>")))), values)
+    assert [v for v, g in zip(values, got) if g != (pyhtml.unescape(v).strip(P.SPACE_CHARS) != "")] == []
+    cdata = ["<p><![CDATA[&nbsp;]]></p>", "<p><![CDATA[ \n]]>&nbsp;</p>", "<p> <!-- a --></p>", "<p>\n<i></i>&#32;<b>x</b></p>"]
+    assert evaluate(lambda c: H.has_content(H.tokens(c)), cdata) == [True, False, False, True]
+
+
 def test_references_in_attributes(evaluate):
     values = {"?a=1&copy=2&amp;b&lt;c": "?a=1&copy=2&b<c", "&copy": "\u00a9", "&copy x": "\u00a9 x", "&notit;": "&notit;", "&copyx": "&copyx", "&#65&#x42=": "AB="}
     got = evaluate(lambda c: H.attribute(F.concat(F.lit('<a href="'), c, F.lit('">')), "href"), list(values))
